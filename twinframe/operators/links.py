@@ -8,6 +8,8 @@ need only enough edges to connect what is connected:
    do, so within a cell, and between two cells, only pairs with one side outside the dominating component are left;
 3. those pairs are tested, spread over tasks by salt.
 
+Where all cells are small, as in most catalogues, their members are tested at once instead.
+
 The edges connect exactly what the full pair list would connect. A cell with millions of alike members costs one
 test per member.
 """
@@ -71,6 +73,16 @@ class Linker:
         )
         # A rotated hash only meets upright ones; nodes that share it need not be alike.
         crowded = crowded.filter("cell.kind <> 'R'")
+        n_nodes = self.nodes.count() * self.combos
+        inside = F.sum(F.col("n") * (F.col("n") - 1)).alias("w")
+        work = pairs.agg(F.sum(F.col("nu") * F.col("nv")).alias("w")).union(crowded.agg(inside)).agg(F.sum("w"))
+        if (work.first()[0] or 0) <= REST_PER_NODE * n_nodes:
+            # Cells are small throughout: testing all their members is linear work.
+            every = pairs.select("u", "v").union(crowded.select(F.col("cell").alias("u"), F.col("cell").alias("v")))
+            lhs = every.join(members.select(F.col("cell").alias("u"), F.col("node_id").alias("a")), "u")
+            ids = lhs.join(members.select(F.col("cell").alias("v"), F.col("node_id").alias("b")), "v")
+            ids = ids.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            return self.test(ids.distinct())
         stars = members.join(crowded, "cell").select(F.col("pivot").alias("a"), F.col("node_id").alias("b"))
         edges = materialise(self.test(stars.union(pairs.select("a", "b")).distinct()), "links")
 
@@ -83,7 +95,6 @@ class Linker:
             return edges
         touched = open_pairs.select(F.col("u").alias("cell")).union(open_pairs.select("v")).distinct()
         members = members.join(touched, "cell", "left_semi")
-        n_nodes = self.nodes.count() * self.combos
 
         for step in range(PIVOT_ROUNDS + 1):
             state = self._state(members, edges)

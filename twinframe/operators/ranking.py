@@ -49,11 +49,16 @@ def rank_in_large_groups(df: DataFrame, group: str, order: str) -> DataFrame:
     )
 
 
-def bit_totals(hash_column: Column) -> list[Column]:
-    """64 aggregates: how many hashes of a group have each bit set."""
-    return [
-        F.sum(F.shiftright(hash_column, k).bitwiseAND(F.lit(1).cast("long"))).alias(f"bit{k}") for k in range(64)
-    ]
+def bit_totals(hash_column: Column, name: str = "bits") -> list[Column]:
+    """How many hashes of a group have each bit set: 32 sums, each counting bit k below and bit k + 32 above."""
+    pair = F.lit((1 << 32) + 1)
+    return [F.sum(F.shiftrightunsigned(hash_column, k).bitwiseAND(pair)).alias(f"{name}{k}") for k in range(32)]
+
+
+def bit_total(k: int, name: str = "bits") -> Column:
+    """The count of one bit out of :func:`bit_totals`."""
+    both = F.col(f"{name}{k % 32}")
+    return both.bitwiseAND(F.lit((1 << 32) - 1)) if k < 32 else F.shiftrightunsigned(both, 32)
 
 
 def distance_to_all(hash_column: Column, n: Column) -> Column:
@@ -61,7 +66,7 @@ def distance_to_all(hash_column: Column, n: Column) -> Column:
     total = F.lit(0).cast("long")
     for k in range(64):
         bit = F.shiftright(hash_column, k).bitwiseAND(F.lit(1).cast("long"))
-        total = total + F.when(bit == 1, n - F.col(f"bit{k}")).otherwise(F.col(f"bit{k}"))
+        total = total + F.when(bit == 1, n - bit_total(k)).otherwise(bit_total(k))
     return total
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from twinframe.config import Settings
 from twinframe.functions.stats import histogram_entropy
+from twinframe.operators.ranking import bit_total, bit_totals
 from twinframe.session import materialise
 
 SETTINGS = Settings(low_entropy=2.0)  # the derived histograms have 12 bins, so at most ln 12 nats
@@ -18,34 +19,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _word_hash(words: Column, first_digit: int) -> Column:
-    half = lambda at: F.conv(F.substring(F.md5(words), at, 8), 16, 10).cast("long")
-    return F.shiftleft(half(first_digit), 32).bitwiseOR(half(first_digit + 8))
-
-
-def _majority(word_hash: Column, name: str) -> list[Column]:
-    """64 counts: how often each bit is set among the words."""
-    return [
-        F.sum(F.shiftright(word_hash, k).bitwiseAND(F.lit(1).cast("long"))).alias(f"{name}{k}") for k in range(64)
-    ]
-
-
-def _assemble(name: str) -> Column:
-    """A bit is set when more than half of the words have it."""
-    out = F.lit(0).cast("long")
-    for k in range(64):
-        bit = F.lit(1 << k if k < 63 else -(1 << 63)).cast("long")
-        out = out.bitwiseOR(F.when(F.col(f"{name}{k}") * 2 > F.col("words"), bit).otherwise(F.lit(0).cast("long")))
-    return out
-
-
 def simhashes(docs: DataFrame, key: list[str], text: str, hashes: dict[str, int]) -> DataFrame:
-    """One 64-bit SimHash per name in ``hashes`` (name to first md5 digit) for every key."""
-    words = docs.select(*key, F.explode(F.split(text, " ")).alias("w"))
-    words = words.select(*key, *[_word_hash(F.col("w"), d).alias(n) for n, d in hashes.items()])
-    sums = [c for n in hashes for c in _majority(F.col(n), f"{n}_")]
-    totals = words.groupBy(*key).agg(F.count(F.lit(1)).alias("words"), *sums)
-    return totals.select(*key, *[_assemble(f"{n}_").alias(n) for n in hashes])
+    """One 64-bit SimHash per name in ``hashes`` (name to first md5 digit) for every key.
+
+    A bit is set when more than half of the words have it. Counts combine map-side, so a long text is no hot spot.
+    """
+    words = docs.select(*key, F.explode(F.split(text, " ")).alias("w")).select(*key, F.md5("w").alias("m"))
+    half = lambda at: F.conv(F.substring("m", at, 8), 16, 10).cast("long")
+    longs = [F.shiftleft(half(d), 32).bitwiseOR(half(d + 8)).alias(n) for n, d in hashes.items()]
+    sums = [c for n in hashes for c in bit_totals(F.col(n), f"{n}_")]
+    totals = words.select(*key, *longs).groupBy(*key).agg(F.count(F.lit(1)).alias("words"), *sums)
+
+    def assemble(name: str) -> Column:
+        out = F.lit(0).cast("long")
+        for k in range(64):
+            bit = F.lit(1 << k if k < 63 else -(1 << 63)).cast("long")
+            most = bit_total(k, f"{name}_") * 2 > F.col("words")
+            out = out + F.when(most, bit).otherwise(F.lit(0).cast("long"))
+        return out.alias(name)
+
+    return totals.select(*key, *[assemble(n) for n in hashes])
 
 
 def _letters(letter: str) -> Column:
