@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from twinframe.config import Settings
 from twinframe.functions.stats import histogram_entropy
-from twinframe.operators.ranking import bit_total, bit_totals
+from twinframe.operators.ranking import bit_total_sql, bit_totals
 from twinframe.session import materialise
 
 SETTINGS = Settings(low_entropy=2.0)  # the derived histograms have 12 bins, so at most ln 12 nats
@@ -31,12 +31,10 @@ def simhashes(docs: DataFrame, key: list[str], text: str, hashes: dict[str, int]
     totals = words.select(*key, *longs).groupBy(*key).agg(F.count(F.lit(1)).alias("words"), *sums)
 
     def assemble(name: str) -> Column:
-        out = F.lit(0).cast("long")
-        for k in range(64):
-            bit = F.lit(1 << k if k < 63 else -(1 << 63)).cast("long")
-            most = bit_total(k, f"{name}_") * 2 > F.col("words")
-            out = out + F.when(most, bit).otherwise(F.lit(0).cast("long"))
-        return out.alias(name)
+        bits = (
+            f"if({bit_total_sql(k, name + '_')} * 2 > words, shiftleft(1L, {k}), 0L)" for k in range(64)
+        )
+        return F.expr(" | ".join(bits)).alias(name)
 
     return totals.select(*key, *[assemble(n) for n in hashes])
 
