@@ -114,7 +114,7 @@ def _series(rows: DataFrame, features: DataFrame, key: list[str], p: Params) ->
 
 def classify(groups: DataFrame, features: DataFrame, settings: Settings, grid: DataFrame | None = None,
              tolerance_pct: float | None = None) -> DataFrame:
-    """``(group_id, image_id, role, is_series, is_ambiguous)`` for every group with something to remove.
+    """``(group_id, image_id, role, is_series, is_ambiguous, in_series)`` for every group with something to remove.
 
     With ``grid``, ``groups`` also has a ``combo_id`` and ``group_id`` is unique across configurations.
     """
@@ -207,5 +207,6 @@ def classify(groups: DataFrame, features: DataFrame, settings: Settings, grid: D
     ).filter("previews > 0")
     extra = ["combo_id"] if grid is not None else []
     return m.join(flags, "group_id").select(
-        "group_id", "image_id", "role", "is_series", F.lit(False).alias("is_ambiguous"), *extra
+        "group_id", "image_id", "role", "is_series", F.lit(False).alias("is_ambiguous"),
+        F.col("series").alias("in_series"), *extra,
     )

@@ -33,7 +33,7 @@ def compare_roles(groups: DataFrame, features: DataFrame, settings: Settings = S
         # Formats follow each other in the order of their best member; inside one, bursts come first.
         lead = rows.groupBy("group_id", "ext").agg(F.min("k").alias("format_lead"))
         rows = rows.join(lead, ["group_id", "ext"])
-        burst = F.when(F.col("in_series"), 0).otherwise(1) if "in_series" in rows.columns else F.lit(0)
+        burst = F.when(F.col("in_series"), 0).otherwise(1)
         order = F.struct(later.alias("r"), F.col("format_lead"), burst.alias("b"), F.col("k"))
     else:
         order = F.struct(later.alias("r"), F.col("k"))

@@ -28,7 +28,7 @@ def borderline_groups(features: DataFrame, groups: DataFrame, settings: Settings
     comps = borderline_components(free, settings)
     return comps.select(
         F.concat(F.lit("amb:"), "component").alias("group_id"), "image_id", F.lit("original").alias("role"),
-        F.lit(False).alias("is_series"), F.lit(True).alias("is_ambiguous"),
+        F.lit(False).alias("is_series"), F.lit(True).alias("is_ambiguous"), F.lit(False).alias("in_series"),
     )
 
 

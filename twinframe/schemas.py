@@ -13,7 +13,7 @@ TRACKED_FOLDERS = (
     "path string, drive_type string, volume_serial string, folder_fingerprint string, "
     "last_updated timestamp, file_count bigint"
 )
-GROUP_MEMBERS = "group_id string, image_id string, role string, is_series boolean, is_ambiguous boolean"
+GROUP_MEMBERS = "group_id string, image_id string, role string, is_series boolean, is_ambiguous boolean, in_series boolean"
 OPS_MANIFEST = (
     "run_id string, type string, from_path string, to_path string, status string, group_id string, "
     "role string, renamed boolean"

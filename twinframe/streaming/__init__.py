@@ -1,0 +1,2 @@
+"""No operator of the product is a stream: the incremental one, the feature cache, is a batch join
+(:mod:`twinframe.operators.cache`)."""
