@@ -21,6 +21,7 @@ from twinframe.session import materialise
 
 # Words of 64 bits that are pairwise within 2 bits number at most 65 (Kleitman 1966).
 CLOSE_SET_LIMIT = 65
+TASK_PAIRS = 5_000_000
 
 
 def size_buckets(members: DataFrame, same_format: bool, tolerance_pct: float, p: Params) -> DataFrame:
@@ -92,8 +93,13 @@ def _turned_buckets(rows: DataFrame, key: list[str], p: Params) -> DataFrame:
         F.max(rotation_distance(F.col("me"), F.col("far.who"))).alias("d"), F.first("sets").alias("sets"),
         F.first("limit").alias("limit"),
     ).filter("d <= limit")
-    many = sets.select(*key, "me").join(second.filter("sets > 2").select(*key, "limit"), key)
-    bad = many.alias("a").join(many.alias("b"), key).filter(
+    salts = F.greatest(F.lit(1), F.ceil(F.col("sets") * F.col("sets") / TASK_PAIRS)).cast("int")
+    many = sets.select(*key, "me").join(
+        second.filter("sets > 2").select(*key, "limit", salts.alias("salts")), key
+    )
+    left = many.withColumn("salt", F.pmod(F.xxhash64("me.phash"), F.col("salts")).cast("int"))
+    right = many.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    bad = left.alias("a").join(right.alias("b"), [*key, "salt"]).filter(
         rotation_distance(F.col("a.me"), F.col("b.me")) > F.col("a.limit")
     ).select(*key).distinct()
     return second.select(*key).join(bad, key, "left_anti")

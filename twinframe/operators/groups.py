@@ -53,11 +53,3 @@ def solo_originals(features: DataFrame, members: DataFrame) -> DataFrame:
     """Scanned images in no group."""
     return features.join(members.select("image_id").distinct(), "image_id", "left_anti")
 
-
-def nested_groups(members: DataFrame) -> DataFrame:
-    """One row per group with its members as arrays, for export of groups of ordinary size."""
-    pick = lambda role: F.array_sort(F.collect_list(F.when(F.col("role") == role, F.col("image_id"))))
-    return members.groupBy("group_id").agg(
-        F.max("is_series").alias("is_series"), F.max("is_ambiguous").alias("is_ambiguous"),
-        pick("original").alias("originals"), pick("preview").alias("previews"),
-    )

@@ -28,6 +28,7 @@ from twinframe.session import materialise
 PIVOT_ROUNDS = 6
 REST_PER_NODE = 50
 TASK_PAIRS = 5_000_000
+SMALL_CELL = 100_000
 
 Rule = Callable[[Column, Column], Column]
 
@@ -74,10 +75,12 @@ class Linker:
         # A rotated hash only meets upright ones; nodes that share it need not be alike.
         crowded = crowded.filter("cell.kind <> 'R'")
         n_nodes = self.nodes.count() * self.combos
-        inside = F.sum(F.col("n") * (F.col("n") - 1)).alias("w")
-        work = pairs.agg(F.sum(F.col("nu") * F.col("nv")).alias("w")).union(crowded.agg(inside)).agg(F.sum("w"))
-        if (work.first()[0] or 0) <= REST_PER_NODE * n_nodes:
-            # Cells are small throughout: testing all their members is linear work.
+        tests = pairs.select((F.col("nu") * F.col("nv")).alias("w")).union(
+            crowded.select(F.col("n") * (F.col("n") - 1))
+        )
+        work = tests.agg(F.sum("w").alias("all"), F.max("w").alias("most")).first()
+        if (work["all"] or 0) <= REST_PER_NODE * n_nodes and (work["most"] or 0) <= SMALL_CELL:
+            # Cells are small throughout: testing all their members is linear work, and little per cell.
             every = pairs.select("u", "v").union(crowded.select(F.col("cell").alias("u"), F.col("cell").alias("v")))
             lhs = every.join(members.select(F.col("cell").alias("u"), F.col("node_id").alias("a")), "u")
             ids = lhs.join(members.select(F.col("cell").alias("v"), F.col("node_id").alias("b")), "v")

@@ -19,6 +19,8 @@ def build_session(app: str = "twinframe", master: str | None = None, partitions:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        # Plans here are built from many small expressions; call sites for each of them cost more than they tell.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
     if partitions:

@@ -108,8 +108,12 @@ def load_results(spark: SparkSession, path: str, scan_id: str) -> DataFrame:
 
 # Exports ------------------------------------------------------------------------------------------
 
-def group_documents(members: DataFrame, features: DataFrame) -> DataFrame:
-    """One document per group, as it is written to JSON."""
+def group_documents(members: DataFrame, features: DataFrame, document_members: int = 10_000) -> DataFrame:
+    """One document per group, as it is written to JSON.
+
+    A group of more than ``document_members`` is written as several documents (``part`` 0, 1, ...) that together
+    hold every member, so that no task gathers a group of any size.
+    """
     facts = features.select(
         "image_id", "name", "width", "height", "file_size", F.col("mtime").cast("timestamp").cast("double").alias("t"),
         F.round("brightness", 2).alias("brightness"), "metadata_count", "companions",
@@ -119,7 +123,9 @@ def group_documents(members: DataFrame, features: DataFrame) -> DataFrame:
         F.col("t").alias("mtime"), "brightness", "metadata_count", "companions",
     ))
     of = lambda role: F.array_sort(F.collect_list(F.when(F.col("role") == role, F.col("doc"))))
-    return rows.groupBy("group_id").agg(
+    sizes = members.groupBy("group_id").agg(F.ceil(F.count(F.lit(1)) / document_members).alias("parts"))
+    rows = rows.join(sizes, "group_id").withColumn("part", F.pmod(F.xxhash64("image_id"), F.col("parts")))
+    return rows.groupBy("group_id", "part").agg(
         F.max("is_series").alias("is_series"), of("original").alias("originals"), of("preview").alias("previews")
     )
 

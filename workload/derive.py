@@ -23,7 +23,11 @@ def simhashes(docs: DataFrame, key: list[str], text: str, hashes: dict[str, int]
     """One 64-bit SimHash per name in ``hashes`` (name to first md5 digit) for every key.
 
     A bit is set when more than half of the words have it. Counts combine map-side, so a long text is no hot spot.
+    A table of few files is spread over the cores first, since hashing costs far more than moving the text.
     """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:
+        docs = docs.repartition(cores)
     words = docs.select(*key, F.explode(F.split(text, " ")).alias("w")).select(*key, F.md5("w").alias("m"))
     half = lambda at: F.conv(F.substring("m", at, 8), 16, 10).cast("long")
     longs = [F.shiftleft(half(d), 32).bitwiseOR(half(d + 8)).alias(n) for n, d in hashes.items()]

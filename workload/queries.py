@@ -863,11 +863,12 @@ g AS (SELECT count(*) AS groups_total, count(*) FILTER (ids = 1) AS groups_found
 s AS (SELECT count(*) AS singles_total, count(group_id) AS false_positives FROM tr WHERE kind = 'singles'),
 n AS (SELECT count(*) AS negatives_total, count(*) FILTER (NOT bad) AS negatives_correct FROM (
     SELECT label, bool_or(k > 1) AS bad FROM (SELECT label, group_id, count(group_id) AS k FROM tr WHERE kind = 'negatives' GROUP BY ALL) GROUP BY label))"""
-DEFAULT_COMBO = o.with_(*o.grouped(), TRUTH, SCORE) + """
+SCORE_SELECT = """
 SELECT g.*, s.*, n.*, round((groups_found * 2 + originals_correct + previews_correct + singles_total - false_positives
     + negatives_correct * 3) / (groups_total * 3 + previews_total + singles_total + negatives_total * 3), 9) AS score,
-  round(2.0 * groups_found / (2 * groups_found + (groups_total - groups_found) + false_positives + negatives_total - negatives_correct), 9) AS f1
-FROM g, s, n"""
+  round(2.0 * groups_found / (2 * groups_found + (groups_total - groups_found) + false_positives + negatives_total - negatives_correct), 9) AS f1,
+  (SELECT count(DISTINCT group_id) FROM roles) AS n_groups FROM g, s, n"""
+DEFAULT_COMBO = f"SELECT * EXCLUDE (n_groups) FROM ({o.with_(*o.grouped(), TRUTH, SCORE)} {SCORE_SELECT})"
 
 
 @register("calibration_score", DEFAULT_COMBO)
@@ -879,6 +880,26 @@ def calibration_score(spark, sf_dir):
     return out.withColumns({c: F.round(c, 9) for c in ("score", "f1")})
 
 
+def _combos_sql(combos, columns: str) -> str:
+    """The score of several configurations, numbered in order."""
+    return " UNION ALL ".join(
+        f"SELECT {i} AS combo_id, {columns} FROM ({o.with_(*o.grouped(c), TRUTH, SCORE)} {SCORE_SELECT})"
+        for i, c in enumerate(combos)
+    )
+
+
+TWO = [SETTINGS.with_(threshold=4, preview_ratio=0.8), WIDE.with_(preview_ratio=0.95, dark_protection=False)]
+
+
+@register("calibration_of_two", _combos_sql(TWO, "groups_found, groups_strict, originals_correct, previews_correct, "
+                                            "false_positives, negatives_correct, score, f1, n_groups"))
+def calibration_of_two(spark, sf_dir):
+    scored = calibrate.score_settings(kept_features(spark, sf_dir), _truth(spark, sf_dir), TWO)
+    return scored.select("combo_id", "groups_found", "groups_strict", "originals_correct", "previews_correct",
+                         "false_positives", "negatives_correct", F.round("score", 9).alias("score"),
+                         F.round("f1", 9).alias("f1"), "n_groups")
+
+
 @register("calibration_grid")
 def calibration_grid(spark, sf_dir):
     """The coarse grid of the first calibration round: every threshold with every ratio."""
@@ -888,9 +909,24 @@ def calibration_grid(spark, sf_dir):
     return summary.top_rows(scored, "score", n=len(combos))
 
 
-@register("guard_ablation")
+@register("guard_ablation", "WITH scores AS (" + _combos_sql(
+    [SETTINGS.with_(**c) for c in calibrate.ABLATION.values()], "score, n_groups") + """)
+SELECT combo_id, score, n_groups, round((score - (SELECT score FROM scores WHERE combo_id = 0)) * 100, 6) AS accuracy_delta
+FROM scores""")
 def guard_ablation(spark, sf_dir):
-    return calibrate.ablation(kept_features(spark, sf_dir), _truth(spark, sf_dir), SETTINGS)
+    rows = calibrate.ablation(kept_features(spark, sf_dir), _truth(spark, sf_dir), SETTINGS)
+    return rows.select("combo_id", F.round("score", 9).alias("score"), "n_groups",
+                       F.round("accuracy_delta", 6).alias("accuracy_delta"))
+
+
+@register("calibration_rounds")
+def calibration_rounds(spark, sf_dir):
+    """All four rounds; one row per configuration tried."""
+    done = calibrate.run_calibration(kept_features(spark, sf_dir), _truth(spark, sf_dir), SETTINGS)
+    rows = [(r["round"], r["threshold"], r["preview_ratio"], r["label"], r["score"], r["f1"], r is done.best)
+            for r in done.rows]
+    return spark.createDataFrame(
+        rows, "round int, threshold int, preview_ratio double, label string, score double, f1 double, is_best boolean")
 
 
 def _diagnosis_sql() -> str:
