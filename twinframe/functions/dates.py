@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,19 +59,14 @@ def resolved_date(exif: Column, name: Column, mtime: Column, use_exif=True, use_
 
 def strftime_pattern(fmt: str) -> str:
     """A ``strftime`` format as a Spark datetime pattern; other text is quoted."""
-    out, i = [], 0
-    while i < len(fmt):
-        if fmt[i:i + 2] in STRFTIME:
-            out.append(STRFTIME[fmt[i:i + 2]])
-            i += 2
-        elif fmt[i:i + 2] == "%%":
-            out.append("'%'")
-            i += 2
-        elif fmt[i] == "%":
-            raise ValueError(f"unsupported date format {fmt[i:i + 2]!r}")
+    out = []
+    for field, text in re.findall(r"(%.)|([^%]+)", fmt):
+        if field in STRFTIME:
+            out.append(STRFTIME[field])
+        elif field and field != "%%":
+            raise ValueError(f"unsupported date format {field!r}")
         else:
-            out.append("''" if fmt[i] == "'" else f"'{fmt[i]}'" if fmt[i].isalpha() else fmt[i])
-            i += 1
+            out.append("'" + (text or "%").replace("'", "''") + "'")
     return "".join(out)
 
 
