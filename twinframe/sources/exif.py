@@ -97,7 +97,7 @@ def parse_exif(data: bytes) -> dict[str, str]:
 
 def _maps_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"path": pdf["path"], "exif": [list(parse_exif(bytes(c)).items()) for c in pdf["content"]]})
+        yield pd.DataFrame({"path": pdf["path"], "exif": [parse_exif(bytes(c)) for c in pdf["content"]]})
 
 
 def read_exif_maps(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:

@@ -17,7 +17,8 @@ def plain_path(uri: Column) -> Column:
 def list_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """Every visible file below a root (or directly in it): path parts, ``file_size`` and ``mtime``.
 
-    File contents are not read: the column is dropped before the scan is planned.
+    File contents are not read: the column is dropped before the scan is planned. Spark's file sources leave out
+    empty files and names that start with a dot or an underscore.
     """
     reader = spark.read.format("binaryFile")
     if recursive:
