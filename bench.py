@@ -50,7 +50,7 @@ def scan(spark, sf_dir, seconds):
 
 
 def main():
-    spark = build_session("twinframe-bench", master=f"local[{CPUS}]", partitions=int(CPUS))
+    spark = build_session("twinframe-bench", master=f"local[{CPUS}]", partitions=int(CPUS), driver_memory="12g")
     spark.sparkContext.setLogLevel("ERROR")
     scan(spark, "/root/testdata/sf0.001", {})
     seconds: dict[str, float] = {}

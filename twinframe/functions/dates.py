@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,17 +34,24 @@ def exif_date(tags: Column, order: list[str] = EXIF_TAGS_FOR_GUARD) -> Column:
 def filename_date(name: Column) -> Column:
     """Patterns in order; only the first match of each is tried, and a bad date moves on to the next."""
 
-    def attempt(pattern: str, has_time: bool) -> Column:
-        part = lambda i: F.regexp_extract(name, pattern, i).try_cast("int")
-        time = [part(4), part(5), part(6)] if has_time else [F.lit(0)] * 3
-        made = F.try_make_timestamp(part(1), part(2), part(3), *[t.cast("double") if i == 2 else t
-                                                                 for i, t in enumerate(time)])
-        sane = part(1).between(1990, 2040)
-        if has_time:
-            sane = sane & (part(6) <= 59)
-        return F.when(sane, made.cast("timestamp_ntz"))
-
-    return F.coalesce(*[attempt(p, i < 2) for i, p in enumerate(NAME_PATTERNS)])
+    def made(d: Column) -> Column:
+        """Digits, year first, as a timestamp; values out of range are told apart before anything is built."""
+        part = lambda at, n, low, high: (F.substring(d, at, n).cast("int"), low, high)
+        parts = [part(1, 4, 1990, 2040), part(5, 2, 1, 12), part(7, 2, 1, 31)]
+        if_time = [part(9, 2, 0, 23), part(11, 2, 0, 59), part(13, 2, 0, 59)]
+        sane = reduce(lambda a, b: a & b, [v.between(low, high) for v, low, high in parts])
+        sane_time = reduce(lambda a, b: a & b, [v.between(low, high) for v, low, high in if_time])
+        date, (h, m, s) = [v for v, _, _ in parts], [v for v, _, _ in if_time]
+        zero = F.lit(0)
+        return F.when(
+            F.length(d) == 8, F.when(sane, F.try_make_timestamp(*date, zero, zero, zero.cast("double")))
+        ).when(F.length(d) == 14, F.when(sane & sane_time, F.try_make_timestamp(*date, h, m, s.cast("double"))))
+
+    def attempt(pattern: str) -> Column:
+        digits = F.regexp_replace(F.regexp_extract(name, pattern, 0), "[^0-9]", "")
+        return F.get(F.transform(F.array(digits), made), F.lit(0))  # bound once, used many times
+
+    return F.coalesce(*[attempt(p) for p in NAME_PATTERNS]).cast("timestamp_ntz")
 
 
 def resolved_date(exif: Column, name: Column, mtime: Column, use_exif=True, use_name=True, use_mtime=True) -> Column:

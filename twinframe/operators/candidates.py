@@ -41,9 +41,9 @@ def masks_for(radius: int, groups: int, bands: int) -> list[int]:
     return out
 
 
-def plan_masks(radius: int, left: int, right: int) -> list[int]:
-    """The cheapest scheme for a radius and the number of hashes on each side."""
-    best, best_cost = (0, 1), ROW_COST * (left + right) + float(left) * right
+def plan_masks(radius: int, rows: int, meetings: float) -> list[int]:
+    """The cheapest scheme for a radius, the rows to key, and the pairs that meet if no hash bit is in the key."""
+    best, best_cost = (0, 1), ROW_COST * rows + float(meetings)
     if radius >= 64:
         return [0]
     for groups in (1, 2, 3, 4):
@@ -54,39 +54,47 @@ def plan_masks(radius: int, left: int, right: int) -> list[int]:
             if n > MAX_MASKS:
                 break
             bits = width * (bands - errors) // bands
-            cost = ROW_COST * n * (left + right) + float(left) * right * n / 2.0**bits
+            cost = ROW_COST * n * rows + float(meetings) * n / 2.0**bits
             if cost < best_cost:
                 best, best_cost = (groups, bands), cost
     return masks_for(radius, *best)
 
 
-def near_hashes(
-    left: DataFrame, right: DataFrame, radius: int, sizes: tuple[int, int], offsets: list[int], symmetric: bool
-) -> DataFrame:
+def _shifted(df: DataFrame, shifts: list[int]) -> DataFrame:
+    """``cls`` and ``bin`` of each cell as join keys, one row per allowed offset."""
+    return df.select(
+        "cell", F.col("cell.cls").alias("cls"),
+        F.explode(F.array(*[F.col("cell.bin") + F.lit(s).cast("long") for s in shifts])).alias("bin"),
+    )
+
+
+def _reach(left: DataFrame, right: DataFrame, offsets: list[int]) -> tuple[int, float, float]:
+    """Rows on both sides, pairs of cells within bins, and the most such pairs in one bin."""
+    count = lambda df, shifts, name: _shifted(df, shifts).groupBy("cls", "bin").agg(F.count(F.lit(1)).alias(name))
+    met = count(left, offsets, "l").join(count(right, [0], "r"), ["cls", "bin"], "full").na.fill(0, ["l", "r"])
+    pairs = F.col("l").cast("double") * F.col("r")
+    row = met.agg(F.sum(F.col("l") + F.col("r")), F.sum(pairs), F.max(pairs)).first()
+    return int(row[0] or 0), row[1] or 0.0, row[2] or 0.0
+
+
+def near_hashes(left: DataFrame, right: DataFrame, radius: int, offsets: list[int], symmetric: bool) -> DataFrame:
     """Pairs of cells ``(u, v)`` in one class whose bins are an allowed offset apart and whose hashes are near.
 
     ``left`` and ``right`` hold a ``cell`` struct ``(kind, cls, bin, hash)``, one row per distinct cell. With
     ``symmetric`` both are the same table: every unordered pair of different cells is returned once.
     """
-    masks = plan_masks(radius, sizes[0] * len(offsets), sizes[1])
-    salts = 1
-    if masks == [0]:
-        salts = int(min(4000, max(1, sizes[0] * sizes[1] * len(offsets) // SALT_PAIRS)))
+    rows, meetings, busiest = _reach(left, right, offsets)
+    masks = plan_masks(radius, rows, meetings)
+    salts = int(max(1, busiest // SALT_PAIRS)) if masks == [0] else 1
 
     def keyed(df: DataFrame, name: str, shifts: list[int]) -> DataFrame:
-        rows = df.select(F.col("cell").alias(name))
-        if shifts != [0]:
-            rows = rows.withColumn("shift", F.explode(F.array(*[F.lit(s).cast("long") for s in shifts])))
-        else:
-            rows = rows.withColumn("shift", F.lit(0).cast("long"))
         keys = F.array(*[
-            F.struct(F.lit(i).alias("no"), F.col(f"{name}.hash").bitwiseAND(F.lit(m)).alias("bits"))
+            F.struct(F.lit(i).alias("no"), F.col("cell.hash").bitwiseAND(F.lit(m)).alias("bits"))
             for i, m in enumerate(masks)
         ])
-        rows = rows.withColumn("key", F.explode(keys))
-        return rows.select(
-            name, F.col(f"{name}.cls").alias("cls"), (F.col(f"{name}.bin") + F.col("shift")).alias("bin"),
-            F.col("key.no").alias("no"), F.col("key.bits").alias("bits"),
+        df = _shifted(df, shifts).withColumn("key", F.explode(keys))
+        return df.select(
+            F.col("cell").alias(name), "cls", "bin", F.col("key.no").alias("no"), F.col("key.bits").alias("bits")
         )
 
     lhs, rhs = keyed(left, "u", offsets), keyed(right, "v", [0])

@@ -89,21 +89,19 @@ def pair_cells(nodes: DataFrame, settings: list[Settings]) -> tuple[DataFrame, D
     ).filter("hash is not null and hash <> phash")
     turned = turned.select("node_id", cell("R", F.col("is_raw"), F.col("bin"), F.col("hash")).alias("cell"))
 
-    n = max(nodes.count(), 1)
     cells = upright.select("cell").distinct()
-    same = near_hashes(cells, cells, max(s.same_format_radius for s in settings), (n, n), [0, 1], symmetric=True)
+    same = near_hashes(cells, cells, max(s.same_format_radius for s in settings), [0, 1], symmetric=True)
     rotated = near_hashes(
-        turned.select("cell").distinct(), cells, max(s.rotation_radius for s in settings), (3 * n, n), [-1, 0, 1], False
+        turned.select("cell").distinct(), cells, max(s.rotation_radius for s in settings), [-1, 0, 1], False
     )
-    raws = nodes.filter("is_raw").count()
     members, pairs = upright.union(turned), same.union(rotated)
-    if 0 < raws < n:
+    formats = nodes.agg(F.max("is_raw"), F.min("is_raw")).first()
+    if formats[0] and not formats[1]:
         side = lambda flag: cells.filter(F.col("cell.cls") == flag).select(
             F.col("cell").withField("cls", F.lit("x")).alias("cell")
         )
         cross = near_hashes(
-            side("true"), side("false"), max(s.cross_format_radius for s in settings), (raws, n - raws), [-1, 0, 1],
-            False,
+            side("true"), side("false"), max(s.cross_format_radius for s in settings), [-1, 0, 1], False,
         )
         pairs = pairs.union(
             cross.select(F.col("u").withField("cls", F.lit("true")).alias("u"),
@@ -164,9 +162,8 @@ def borderline_components(features: DataFrame, settings: Settings) -> DataFrame:
     )
     members = shaped.select("node_id", cell("B", F.lit(""), F.col("bin"), F.col("phash")).alias("cell"))
     cells = members.select("cell").distinct()
-    n = max(nodes.count(), 1)
     radius = int(settings.threshold * settings.ambiguous_threshold_factor)
-    pairs = near_hashes(cells, cells, radius, (n, n), [0, 1], symmetric=True)
+    pairs = near_hashes(cells, cells, radius, [0, 1], symmetric=True)
     params = Params(settings)
     linker = Linker(nodes.select("node_id", *columns), lambda a, b: borderline_pair(a, b, params))
     edges = linker.link(members, pairs)

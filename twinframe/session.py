@@ -9,7 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "twinframe", master: str | None = None, partitions: int | None = None) -> SparkSession:
+def build_session(app: str = "twinframe", master: str | None = None, partitions: int | None = None,
+                  driver_memory: str | None = None) -> SparkSession:
     """A session with the defaults the library is tuned for. A cluster's own settings win where they are given."""
     b = SparkSession.builder.appName(app)
     if master:
@@ -25,6 +26,8 @@ def build_session(app: str = "twinframe", master: str | None = None, partitions:
     )
     if partitions:
         b = b.config("spark.sql.shuffle.partitions", str(partitions))
+    if driver_memory:
+        b = b.config("spark.driver.memory", driver_memory)
     return b.getOrCreate()
 
 
