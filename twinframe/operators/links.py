@@ -29,6 +29,7 @@ PIVOT_ROUNDS = 6
 REST_PER_NODE = 50
 TASK_PAIRS = 5_000_000
 SMALL_CELL = 100_000
+NEW_PIVOTS = 4
 
 Rule = Callable[[Column, Column], Column]
 
@@ -99,19 +100,29 @@ class Linker:
         touched = open_pairs.select(F.col("u").alias("cell")).union(open_pairs.select("v")).distinct()
         members = members.join(touched, "cell", "left_semi")
 
+        before = None
         for step in range(PIVOT_ROUNDS + 1):
             state = self._state(members, edges)
             rest = self._rest(open_pairs, state)
             left = rest.agg(F.sum("pairs")).first()[0]
             if not left:
                 return edges
-            if left <= REST_PER_NODE * n_nodes or step == PIVOT_ROUNDS:
+            stuck = before is not None and left > 0.8 * before
+            if left <= REST_PER_NODE * n_nodes or stuck or step == PIVOT_ROUNDS:
                 return edges.union(self.test(self._rest_ids(rest, state)))
-            # Another pivot for each cell: its first member outside the dominating component.
-            outside = state.filter("not dominant")
-            again = outside.groupBy("combo_id", "cell").agg(F.min("node_id").alias("a"))
-            ids = outside.join(again, ["combo_id", "cell"]).select("a", F.col("node_id").alias("b"), "combo_id")
-            edges = materialise(edges.union(self.test(ids.distinct())), "links")
+            before = left
+            # More pivots for each cell, drawn from outside its dominating component, against all its members.
+            draws = [
+                F.min(F.struct(F.xxhash64("node_id", F.lit(step * NEW_PIVOTS + k)).alias("h"), "node_id"))["node_id"]
+                for k in range(NEW_PIVOTS)
+            ]
+            again = state.filter("not dominant").groupBy("combo_id", "cell").agg(
+                F.array_distinct(F.array(*draws)).alias("pivots")
+            )
+            ids = state.join(again, ["combo_id", "cell"]).select(
+                F.explode("pivots").alias("a"), F.col("node_id").alias("b"), "combo_id"
+            )
+            edges = materialise(edges.union(self.test(ids.distinct())).distinct(), "links")
 
     def _state(self, members: DataFrame, edges: DataFrame) -> DataFrame:
         """Members with their component so far and whether it dominates their cell."""
@@ -185,16 +196,21 @@ class Linker:
         return out.distinct()
 
     def _meet(self, rest: DataFrame, mu: DataFrame, mv: DataFrame, sub: str | None) -> DataFrame:
-        """Join both sides of every open pair of cells; busy right sides are copied over salts."""
-        busy = rest.groupBy("combo_id", "v", "dv").agg(
-            F.greatest(F.lit(1), F.ceil(F.sum("pairs") / TASK_PAIRS)).cast("int").alias("salts")
-        )
-        rest = rest.join(busy, ["combo_id", "v", "dv"])
-        lhs = rest.join(mu, ["combo_id", "u", "du"]).withColumn(
-            "salt", F.pmod(F.xxhash64("nu"), F.col("salts")).cast("int")
-        )
-        rhs = mv.join(busy, ["combo_id", "v", "dv"]).withColumn(
-            "salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
-        ).drop("salts")
-        met = lhs.join(rhs, ["combo_id", "v", "dv", "salt"] + ([sub] if sub else []))
+        """Join both sides of every open pair of cells.
+
+        Without a further key the meetings at a busy right side are cut into a square of blocks: each side is
+        split one way and copied the other, so copies grow with the root of the number of tasks.
+        """
+        key = ["combo_id", "v", "dv"]
+        if sub:
+            met = rest.join(mu, ["combo_id", "u", "du"]).join(mv, [*key, sub])
+        else:
+            side = F.ceil(F.sqrt(F.sum("pairs") / TASK_PAIRS))
+            busy = rest.groupBy(*key).agg(F.greatest(F.lit(1), side).cast("int").alias("side"))
+            block = lambda node: F.pmod(F.xxhash64(node), F.col("side")).cast("int")
+            every = F.explode(F.sequence(F.lit(0), F.col("side") - 1))
+            lhs = rest.join(busy, key).join(mu, ["combo_id", "u", "du"])
+            lhs = lhs.withColumn("row_block", block("nu")).withColumn("column_block", every)
+            rhs = mv.join(busy, key).withColumn("column_block", block("nv")).withColumn("row_block", every)
+            met = lhs.join(rhs.drop("side"), [*key, "row_block", "column_block"])
         return met.filter("cu <> cv").select(F.col("nu").alias("a"), F.col("nv").alias("b"), "combo_id")
