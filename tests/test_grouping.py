@@ -69,9 +69,10 @@ def _force_cell_rounds(monkeypatch):
     monkeypatch.setattr(links, "TASK_PAIRS", 50)
 
 
-@pytest.mark.parametrize("crowded", [False, True])
-@pytest.mark.parametrize("s", [Settings(low_entropy=4.4), Settings(threshold=5, raw_use_embedded_thumb=False,
-                                                                   ar_tolerance_pct=0.0, use_histogram=False)])
+@pytest.mark.parametrize("s,crowded", [
+    (Settings(low_entropy=4.4), True),
+    (Settings(threshold=5, raw_use_embedded_thumb=False, ar_tolerance_pct=0.0, use_histogram=False), False),
+])
 def test_components_equal_all_pairs(spark, monkeypatch, s, crowded):
     if crowded:
         _force_cell_rounds(monkeypatch)
@@ -91,8 +92,8 @@ def test_one_hash_holding_most_rows(spark, monkeypatch):
     near = [row(f"/n/{i:04d}.jpg", 1 << rng.randrange(64), rng.getrandbits(2), hist=rng.choice([NARROW, FLAT]))
             for i in range(40)]
     rows = blank + near + [row("/u/1.jpg", 0, 0xFFFF, hist=FLAT), row("/u/2.jpg", 0, 0, hist=FLAT)]
-    for s in (Settings(), Settings(use_histogram=False, threshold=3)):
-        assert _found(similarity_components(frame(spark, rows), s)) == components(rows, s)
+    s = Settings(use_histogram=False, threshold=3)
+    assert _found(similarity_components(frame(spark, rows), s)) == components(rows, s)
 
 
 def test_copies_with_a_histogram_unlike_itself(spark):
