@@ -81,3 +81,15 @@ def mixed(values: np.ndarray) -> np.ndarray:
 def owners(offsets: np.ndarray) -> np.ndarray:
     """The text each word belongs to."""
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+
+
+def by_bytes(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20):
+    """Slices of a batch with about ``limit`` bytes of text each; one longer text is a slice of its own."""
+    texts = as_text(batch.column(column))
+    ends = np.cumsum(np.asarray(pc.binary_length(texts), dtype=np.int64))
+    start = 0
+    while start < len(texts):
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
