@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinframe.llm import near_dedup, substring_dedup
+from twinframe.llm import near_dedup, pii, secrets, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,3 +29,13 @@ def op5_repeated_windows(spark, sf_dir):
 @register
 def op10_near_duplicates(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register
+def op7_personal_data(spark, sf_dir):
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+@register
+def op8_secret_spans(spark, sf_dir):
+    return secrets.secret_spans(table(spark, sf_dir, "documents"))
