@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinframe.llm import near_dedup, pii, secrets, substring_dedup
+from twinframe.llm import decontamination, near_dedup, pii, quality_rules, secrets, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -39,3 +39,13 @@ def op7_personal_data(spark, sf_dir):
 @register
 def op8_secret_spans(spark, sf_dir):
     return secrets.secret_spans(table(spark, sf_dir, "documents"))
+
+
+@register
+def op9_contaminated_words(spark, sf_dir):
+    return decontamination.contaminated_words(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register
+def op4_quality_rules(spark, sf_dir):
+    return quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
