@@ -40,7 +40,7 @@ def _buckets(documents: DataFrame) -> tuple[DataFrame, int]:
     """Rows with a bucket by id and text. The number of buckets follows the bytes of the table."""
     rows = documents.select("doc_id", "text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    at_least = 2 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at_least = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = max(-(-size // BUCKET_BYTES), at_least)
     return rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))), n
 
