@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinframe.llm import decontamination, near_dedup, pii, quality_rules, secrets, substring_dedup
+from twinframe.llm import decontamination, near_dedup, pii, quality_rules, secrets, sharding, substring_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -21,6 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SHARDS = 40
+
+
+@register
+def op1_byte_shards(spark, sf_dir):
+    return sharding.byte_shards(table(spark, sf_dir, "documents"), SHARDS)
+
+
+@register
+def op3_archived_pages(spark, sf_dir):
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 @register
 def op5_repeated_windows(spark, sf_dir):
     return substring_dedup.removal_digests(table(spark, sf_dir, "documents"))
