@@ -56,16 +56,12 @@ def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
     return words.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("all", i, width))).alias("words")).distinct()
 
 
-def contaminated_words(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH,
-                       shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` for every row of ``documents (doc_id, text)``.
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & a["text_hash"].eqNullSafe(b["text_hash"])
 
-    ``n_hit`` counts the words inside any occurrence of an item window, ``n_items`` the items with one, and the digest
-    is over their ids, sorted as strings and joined by commas. Null and empty texts have no words; items without words
-    have no window. Rows that repeat a ``doc_id`` are told apart by their text, equal rows share one result, and a null
-    ``doc_id`` is a value like any other. Empty tables give no rows, or no hits. Only ``doc_id``, ``item_id`` and
-    ``text`` are read. ``item_id`` null never counts as an item.
-    """
+
+def _found(documents: DataFrame, benchmark: DataFrame, width: int, shingle: int) -> DataFrame:
+    """``hit_id, hit_hash, n_hit, items`` of the texts that hold a window."""
     per_item = item_windows(benchmark.filter("item_id is not null"), width).select(
         "item_id", "words", F.xxhash64("words").alias("hash"))
     per_item = materialise(per_item, "windows")
@@ -102,12 +98,11 @@ def contaminated_words(documents: DataFrame, benchmark: DataFrame, width: int =
     ).select("doc_id", "text_hash", "hash", start.alias("start")).distinct()
     candidates = materialise(candidates, "candidates")
     suspects = materialise(candidates.select("doc_id", "text_hash").distinct(), "suspects")
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & a["text_hash"].eqNullSafe(b["text_hash"])
-    texts = rows.join(suspects, same(rows, suspects), "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    texts = rows.join(suspects, _same(rows, suspects), "left_semi").dropDuplicates(["doc_id", "text_hash"])
     # A text and what it may hold: bounded by its own length, as a window starts at a word at most once.
     proposed = candidates.join(prefixes.select("hash", F.col("words").alias("window")), "hash").groupBy("doc_id", "text_hash").agg(
         F.collect_list(F.struct("start", "window", "hash")).alias("proposed"))
-    hits = texts.join(proposed, same(texts, proposed)).select(
+    hits = texts.join(proposed, _same(texts, proposed)).select(
         texts["doc_id"], texts["text_hash"],
         bound(F.col("words"), lambda w: F.filter(
             "proposed", lambda p: F.slice(w, p["start"] + 1, F.size(p["window"])) == p["window"])).alias("found"),
@@ -119,9 +114,21 @@ def contaminated_words(documents: DataFrame, benchmark: DataFrame, width: int =
     found = hits.select("doc_id", "text_hash", F.explode(F.array_distinct(F.transform("found", lambda p: p["hash"]))).alias("hash"))
     items = found.join(per_item.select("hash", "item_id"), "hash").groupBy("doc_id", "text_hash").agg(
         F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    result = materialise(n_hit.join(items, same(n_hit, items)).select(
+    return materialise(n_hit.join(items, _same(n_hit, items)).select(
         n_hit["doc_id"].alias("hit_id"), n_hit["text_hash"].alias("hit_hash"), "n_hit", "items"), "result")
 
+
+def contaminated_words(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH,
+                       shingle: int = SHINGLE) -> DataFrame:
+    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` for every row of ``documents (doc_id, text)``.
+
+    ``n_hit`` counts the words inside any occurrence of an item window, ``n_items`` the items with one, and the digest
+    is over their ids, sorted as strings and joined by commas. Null and empty texts have no words; items without words
+    have no window. Rows that repeat a ``doc_id`` are told apart by their text, equal rows share one result, and a null
+    ``doc_id`` is a value like any other. Empty tables give no rows, or no hits. Only ``doc_id``, ``item_id`` and
+    ``text`` are read. ``item_id`` null never counts as an item.
+    """
+    result = _found(documents, benchmark, width, shingle)
     every = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(item_words(F.col("text"))).cast("long").alias("n_words"))
     joined = every.join(
         result, every["doc_id"].eqNullSafe(result["hit_id"]) & every["text_hash"].eqNullSafe(result["hit_hash"]), "left")
@@ -131,3 +138,11 @@ def contaminated_words(documents: DataFrame, benchmark: DataFrame, width: int =
         F.size(item_list).cast("long").alias("n_items"),
         F.sha2(F.array_join(item_list, ","), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"),
     )
+
+
+def uncontaminated(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH,
+                   shingle: int = SHINGLE) -> DataFrame:
+    """The rows of ``documents`` that hold no window, with all their columns."""
+    result = _found(documents, benchmark, width, shingle)
+    return documents.join(result, documents["doc_id"].eqNullSafe(result["hit_id"]) & (
+        F.xxhash64(documents["text"]) == result["hit_hash"]), "left_anti")

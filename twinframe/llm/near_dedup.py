@@ -226,17 +226,7 @@ def _pairs_around_pivots(checked: DataFrame, similarity: int) -> DataFrame:
     return a.join(b, meets).select(F.col("a.src").alias("src"), F.col("b.src").alias("dst")).distinct()
 
 
-def near_duplicates(documents: DataFrame, similarity: int = SIMILARITY, size: int = SHINGLE,
-                    groups: int = SUBKEYS, rows: int = ROWS) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``documents (doc_id, text)``.
-
-    Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a text's set is its distinct shingles of ``size`` words,
-    a shorter text is one shingle, and null, empty or blank texts have none and are linked with nothing. Rows are
-    linked when their similarity is at least ``similarity`` per cent, confirmed on the full sets; ``component_id`` is
-    the smallest ``doc_id`` that links reach, ``kept`` says that it is the row's own. Rows that repeat a ``doc_id`` with
-    an equal text all carry the same result. A row without ``doc_id`` takes part and is kept only where no row with
-    one is reachable. An empty table gives no rows, and other columns are not read.
-    """
+def _judged(documents, similarity, size, groups, rows) -> DataFrame:
     signed = materialise(_signatures(documents, size, 2 * groups, rows), "signatures")
     nodes = signed.filter("set_id is not null").groupBy("set_id").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")).alias("top"),
@@ -267,7 +257,32 @@ def near_duplicates(documents: DataFrame, similarity: int = SIMILARITY, size: in
     ).select("set_id", F.coalesce("component_id", "rep").alias("component_id"))
     classes = materialise(classes, "classes")
     own = F.coalesce("component_id", "doc_id")
-    return signed.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left").select(
-        "doc_id", "n_shingles", own.alias("component_id"),
+    return signed.select("doc_id", "text_hash", "n_shingles", "set_id").join(classes, "set_id", "left").select(
+        "doc_id", "text_hash", "n_shingles", own.alias("component_id"),
         F.coalesce(F.col("doc_id") == own, own.isNull()).alias("kept"),
     )
+
+
+def near_duplicates(documents: DataFrame, similarity: int = SIMILARITY, size: int = SHINGLE,
+                    groups: int = SUBKEYS, rows: int = ROWS) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``documents (doc_id, text)``.
+
+    Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a text's set is its distinct shingles of ``size`` words,
+    a shorter text is one shingle, and null, empty or blank texts have none and are linked with nothing. Rows are
+    linked when their similarity is at least ``similarity`` per cent, confirmed on the full sets; ``component_id`` is
+    the smallest ``doc_id`` that links reach, ``kept`` says that it is the row's own. Rows that repeat a ``doc_id`` with
+    an equal text all carry the same result. A row without ``doc_id`` takes part and is kept only where no row with
+    one is reachable. An empty table gives no rows, and other columns are not read.
+    """
+    return _judged(documents, similarity, size, groups, rows).drop("text_hash")
+
+
+def deduplicated(documents: DataFrame, similarity: int = SIMILARITY, size: int = SHINGLE,
+                 groups: int = SUBKEYS, rows: int = ROWS) -> DataFrame:
+    """The rows of ``documents`` that ``near_duplicates`` keeps, with all their columns; one row of each ``doc_id`` and
+    text."""
+    kept = _judged(documents, similarity, size, groups, rows).filter("kept").select(
+        F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
+    texts = documents.withColumn("__text_hash", F.xxhash64("text"))
+    near = texts["doc_id"].eqNullSafe(kept["kept_id"]) & (texts["__text_hash"] == kept["kept_hash"])
+    return texts.join(kept, near, "left_semi").dropDuplicates(["doc_id", "__text_hash"]).drop("__text_hash")

@@ -56,19 +56,19 @@ def _repeated(words: Column) -> Column:
 
 
 def measured(documents: DataFrame) -> DataFrame:
-    """``doc_id, lang`` and the counts of the base rules. Null texts count as empty."""
+    """``doc_id, text_hash, lang`` and the counts of the base rules. Null texts count as empty."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     counts = bound(F.array_remove(F.split(text, SEPARATORS), ""), lambda w: F.struct(
         F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         _repeated(w).cast("long").alias("n_repeat_words")))
     two = documents.select(
-        "doc_id", "lang", counts.alias("c"),
+        "doc_id", F.xxhash64("text").alias("text_hash"), "lang", counts.alias("c"),
         F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         bound(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias("l"),
     )
     return two.select(
-        "doc_id", "lang", "c.n_words", "c.word_chars", "n_symbols", "l.n_dup_lines", "c.n_repeat_words", "l.n_lines"
+        "doc_id", "text_hash", "lang", "c.n_words", "c.word_chars", "n_symbols", "l.n_dup_lines", "c.n_repeat_words", "l.n_lines"
     ).withColumn("base_failed", (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
 
 
@@ -133,6 +133,21 @@ def certified_cutoffs(measures: DataFrame, labels: DataFrame, false_rejection: f
         F.max(F.struct("bad_out", (-F.col("step")).alias("mild"), "cutoff"))["cutoff"].alias("cutoff"))
 
 
+def _verdicts(documents, labels, false_rejection, error) -> DataFrame:
+    """The measures of every row with ``kept``."""
+    measures = materialise(measured(documents), "measures")
+    cutoffs = certified_cutoffs(measures, labels, false_rejection, error)
+    wide = cutoffs.groupBy("lang").agg(*[
+        F.max(F.when(F.col("rule") == name, F.col("cutoff"))).alias(f"cut_{name}") for name in CUTOFFS
+    ]).withColumnRenamed("lang", "stratum")
+    wide = materialise(wide, "cutoffs")  # one row per stratum
+    rejected = F.lit(False)
+    for name, value in scores().items():
+        rejected = rejected | F.coalesce(value > F.col(f"cut_{name}"), F.lit(False))
+    joined = measures.join(wide, F.coalesce("lang", F.lit("")) == F.col("stratum"), "left")
+    return joined.withColumn("kept", ~F.col("base_failed") & ~rejected)
+
+
 def judged(documents: DataFrame, labels: DataFrame, false_rejection: float = FALSE_REJECTION,
            error: float = ERROR) -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept`` for every row of
@@ -143,18 +158,14 @@ def judged(documents: DataFrame, labels: DataFrame, false_rejection: float = FAL
     rows are judged alike, a null ``doc_id`` is judged but never meets a label, other columns are not read. Without
     labels only the base rules apply; an empty table gives no rows.
     """
-    measures = materialise(measured(documents), "measures")
-    cutoffs = certified_cutoffs(measures, labels, false_rejection, error)
-    wide = cutoffs.groupBy("lang").agg(*[
-        F.max(F.when(F.col("rule") == name, F.col("cutoff"))).alias(f"cut_{name}") for name in CUTOFFS
-    ]).withColumnRenamed("lang", "stratum")
-    wide = materialise(wide, "cutoffs")  # one row per stratum
-    over = [F.coalesce(value > F.col(f"cut_{name}"), F.lit(False)) for name, value in scores().items()]
-    rejected = over[0]
-    for more in over[1:]:
-        rejected = rejected | more
-    joined = measures.join(wide, F.coalesce("lang", F.lit("")) == F.col("stratum"), "left")
-    return joined.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & ~rejected).alias("kept"),
-    )
+    return _verdicts(documents, labels, false_rejection, error).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def accepted(documents: DataFrame, labels: DataFrame, false_rejection: float = FALSE_REJECTION,
+             error: float = ERROR) -> DataFrame:
+    """The rows of ``documents`` that ``judged`` keeps, with all their columns."""
+    good = _verdicts(documents, labels, false_rejection, error).filter("kept").select(
+        F.col("doc_id").alias("good_id"), F.col("text_hash").alias("good_hash")).distinct()
+    return documents.join(good, documents["doc_id"].eqNullSafe(good["good_id"]) & (
+        F.xxhash64(documents["text"]) == good["good_hash"]), "left_semi")

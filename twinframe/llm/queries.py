@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinframe.llm import decontamination, near_dedup, pii, quality_rules, secrets, sharding, substring_dedup, warc
+from twinframe.llm import decontamination, near_dedup, perspectives, pii, quality_rules, secrets, segmentation, sharding, substring_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,6 +29,32 @@ def op1_byte_shards(spark, sf_dir):
     return sharding.byte_shards(table(spark, sf_dir, "documents"), SHARDS)
 
 
+@register
+def op2_perspectives(spark, sf_dir):
+    return perspectives.perspective_digests(table(spark, sf_dir, "conversations"))
+
+
+SQL["op2_perspectives"] = """
+WITH turns AS (SELECT conv_id, turn, role AS speaker, coalesce(text, '') AS text FROM conversations),
+speakers AS (SELECT DISTINCT conv_id, speaker AS perspective FROM turns WHERE speaker IS NOT NULL AND speaker <> 'system'),
+views AS (
+  SELECT t.conv_id, s.perspective, t.turn, t.speaker, t.text,
+    CASE WHEN t.speaker = s.perspective THEN 'assistant' WHEN t.speaker = 'system' THEN 'system' ELSE 'user' END AS role,
+    CASE WHEN t.speaker <> s.perspective AND t.speaker <> 'system' THEN t.speaker END AS name
+  FROM turns t JOIN speakers s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
+headed AS (
+  SELECT *, '<|im_start|>' || role || CASE WHEN name IS NULL THEN '' ELSE ' name=' || name END || chr(10) AS head FROM views),
+placed AS (
+  SELECT *, CAST(coalesce(sum(length(head) + length(text) + length('<|im_end|>') + 1) OVER (
+    PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker NULLS FIRST, text
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM headed)
+SELECT conv_id, perspective, turn, role, name, start,
+  CASE WHEN role = 'assistant' THEN start + length(head) END AS train_start,
+  CASE WHEN role = 'assistant' THEN start + length(head) + length(text) END AS train_end,
+  sha256(head || text || '<|im_end|>' || chr(10)) AS rendered_sha256
+FROM placed"""
+
+
 @register
 def op3_archived_pages(spark, sf_dir):
     return warc.archived(table(spark, sf_dir, "pages"))
@@ -44,6 +70,11 @@ def op10_near_duplicates(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@register
+def op6_segmentations(spark, sf_dir):
+    return segmentation.segmentation_digests(table(spark, sf_dir, "documents"))
+
+
 @register
 def op7_personal_data(spark, sf_dir):
     return pii.personal_data(table(spark, sf_dir, "documents"))
