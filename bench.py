@@ -44,7 +44,7 @@ def scan(spark, sf_dir, seconds):
     f = kept_features(spark, sf_dir)
     components = timed("components", lambda: similarity_components(f, SETTINGS))
     split = timed("split", lambda: split_oversized(components, f, SETTINGS))
-    roles = timed("roles", lambda: classify(split, f, SETTINGS))
+    roles = timed("roles", lambda: classify(split.filter("group_id is not null"), f, SETTINGS))
     timed("components_wide", lambda: similarity_components(f, q.WIDE))
     return f, components, roles
 

@@ -8,7 +8,7 @@ from twinframe.config import Settings
 from twinframe.operators import candidates, links, split
 from twinframe.operators.components import connected_components
 from twinframe.operators.similarity import borderline_components, similarity_components, similarity_components_grid
-from twinframe.operators.split import finish_bucket, split_oversized
+from twinframe.operators.split import split_oversized
 
 from builders import FLAT, NARROW, components, frame, ham, random_rows, row, signed, similar
 
@@ -125,20 +125,16 @@ def test_borderline(spark):
 # Splitting ----------------------------------------------------------------------------------------
 
 def _split_plain(rows, s):
-    """One bucket, one round after the other."""
-    bucket, out = sorted(rows, key=lambda r: r["image_id"]), []
-    if s.max_group_size <= 0 or len(bucket) <= s.max_group_size:
-        return [[r["image_id"] for r in bucket]]
+    """One bucket, one centre after the other, in the order of total distance and id."""
+    if s.max_group_size <= 0 or len(rows) <= s.max_group_size:
+        return [[r["image_id"] for r in rows]]
+    total = {r["image_id"]: sum(ham(r["phash"], o["phash"]) for o in rows) for r in rows}
+    bucket, out = sorted(rows, key=lambda r: (total[r["image_id"]], r["image_id"])), []
     while len(bucket) > s.max_group_size:
-        sample = bucket if len(bucket) <= 200 else bucket[::len(bucket) // 200][:200]
-        med = min(sample, key=lambda r: sum(ham(r["phash"], o["phash"]) for o in sample))
-        kept = [r for r in bucket if r is med or similar(med, r, s)]
-        if len(kept) >= 2:
-            out.append([r["image_id"] for r in kept])
+        kept = [r for r in bucket if r is bucket[0] or similar(bucket[0], r, s)]
+        out.append([r["image_id"] for r in kept])
         bucket = [r for r in bucket if r not in kept]
-    if len(bucket) >= 2:
-        out.append([r["image_id"] for r in bucket])
-    return out
+    return [g for g in [*out, [r["image_id"] for r in bucket]] if len(g) > 1]
 
 
 def _split(spark, rows, s):
@@ -146,6 +142,8 @@ def _split(spark, rows, s):
     got = {}
     for r in split_oversized(comps, frame(spark, rows), s).collect():
         got.setdefault(r["group_id"], set()).add(r["image_id"])
+    alone = got.pop(None, set())
+    assert len(alone) + sum(map(len, got.values())) == len(rows)
     return sorted(map(sorted, got.values()))
 
 
@@ -162,12 +160,27 @@ def test_split_cases(spark):
     assert len(_split(spark, [row(f"/s/{i:03d}.jpg") for i in range(100)], CAP.with_(max_group_size=0))) == 1
 
 
-@pytest.mark.parametrize("task_members", [20_000, 40])
-def test_split_equals_one_by_one(spark, monkeypatch, task_members):
-    monkeypatch.setattr(split, "TASK_MEMBERS", task_members)
+@pytest.mark.parametrize("leaders", [1, 64])
+def test_split_equals_one_by_one(spark, monkeypatch, leaders):
+    monkeypatch.setattr(split, "FIRST_LEADERS", leaders)
     s = Settings(max_group_size=8, threshold=4, low_entropy=4.4)
-    for n in (60, 230):
-        if n > 100 and task_members < n:
-            s = s.with_(max_group_size=150)
-        rows = random_rows(n, seed=n, centres=6)
-        assert _split(spark, rows, s) == sorted(map(sorted, _split_plain(rows, s)))
+    rows = random_rows(60 if leaders == 1 else 230, seed=3, centres=6)
+    assert _split(spark, rows, s) == sorted(map(sorted, _split_plain(rows, s)))
+
+
+def test_split_of_a_component_does_not_depend_on_others(spark):
+    one, two = random_rows(40, seed=5, centres=4), random_rows(90, seed=6, centres=4)
+    one, two = ([{**r, "image_id": f"/{k}{r['image_id']}"} for r in rows] for k, rows in (("a", one), ("b", two)))
+    s = Settings(max_group_size=8, threshold=4, low_entropy=4.4)
+    comps = spark.createDataFrame(
+        [(r["image_id"], r["image_id"][:2]) for r in one + two], "image_id string, component string")
+    got = {}
+    for r in split_oversized(comps, frame(spark, one + two), s).filter("group_id is not null").collect():
+        got.setdefault(r["group_id"], set()).add(r["image_id"])
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, _split_plain(one, s) + _split_plain(two, s)))
+
+
+def test_split_of_unlike_members_ends(spark):
+    """Every centre takes itself only: as many centres as members, in a few rounds."""
+    rows = [row(f"/s/{i:04d}.jpg", ((i * 0x9E3779B97F4A7C15) & (2**63 - 1))) for i in range(700)]
+    assert _split(spark, rows, CAP) == sorted(map(sorted, _split_plain(rows, CAP)))

@@ -51,12 +51,12 @@ def exif_field_count(tags: Column) -> Column:
 
 
 def exif_listing(tags: Column) -> Column:
-    """Sorted ``(tag, value)`` pairs without the binary tags, values cut at 200 characters."""
+    """Sorted ``(tag, value)`` pairs without the binary tags; values are whole, a display may cut them."""
     kept = F.map_filter(tags, lambda k, v: ~k.isin(SKIPPED_EXIF_TAGS))
     return F.array_sort(
         F.transform(
             F.map_entries(kept),
-            lambda e: F.struct(e["key"].alias("tag"), F.substring(e["value"], 1, 200).alias("value")),
+            lambda e: F.struct(e["key"].alias("tag"), e["value"].alias("value")),
         )
     )
 

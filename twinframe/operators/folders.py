@@ -10,6 +10,7 @@ from twinframe.functions.paths import ancestors, in_folder
 from twinframe.operators.ranking import rank_in_large_groups
 
 FINGERPRINT_FILES = 50
+HASHES = 4
 
 
 def with_ancestor(df: DataFrame, path: str, folders: DataFrame, folder: str = "folder") -> DataFrame:
@@ -40,8 +41,22 @@ def drop_covered(folders: DataFrame, folder: str = "path") -> DataFrame:
     return folders.join(covered.select(F.col("_p").alias(folder)).distinct(), folder, "left_anti")
 
 
-def folder_fingerprints(listing: DataFrame, max_files: int = FINGERPRINT_FILES) -> DataFrame:
-    """``(dir, fingerprint)``: SHA-256 over the first names of a folder, at most ``max_files`` of them."""
+def folder_fingerprints(listing: DataFrame) -> DataFrame:
+    """``(dir, fingerprint)`` over all names of a folder, in any order and number: SHA-256 of the count and of the sums
+    of the four 64-bit quarters of each name's own SHA-256, which combine map-side."""
+    names = listing.select("dir", "name").distinct().withColumn("digest", F.sha2("name", 256))
+    # Sums of unsigned quarters in decimals wrap nowhere.
+    quarters = [
+        F.sum(F.conv(F.substring("digest", 1 + 16 * k, 16), 16, 10).cast("decimal(38,0)")).cast("string").alias(f"q{k}")
+        for k in range(HASHES)
+    ]
+    sums = names.groupBy("dir").agg(F.count(F.lit(1)).cast("string").alias("n"), *quarters)
+    return sums.select("dir", F.sha2(F.concat_ws(":", "n", *[f"q{k}" for k in range(HASHES)]), 256).alias("fingerprint"))
+
+
+def first_names_fingerprints(listing: DataFrame, max_files: int = FINGERPRINT_FILES) -> DataFrame:
+    """``(dir, fingerprint)``: SHA-256 over the first names of a folder only, at most ``max_files`` of them; a change
+    behind them is not seen."""
     names = listing.select("dir", "name").distinct()
     ranked = rank_in_large_groups(names, "dir", "name").filter(F.col("rank") < max_files)
     joined = F.array_join(F.array_sort(F.collect_list("name")), "\n")
@@ -50,7 +65,7 @@ def folder_fingerprints(listing: DataFrame, max_files: int = FINGERPRINT_FILES)
 
 def verify_fingerprints(tracked: DataFrame, listing: DataFrame) -> DataFrame:
     """Tracked folders with ``matches``: whether the files there still give the stored fingerprint."""
-    empty = F.sha2(F.lit(""), 256)
+    empty = F.sha2(F.lit(""), 256)  # of a folder without files
     now = folder_fingerprints(listing).withColumnRenamed("dir", "path")
     return tracked.join(now, "path", "left").withColumn(
         "matches", F.col("folder_fingerprint") == F.coalesce("fingerprint", empty)

@@ -15,7 +15,8 @@ from twinframe.session import materialise
 def find_groups(features: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``group_members``: duplicate groups, and borderline groups when they are asked for."""
     components = similarity_components(features, settings)
-    groups = classify(split_oversized(components, features, settings), features, settings)
+    split = split_oversized(components, features, settings).filter("group_id is not null")
+    groups = classify(split, features, settings)
     if settings.ambiguous_detection and settings.ambiguous_threshold_factor > 1.0:
         groups = materialise(groups, "groups")
         groups = groups.unionByName(borderline_groups(features, groups, settings))

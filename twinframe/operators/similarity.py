@@ -65,7 +65,7 @@ def _components_of(nodes: DataFrame, edges: DataFrame, combos: int, alone: DataF
     component even without an edge.
     """
     comps = connected_components(edges).select(
-        F.floor(F.col("node") / combos).cast("long").alias("node_id"),
+        F.expr(f"node div {combos}").alias("node_id"),  # whole numbers throughout: ids pass 2^53
         F.pmod(F.col("node"), F.lit(combos)).cast("int").alias("combo_id"),
         "component",
     )

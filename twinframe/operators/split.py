@@ -2,167 +2,93 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinframe.config import Params, Settings
-from twinframe.functions.hashing import ROTATIONS
 from twinframe.operators.predicates import PairRule
-from twinframe.operators.ranking import group_medoids, rank_in_large_groups
+from twinframe.operators.ranking import bit_totals, distance_to_all
 from twinframe.operators.similarity import PAIR_COLUMNS
 from twinframe.session import materialise
 
-SAMPLE = 200
-TASK_MEMBERS = 20_000  # a bucket up to this size is finished inside one task
-MAX_ROUNDS = 500
-
-
-def _bits(a: np.ndarray, b) -> np.ndarray:
-    return np.bitwise_count(np.bitwise_xor(a.astype(np.int64).view(np.uint64), np.int64(b).view(np.uint64))).astype(int)
-
-
-def similar_to(pdf: pd.DataFrame, med: pd.Series, s: Settings) -> np.ndarray:
-    """The pair rule of one member against all rows of a bucket, on arrays."""
-    w, h = pdf["width"].to_numpy(float), pdf["height"].to_numpy(float)
-    ratio = np.divide(w, h, out=np.ones_like(w), where=h > 0)
-    rm = med["width"] / med["height"] if med["height"] > 0 else 1.0
-    gap = lambda x, y: np.abs(x - y) / np.maximum(np.maximum(x, y), 0.001)
-    inverse = np.divide(1.0, ratio, out=np.zeros_like(ratio), where=ratio > 0)
-    turned = np.where(ratio > 0, gap(rm, inverse), 1.0)
-    ok = np.minimum(gap(rm, ratio), turned) <= s.ar_tolerance_pct / 100.0
-
-    cross = pdf["is_raw"].to_numpy(bool) != bool(med["is_raw"])
-    if s.date_guard and pd.notna(med["exif_date"]):
-        away = (pdf["exif_date"] - med["exif_date"]).dt.total_seconds().abs()
-        ok &= ~cross | away.isna().to_numpy() | (away <= s.date_guard_seconds).to_numpy()
-    light = pdf["brightness"].to_numpy(float)
-    ok &= np.abs(light - med["brightness"]) <= s.brightness_max_diff * np.where(
-        cross, s.cross_format_threshold_factor, 1.0
-    )
-
-    if med["width"] > 0 and med["height"] > 0:
-        tol = s.series_tolerance_pct / 100.0
-        same = (w > 0) & (h > 0)
-        same &= np.abs(w - med["width"]) / np.maximum(w, med["width"]) <= tol
-        same &= np.abs(h - med["height"]) / np.maximum(h, med["height"]) <= tol
-    else:
-        same = np.zeros(len(pdf), bool)
-    thr = np.where(same, int(s.threshold * s.series_threshold_factor), s.threshold)
-    if s.raw_use_embedded_thumb:
-        crossed = np.minimum(thr, s.embedded_cap)
-    else:
-        crossed = np.maximum(thr, int(s.cross_base * s.cross_format_threshold_factor))
-    thr = np.where(cross, crossed, thr)
-    if s.dark_protection:
-        dark = (light < s.dark_threshold) | (med["brightness"] < s.dark_threshold)
-        thr = np.where(dark, np.maximum(1, np.floor(thr * s.dark_tighten_factor)), thr)
-
-    phash = pdf["phash"].to_numpy(np.int64)
-    upright = _bits(phash, med["phash"])
-    entropy = pdf["hist_entropy"].to_numpy(float)
-    low = (entropy < s.low_entropy) & (pd.notna(med["hist_entropy"]) and med["hist_entropy"] < s.low_entropy)
-    dist = upright.copy()
-    for r in ROTATIONS:
-        dist = np.minimum(dist, _bits(pdf[r].to_numpy(np.int64), med["phash"]))
-        dist = np.minimum(dist, _bits(phash, med[r]))
-    dist = np.where(cross | low, upright, dist)
-    rotated = dist < upright
-    thr = np.where(rotated, np.maximum(thr, int(s.rotation_base * s.rotation_threshold_factor)), thr)
-    ok &= dist <= thr
-
-    if s.use_dual_hash:
-        dhash = _bits(pdf["dhash"].to_numpy(np.int64), med["dhash"])
-        over = dhash >= thr * s.dhash_factor if s.dhash_inclusive else dhash > thr * s.dhash_factor
-        ok &= cross | rotated | ~(((upright == 0) & low & (dhash >= s.low_entropy_dhash)) | ((upright > 0) & over))
-    if s.use_histogram and med["histogram"] is not None and len(med["histogram"]):
-        mine = np.asarray(med["histogram"], float)
-        for i in np.flatnonzero(ok):
-            other = pdf["histogram"].iat[i]
-            if other is not None and len(other):
-                floor = s.cross_hist_floor if cross[i] else s.hist_min_similarity
-                ok[i] = np.minimum(mine, np.asarray(other, float)).sum() / 3 >= floor
-    return ok
-
-
-def _medoid_position(phash: np.ndarray) -> int:
-    """Position of the medoid of a bucket, on the stride sample the rule asks for."""
-    n = len(phash)
-    picked = np.arange(n) if n <= SAMPLE else np.arange(0, n, max(1, n // SAMPLE))[:SAMPLE]
-    u = phash[picked].astype(np.int64).view(np.uint64)
-    totals = np.bitwise_count(u[:, None] ^ u[None, :]).astype(int).sum(axis=1)
-    return int(picked[int(totals.argmin())])
-
-
-def finish_bucket(pdf: pd.DataFrame, settings: Settings) -> pd.DataFrame:
-    """All medoid rounds of one bucket of bounded size."""
-    bucket = pdf.sort_values("image_id", ignore_index=True)
-    out = []
-    while len(bucket) > settings.max_group_size:
-        at = _medoid_position(bucket["phash"].to_numpy())
-        kept = similar_to(bucket, bucket.iloc[at], settings)
-        kept[at] = True
-        if kept.sum() >= 2:
-            out.append(bucket.loc[kept, "image_id"])
-        bucket = bucket.loc[~kept].reset_index(drop=True)
-    if len(bucket) >= 2:
-        out.append(bucket["image_id"])
-    frames = [pd.DataFrame({"image_id": ids, "group_id": ids.min()}) for ids in out]
-    return pd.concat(frames) if frames else pd.DataFrame({"image_id": [], "group_id": []}, dtype=object)
+FIRST_LEADERS = 64
+MOST_LEADERS = 1024
 
 
 def split_oversized(components: DataFrame, features: DataFrame, settings: Settings) -> DataFrame:
     """``(image_id, group_id)``: components within the cap as they are, larger ones split.
 
-    Each round takes the medoid of a bucket and keeps the members that pass the pair rule against it. The rejected
-    rest is split again while it is over the cap; a rest within the cap becomes a group as it stands, and a single
-    leftover none. Buckets beyond ``TASK_MEMBERS`` take their rounds as joins over the whole cluster.
+    The members of a component have a fixed order: total distance to all members (its medoid first), then
+    ``image_id``. In that order the first member left becomes a centre and takes all members left that pass the pair
+    rule against it, until no more than the cap are left; those form one group as they stand. Whoever ends up alone
+    has a null ``group_id``, so every row of ``components`` comes back.
+
+    Many centres are found at once: among the first members left, a member is a centre if it passes with no centre
+    before it, and everyone else joins the first centre it passes with, which is what one after the other gives. All
+    sizes take the same path. Each round looks at more leaders than the one before, and takes at least one member.
     """
     plain = components.select("image_id", F.col("component").alias("group_id"))
-    if settings.max_group_size <= 0:
-        return plain
     cap = settings.max_group_size
+    if cap <= 0:
+        return plain
     plain = materialise(plain, "components")
     sizes = plain.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.filter(F.col("n") > cap)
+    large = materialise(sizes.filter(F.col("n") > cap), "large")
     if large.isEmpty():
         return plain
     result = plain.join(large, "group_id", "left_anti").select("image_id", "group_id")
-    columns = ["image_id", *PAIR_COLUMNS]
-    open_ = materialise(plain.join(large, "group_id").join(features.select(*columns), "image_id"), "oversized")
-
-    for _ in range(MAX_ROUNDS):
-        # A missing rotation falls back to the upright hash; without nulls the longs stay exact in pandas.
-        fits = open_.filter(F.col("n") <= TASK_MEMBERS).drop("n").withColumns(
-            {r: F.coalesce(r, "phash") for r in ROTATIONS}
-        )
-        done = fits.groupBy("group_id").applyInPandas(
-            lambda pdf: finish_bucket(pdf, settings), "image_id string, group_id string"
-        )
-        result = result.unionByName(done)
-        huge = open_.filter(F.col("n") > TASK_MEMBERS)
-        if huge.isEmpty():
-            return result
-        kept, open_ = _cluster_round(huge, settings)
-        result = result.unionByName(kept)
-    raise RuntimeError(f"oversized groups were not split within {MAX_ROUNDS} rounds")
-
-
-def _cluster_round(huge: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
-    """One medoid round for every bucket: the groups found, and the buckets still to do."""
-    ranked = rank_in_large_groups(huge.select("group_id", "n", "image_id", "phash"), "group_id", "image_id")
-    step = F.greatest(F.lit(1), F.floor(F.col("n") / SAMPLE))
-    sample = ranked.filter((F.col("rank") % step == 0) & (F.col("rank") / step < SAMPLE))
-    medoids = group_medoids(sample.select("group_id", "image_id", "phash"), ["group_id"], F.col("image_id"))
+    members = plain.join(large, "group_id").join(features.select("image_id", *PAIR_COLUMNS), "image_id")
+    totals = members.groupBy("group_id").agg(*bit_totals(F.col("phash")))
+    members = members.join(totals, "group_id").withColumn("total", distance_to_all("phash", "n"))
+    members = materialise(members.select("group_id", "n", "image_id", "total", *PAIR_COLUMNS), "oversized")
+
+    taken, open_, leaders = None, members, FIRST_LEADERS
+    while True:
+        found = materialise(_taken(open_, settings, leaders), "taken")
+        taken = found if taken is None else taken.unionByName(found)
+        rest = open_.join(found.select("image_id"), "image_id", "left_anti")
+        counts = rest.groupBy("group_id").agg(F.count(F.lit(1)).alias("left")).filter(F.col("left") > cap)
+        open_ = materialise(rest.join(counts.select("group_id"), "group_id", "left_semi"), "rest")
+        if open_.isEmpty():
+            return result.unionByName(_named(members, taken, cap))
+        leaders = min(2 * leaders, MOST_LEADERS)
+
+
+def _taken(open_: DataFrame, settings: Settings, leaders: int) -> DataFrame:
+    """``(group_id, image_id, centre, centre_total)`` of the members that the centres among the leaders take."""
+    first = Window.partitionBy("group_id").orderBy("total", "image_id")
+    lead = open_.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= leaders)
     fields = F.struct(*PAIR_COLUMNS)
-    centre = huge.select(F.col("image_id").alias("medoid"), fields.alias("m")).join(medoids, "medoid")
-    rows = huge.join(centre, "group_id").withColumn("o", fields)
+    lead = materialise(lead.select("group_id", "image_id", "total", "rank", fields.alias("m")), "leaders")
     rule = PairRule(F.col("m"), F.col("o"), Params(settings))
-    judged = rows.withColumn("kept", (F.col("image_id") == F.col("medoid")) | rule.similar)
-    judged = materialise(judged.drop("m", "o", "medoid", "n"), "judged")
-    counts = judged.groupBy("group_id", "kept").agg(F.count(F.lit(1)).alias("n"), F.min("image_id").alias("name"))
-    named = judged.join(counts.filter("n > 1"), ["group_id", "kept"]).drop("group_id")
-    named = named.withColumnRenamed("name", "group_id")
-    over = ~F.col("kept") & (F.col("n") > settings.max_group_size)
-    return named.filter(~over).select("image_id", "group_id"), named.filter(over).drop("kept")
+    earlier = lead.select("group_id", F.col("rank").alias("before"), F.col("m").alias("o"))
+    blocked = lead.join(earlier, "group_id").filter((F.col("before") < F.col("rank")) & rule.similar)
+    blocked = blocked.groupBy("group_id", "rank").agg(F.collect_list("before").alias("before"))
+    # At most ``leaders`` entries per component.
+    ordered = lead.join(blocked, ["group_id", "rank"], "left").groupBy("group_id").agg(F.array_sort(F.collect_list(
+        F.struct("rank", "image_id", "total", F.coalesce("before", F.array().cast("array<int>")).alias("before"))
+    )).alias("lead"))
+    none = F.array().cast("array<int>")
+    ranks = F.aggregate("lead", none, lambda chosen, x: F.when(
+        F.arrays_overlap(chosen, x["before"]), chosen).otherwise(F.concat(chosen, F.array(x["rank"]))))
+    centres = ordered.withColumn("ranks", ranks).select("group_id", F.explode("ranks").alias("rank"))
+    centres = materialise(lead.join(centres, ["group_id", "rank"]).select(
+        "group_id", F.col("image_id").alias("centre"), F.col("total").alias("centre_total"), "m"), "centres")
+    rows = open_.select("group_id", "image_id", fields.alias("o")).join(centres, "group_id")
+    passed = rows.filter((F.col("image_id") == F.col("centre")) | rule.similar)
+    best = passed.groupBy("group_id", "image_id").agg(F.min(F.struct("centre_total", "centre")).alias("c"))
+    return best.select("group_id", "image_id", "c.centre", "c.centre_total")
+
+
+def _named(members: DataFrame, taken: DataFrame, cap: int) -> DataFrame:
+    """Groups of the centres up to the point where no more than the cap are left, and of the rest."""
+    sizes = taken.groupBy("group_id", "centre", "centre_total").agg(F.count(F.lit(1)).alias("size"))
+    before = Window.partitionBy("group_id").orderBy("centre_total", "centre").rowsBetween(Window.unboundedPreceding, -1)
+    gone = sizes.withColumn("gone", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    used = gone.join(members.select("group_id", "n").distinct(), "group_id").filter(F.col("n") - F.col("gone") > cap)
+    placed = taken.join(used.select("group_id", "centre"), ["group_id", "centre"])
+    every = members.select("group_id", "image_id").join(placed.select("image_id", "centre"), "image_id", "left")
+    every = materialise(every.withColumn("centre", F.coalesce("centre", F.lit(""))), "placed")
+    names = every.groupBy("group_id", "centre").agg(F.min("image_id").alias("name"), F.count(F.lit(1)).alias("size"))
+    return every.join(names, ["group_id", "centre"]).select(
+        "image_id", F.when(F.col("size") > 1, F.col("name")).alias("group_id"))

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from twinframe import schemas
 from twinframe.functions import labels
-from twinframe.functions.paths import file_name, in_folder
+from twinframe.functions.paths import file_name
+from twinframe.operators.folders import with_ancestor
+from twinframe.operators.ranking import rank_in_large_groups
+from twinframe.session import materialise
 
 RESULTS_VERSION = 1
 CSV_COLUMNS = [
@@ -17,29 +20,48 @@ CSV_COLUMNS = [
 ]
 
 
-def _overwrite_partitions(df: DataFrame, path: str, by: str) -> None:
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+DOCUMENT_MEMBERS = 1000
+EMPTY = "_replaced_by_nothing"
+
+
+def _replace_partition(df: DataFrame, path: str, by: str, value: str) -> None:
+    """Replace the rows of one partition; other partitions stay. ``df`` may read the table it replaces.
+
+    A dynamic overwrite leaves a partition alone that gets no row. Where ``df`` is empty, one row that marks the
+    partition as empty takes its place; readers drop it.
+    """
+    rows = materialise(df.withColumn(EMPTY, F.lit(False)), "replace")
+    if rows.isEmpty():
+        blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields]
+        rows = df.sparkSession.range(1).select(*blank, F.lit(True).alias(EMPTY))
+    rows = rows.withColumn(by, F.lit(value))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    table = spark.read.schema(f"{schema}, {EMPTY} boolean").parquet(path)
+    return table.filter(~F.coalesce(EMPTY, F.lit(False))).drop(EMPTY)
 
 
 # Feature and video caches -------------------------------------------------------------------------
 
 def save_feature_cache(features: DataFrame, path: str, root: str) -> None:
     """Replace the cache of one tracked folder; other folders keep theirs."""
-    _overwrite_partitions(features.withColumn("cache_root", F.lit(root.rstrip("/"))), path, "cache_root")
+    _replace_partition(features, path, "cache_root", root.rstrip("/"))
 
 
 def load_feature_cache(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
-    cache = spark.read.schema(schemas.FEATURES + ", cache_root string").parquet(path)
+    cache = _stored(spark, path, schemas.FEATURES + ", cache_root string")
     return cache if folder is None else cache.filter(F.col("cache_root") == folder.rstrip("/"))
 
 
 def save_video_cache(videos: DataFrame, path: str, root: str) -> None:
-    _overwrite_partitions(videos.withColumn("cache_root", F.lit(root.rstrip("/"))), path, "cache_root")
+    _replace_partition(videos, path, "cache_root", root.rstrip("/"))
 
 
 def load_video_cache(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
     """Rows of the first version have no duration and no frames: missing columns read as null."""
-    cache = spark.read.schema(schemas.VIDEO_FEATURES + ", cache_root string").parquet(path)
+    cache = _stored(spark, path, schemas.VIDEO_FEATURES + ", cache_root string")
     cache = cache.withColumn("frame_hashes", F.coalesce("frame_hashes", F.array().cast("array<bigint>")))
     return cache if folder is None else cache.filter(F.col("cache_root") == folder.rstrip("/"))
 
@@ -47,7 +69,8 @@ def load_video_cache(spark: SparkSession, path: str, folder: str | None = None)
 # Tracked folders ----------------------------------------------------------------------------------
 
 def save_tracked_folders(folders: DataFrame, path: str) -> None:
-    folders.write.mode("overwrite").parquet(path)
+    """Replace the index. ``folders`` may come from the index itself, so it is written elsewhere first."""
+    materialise(folders, "folders").write.mode("overwrite").parquet(path)
 
 
 def load_tracked_folders(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
@@ -61,8 +84,9 @@ def without_folder(folders: DataFrame, gone: DataFrame) -> DataFrame:
 
 def set_folder(folders: DataFrame, entry: DataFrame) -> DataFrame:
     """Add or replace folders; entries below a new one are covered by it and dropped."""
-    new = F.broadcast(entry.select(F.col("path").alias("new")))  # the folders a user adds in one go
-    covered = folders.join(new, in_folder(F.col("path"), F.col("new")), "left_semi")
+    new = entry.select(F.col("path").alias("new"))
+    covered = with_ancestor(folders, "path", new, "new").select("path").union(
+        folders.join(new, F.col("path") == F.col("new")).select("path"))
     return without_folder(folders, covered).unionByName(entry)
 
 
@@ -96,23 +120,22 @@ def save_results(members: DataFrame, features: DataFrame, broken: DataFrame, pat
     solo = facts.join(members.select("image_id"), "image_id", "left_anti").withColumn("role", F.lit("solo"))
     bad = broken.select(F.col("path").alias("image_id"), "file_size").withColumn("role", F.lit("broken"))
     rows = grouped.unionByName(solo, allowMissingColumns=True).unionByName(bad, allowMissingColumns=True)
-    rows = rows.withColumns({"version": F.lit(RESULTS_VERSION), "scan_id": F.lit(scan_id)})
-    _overwrite_partitions(rows, path, "scan_id")
+    _replace_partition(rows.withColumn("version", F.lit(RESULTS_VERSION)), path, "scan_id", scan_id)
 
 
 def load_results(spark: SparkSession, path: str, scan_id: str) -> DataFrame:
     """Rows of one scan; results of another version are not read."""
     table = spark.read.parquet(path)
-    return table.filter((F.col("scan_id") == scan_id) & (F.col("version") == RESULTS_VERSION))
+    return table.filter((F.col("scan_id") == scan_id) & (F.col("version") == RESULTS_VERSION) & ~F.col(EMPTY)).drop(EMPTY)
 
 
 # Exports ------------------------------------------------------------------------------------------
 
-def group_documents(members: DataFrame, features: DataFrame, document_members: int = 10_000) -> DataFrame:
-    """One document per group, as it is written to JSON.
+def group_documents(members: DataFrame, features: DataFrame) -> DataFrame:
+    """The documents of a group, as they are written to JSON: ``group_id, part, is_series, originals, previews``.
 
-    A group of more than ``document_members`` is written as several documents (``part`` 0, 1, ...) that together
-    hold every member, so that no task gathers a group of any size.
+    The format is the same for every group: its members in order of ``image_id``, ``DOCUMENT_MEMBERS`` to a document,
+    numbered by ``part`` from 0. No task gathers more than a document, whatever the size of the group.
     """
     facts = features.select(
         "image_id", "name", "width", "height", "file_size", F.col("mtime").cast("timestamp").cast("double").alias("t"),
@@ -123,8 +146,9 @@ def group_documents(members: DataFrame, features: DataFrame, document_members: i
         F.col("t").alias("mtime"), "brightness", "metadata_count", "companions",
     ))
     of = lambda role: F.array_sort(F.collect_list(F.when(F.col("role") == role, F.col("doc"))))
-    sizes = members.groupBy("group_id").agg(F.ceil(F.count(F.lit(1)) / document_members).alias("parts"))
-    rows = rows.join(sizes, "group_id").withColumn("part", F.pmod(F.xxhash64("image_id"), F.col("parts")))
+    series = members.groupBy("group_id").agg(F.max("is_series").alias("is_series"))
+    rows = rank_in_large_groups(rows.select("group_id", "image_id", "role", "doc"), "group_id", "image_id")
+    rows = rows.withColumn("part", F.floor(F.col("rank") / DOCUMENT_MEMBERS).cast("int")).join(series, "group_id")
     return rows.groupBy("group_id", "part").agg(
         F.max("is_series").alias("is_series"), of("original").alias("originals"), of("preview").alias("previews")
     )

@@ -230,3 +230,38 @@ roles AS MATERIALIZED (
 
 def grouped(s: Settings = SETTINGS) -> list[str]:
     return [FEAT.lstrip(), components(s).lstrip(), roles(s).lstrip()]
+
+
+def split(s: Settings) -> str:
+    """From ``comp`` and ``pairs`` to ``split(image_id, group_id)``: centres one after the other, as in the reference
+    order of members (total distance, then id)."""
+    cap = s.max_group_size
+    return f"""
+big AS MATERIALIZED (SELECT root, count(*) AS n FROM comp GROUP BY root HAVING count(*) > {cap}),
+bm AS MATERIALIZED (SELECT c.root, f.image_id, f.phash FROM comp c JOIN big USING (root) JOIN featm f ON f.image_id = c.id),
+rk AS MATERIALIZED (
+  SELECT root, image_id, row_number() OVER (PARTITION BY root ORDER BY total, image_id) AS r FROM (
+    SELECT a.root, a.image_id, sum({ham('a.phash', 'b.phash')}) AS total FROM bm a JOIN bm b USING (root) GROUP BY ALL)),
+blk AS MATERIALIZED (
+  SELECT root, r, list(low) AS low FROM (
+    SELECT x.root, greatest(x.r, y.r) AS r, least(x.r, y.r) AS low
+    FROM pairs p JOIN rk x ON x.image_id = p.ia JOIN rk y ON y.image_id = p.ib WHERE x.root = y.root) GROUP BY ALL),
+walk AS (
+  SELECT root, 0::BIGINT AS r, []::BIGINT[] AS cs FROM big
+  UNION ALL
+  SELECT w.root, w.r + 1, CASE WHEN list_has_any(coalesce(b.low, []), w.cs) THEN w.cs ELSE list_append(w.cs, w.r + 1) END
+  FROM walk w JOIN rk ON rk.root = w.root AND rk.r = w.r + 1 LEFT JOIN blk b ON b.root = w.root AND b.r = w.r + 1),
+cen AS MATERIALIZED (SELECT w.root, w.cs FROM walk w JOIN big ON big.root = w.root AND big.n = w.r),
+own AS MATERIALIZED (
+  SELECT rk.root, rk.image_id, CASE WHEN list_contains(cs, rk.r) THEN rk.r
+    ELSE list_min(list_intersect(b.low, cs)) END AS centre
+  FROM rk JOIN cen USING (root) LEFT JOIN blk b ON b.root = rk.root AND b.r = rk.r),
+cum AS MATERIALIZED (
+  SELECT root, centre, coalesce(sum(k) OVER (PARTITION BY root ORDER BY centre ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone
+  FROM (SELECT root, centre, count(*) AS k FROM own GROUP BY ALL)),
+put AS MATERIALIZED (
+  SELECT own.root, own.image_id, CASE WHEN big.n - gone > {cap} THEN centre ELSE 0 END AS centre
+  FROM own JOIN cum USING (root, centre) JOIN big USING (root)),
+split AS MATERIALIZED (
+  SELECT image_id, CASE WHEN count(*) OVER w > 1 THEN min(image_id) OVER w END AS group_id FROM put WINDOW w AS (PARTITION BY root, centre)
+  UNION ALL SELECT id, root FROM comp WHERE root NOT IN (SELECT root FROM big))"""

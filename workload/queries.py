@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from twinframe.operators.classify import classify
 from twinframe.operators.similarity import similarity_components
 from twinframe.operators.split import split_oversized
 from twinframe.plans import calibrate, ground_truth, merge, organise, trash
-from twinframe.session import materialise
+from twinframe.session import materialise, work_root
 from twinframe.sources import tables
 from workload import oracle as o
 from workload.derive import SETTINGS, kept_features, simhashes, table
@@ -53,12 +54,18 @@ def kept(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFr
     return _kept[key]
 
 
+def stored(spark: SparkSession, name: str) -> str:
+    """A fresh place for a stored table in the work folder."""
+    return f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def default_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(spark, sf_dir, "groups", lambda: groups.find_groups(kept_features(spark, sf_dir), SETTINGS))
 
 
 GROUPED = o.with_(*o.grouped())
-FEAT = o.with_(o.FEAT.lstrip())
+FEAT_TABLE = o.FEAT.lstrip()
+FEAT = o.with_(FEAT_TABLE)
 
 
 # Features and labels ------------------------------------------------------------------------------
@@ -140,17 +147,23 @@ def exif_fields(spark, sf_dir):
 
 
 @register("exif_attributes", FEAT + """
-SELECT image_id AS path, count(*)::BIGINT AS shown, min(tag) AS first_tag, max(tag) AS last_tag FROM (
-  SELECT image_id, unnest(['Make', 'ISOSpeedRatings', 'FNumber', 'ExposureTime', 'FocalLength']
+, tagged AS (SELECT image_id, tag, CASE tag
+    WHEN 'Make' THEN 'Maker ' || doc_id % 5 WHEN 'Model' THEN 'Model ' || doc_id % 7
+    WHEN 'Lens' THEN 'Zoom' WHEN 'LensModel' THEN 'Prime' WHEN 'ISOSpeedRatings' THEN ((doc_id % 8 + 1) * 100)::VARCHAR
+    WHEN 'ImageDescription' THEN repeat('word' || doc_id || ' ', 60)
+    ELSE strftime(make_timestamp(mtime_s * 1000000), '%Y:%m:%d %H:%M:%S') END AS value
+  FROM (SELECT *, unnest(['Make', 'ISOSpeedRatings', 'ImageDescription']
     || CASE WHEN doc_id % 4 <> 0 THEN ['Model'] ELSE [] END || CASE WHEN doc_id % 2 = 0 THEN ['Lens'] ELSE [] END
     || CASE WHEN doc_id % 6 = 0 THEN ['LensModel'] ELSE [] END
     || CASE WHEN doc_id % 3 = 1 THEN ['DateTimeOriginal'] ELSE [] END
-    || CASE WHEN doc_id % 3 <> 0 THEN ['DateTime'] ELSE [] END) AS tag FROM feat) GROUP BY image_id""")
+    || CASE WHEN doc_id % 3 <> 0 THEN ['DateTime'] ELSE [] END) AS tag FROM feat))
+SELECT image_id AS path, row_number() OVER (PARTITION BY image_id ORDER BY tag) - 1 AS position, tag, value FROM tagged""")
 def exif_attributes(spark, sf_dir):
-    rows = filters.exif_attributes(_exif(kept_features(spark, sf_dir)))
-    return rows.groupBy("path").agg(
-        F.count(F.lit(1)).alias("shown"), F.min("tag").alias("first_tag"), F.max("tag").alias("last_tag")
-    )
+    files = _exif(kept_features(spark, sf_dir))
+    shown = F.map_filter("exif", lambda k, v: ~k.isin("FNumber", "ExposureTime", "FocalLength"))
+    long_value = F.repeat(F.concat(F.lit("word"), F.col("doc_id").cast("string"), F.lit(" ")), 60)
+    files = files.withColumn("exif", F.map_concat(shown, F.create_map(F.lit("ImageDescription"), long_value)))
+    return filters.exif_attributes(files).select("path", "position", "tag", "value")
 
 
 EVENT_NAMES = """
@@ -219,7 +232,8 @@ _roles("group_roles_oldest", OLDEST)
 _roles("group_roles_without_bursts", SETTINGS.with_(disable_series_detection=True))
 
 
-@register("split_groups")
+@register("split_groups", o.with_(FEAT_TABLE, o.components(SPLIT).lstrip(), o.split(SPLIT).lstrip())
+          + "SELECT image_id, group_id FROM split")
 def split_groups(spark, sf_dir):
     f = kept_features(spark, sf_dir)
     return split_oversized(similarity_components(f, SPLIT), f, SPLIT)
@@ -724,13 +738,24 @@ def uncovered_folders(spark, sf_dir):
     return folders.drop_covered(listed)
 
 
-@register("folder_fingerprints", FEAT + """
-SELECT dir, sha256(string_agg(name, chr(10) ORDER BY name)) AS fingerprint
-FROM (SELECT dir, name, row_number() OVER (PARTITION BY dir ORDER BY name) AS n FROM feat) WHERE n <= 50 GROUP BY dir""")
+def _quarter(k: int) -> str:
+    return f"sum(('0x' || substr(sha256(name), {1 + 16 * k}, 16))::UBIGINT::HUGEINT)::VARCHAR"
+
+
+@register("folder_fingerprints", FEAT + f"""
+SELECT dir, sha256(concat_ws(':', count(*)::VARCHAR, {', '.join(_quarter(k) for k in range(4))})) AS fingerprint
+FROM (SELECT DISTINCT dir, name FROM feat) GROUP BY dir""")
 def folder_fingerprints(spark, sf_dir):
     return folders.folder_fingerprints(kept_features(spark, sf_dir))
 
 
+@register("first_names_fingerprints", FEAT + """
+SELECT dir, sha256(string_agg(name, chr(10) ORDER BY name)) AS fingerprint
+FROM (SELECT dir, name, row_number() OVER (PARTITION BY dir ORDER BY name) AS n FROM feat) WHERE n <= 50 GROUP BY dir""")
+def first_names_fingerprints(spark, sf_dir):
+    return folders.first_names_fingerprints(kept_features(spark, sf_dir))
+
+
 @register("moved_folder", FEAT + """
 SELECT CASE WHEN source = 'src1' THEN '/new/place' || substr(image_id, 10) ELSE image_id END AS image_id, doc_id FROM feat""")
 def moved_folder(spark, sf_dir):
@@ -763,33 +788,118 @@ SELECT coalesce(role, 'solo') AS role, count(*) AS n, sum(file_size)::BIGINT AS
 FROM featm LEFT JOIN (SELECT image_id, role FROM roles) USING (image_id) GROUP BY ALL""")
 def stored_results(spark, sf_dir):
     f = kept_features(spark, sf_dir)
-    folder = f"{materialise(f.select('image_id'), 'results')._jdf.inputFiles()[0].rsplit('/', 1)[0]}-saved"
+    folder = stored(spark, "results")
     broken = f.filter("width < 0").select(F.col("image_id").alias("path"), "file_size")
     tables.save_results(default_groups(spark, sf_dir), f, broken, folder, "scan1")
     return tables.load_results(spark, folder, "scan1").groupBy("role").agg(
         F.count(F.lit(1)).alias("n"), F.sum("file_size").alias("bytes"), F.count("exif_date").alias("dated"))
 
 
+@register("stored_features", FEAT + """
+SELECT '/lib/' || source AS cache_root, image_id, phash, file_size, mtime_s FROM feat
+WHERE source IN ('src1', 'src2') AND (source <> 'src2' OR doc_id % 2 = 0)""")
+def stored_features(spark, sf_dir):
+    """A cache of three folders: one is replaced by a part of itself, read from the cache, and one by nothing."""
+    f = kept_features(spark, sf_dir)
+    place = stored(spark, "features")
+    for k in (1, 2, 3):
+        tables.save_feature_cache(f.filter(f"root = '/lib/src{k}'").drop("doc_id", "root"), place, f"/lib/src{k}")
+    half = tables.load_feature_cache(spark, place, "/lib/src2").join(
+        f.filter("doc_id % 2 = 0").select("image_id"), "image_id", "left_semi")
+    tables.save_feature_cache(half.drop("cache_root"), place, "/lib/src2")
+    tables.save_feature_cache(half.drop("cache_root").filter("false"), place, "/lib/src3")
+    return tables.load_feature_cache(spark, place).select(
+        "cache_root", "image_id", "phash", "file_size", F.unix_timestamp("mtime").alias("mtime_s"))
+
+
+@register("stored_videos", o.with_(o.FEAT.lstrip(), VIDEO) + """
+SELECT CASE WHEN ext = '.mp4' THEN '/vid/a' ELSE '/vid/b' END AS cache_root, path, size, mtime_s, thumb AS phash, duration,
+  array_to_string(frames, ',') AS frames FROM vid WHERE ext = '.mp4' OR doc_id % 3 <> 0""")
+def stored_videos(spark, sf_dir):
+    v = _videos(spark, sf_dir)
+    place = stored(spark, "videos")
+    first, second = v.filter("path like '%.mp4'"), v.filter("path like '%.mov'")
+    tables.save_video_cache(first, place, "/vid/a")
+    tables.save_video_cache(second, place, "/vid/b")
+    number = F.regexp_extract("path", r"clip_(\d+)", 1).cast("long")
+    again = tables.load_video_cache(spark, place, "/vid/b").filter(number % 3 != 0)
+    tables.save_video_cache(again.drop("cache_root"), place, "/vid/b")
+    return tables.load_video_cache(spark, place).select(
+        "cache_root", "path", "size", F.unix_timestamp("mtime").alias("mtime_s"), "phash", "duration",
+        F.array_join(F.transform("frame_hashes", lambda h: h.cast("string")), ",").alias("frames"))
+
+
+@register("stored_manifest", GROUPED + """
+SELECT run_id, image_id AS from_path, '/out/trash/' || name AS to_path, 'planned' AS status, group_id
+FROM roles, (VALUES ('first'), ('second')) r(run_id) WHERE role = 'preview' AND doc_id % 9 <> 0 UNION ALL
+SELECT 'first', image_id, '', 'skipped: file not found', group_id FROM roles WHERE role = 'preview' AND doc_id % 9 = 0""")
+def stored_manifest(spark, sf_dir):
+    ops = trash_manifest(spark, sf_dir)
+    place = stored(spark, "manifest")
+    tables.append_manifest(ops, place, "first")
+    tables.append_manifest(ops.filter("status = 'planned'"), place, "second")
+    both = tables.load_manifest(spark, place, "first").unionByName(tables.load_manifest(spark, place, "second"))
+    return both.select("run_id", "from_path", "to_path", "status", "group_id")
+
+
+@register("stored_history", GROUPED + """
+SELECT src, (SELECT count(*) FROM featm) AS total_files, count(DISTINCT group_id) AS groups,
+  count(*) FILTER (role = 'preview') AS duplicates FROM roles, (VALUES ('/lib'), ('/again')) s(src) GROUP BY src""")
+def stored_history(spark, sf_dir):
+    totals = summary.scan_summary(default_groups(spark, sf_dir), kept_features(spark, sf_dir))
+    place = stored(spark, "history")
+    for source in ("/lib", "/again"):
+        tables.append_history(summary.history_row(totals, source), place)
+    return tables.load_history(spark, place).select(F.col("src_folder").alias("src"), "total_files", "groups", "duplicates")
+
+
+@register("stored_folders", FEAT + """
+SELECT path, n AS file_count FROM (SELECT dir AS path, count(*) AS n FROM feat GROUP BY dir)
+WHERE path NOT LIKE '/lib/src1/%' AND path <> '/lib/src1' AND path NOT LIKE '/lib/src2/%' AND path <> '/lib/src2'
+UNION ALL SELECT '/lib/src2', 0""")
+def stored_folders(spark, sf_dir):
+    """The index is saved, folders are dropped from it and one is added above others, each step over its own file."""
+    f = kept_features(spark, sf_dir)
+    place = stored(spark, "folders")
+    blank = [F.lit("").alias(c) for c in ("drive_type", "volume_serial", "folder_fingerprint")]
+    entry = lambda df: df.select("path", *blank, F.lit(None).cast("timestamp").alias("last_updated"), "file_count")
+    tables.save_tracked_folders(entry(f.groupBy(F.col("dir").alias("path")).agg(F.count(F.lit(1)).alias("file_count"))), place)
+    index = tables.load_tracked_folders(spark, place)
+    gone = index.filter("path like '/lib/src1/%' or path = '/lib/src1'")
+    tables.save_tracked_folders(tables.without_folder(index, gone), place)
+    new = entry(spark.range(1).select(F.lit("/lib/src2").alias("path"), F.lit(0).cast("long").alias("file_count")))
+    tables.save_tracked_folders(tables.set_folder(tables.load_tracked_folders(spark, place), new), place)
+    return tables.load_tracked_folders(spark, place).select("path", "file_count")
+
+
 @register("csv_export", GROUPED + """
 SELECT group_id, is_series, role, name AS filename, image_id AS path, width, height, width::BIGINT * height AS pixels,
-  round(brightness, 2) AS brightness, 'Maker ' || doc_id % 5 AS camera_make, printf('f/%.1f', (doc_id % 7 + 2) / 2.0) AS aperture,
+  round(file_size / 1024.0, 1) AS file_size_kb, mtime_s::DOUBLE AS mtime,
+  round(brightness, 2) AS brightness, 'Maker ' || doc_id % 5 AS camera_make,
+  CASE WHEN doc_id % 4 <> 0 THEN 'Model ' || doc_id % 7 ELSE '' END AS camera_model,
+  CASE WHEN doc_id % 6 = 0 THEN 'Prime' WHEN doc_id % 2 = 0 THEN 'Zoom' ELSE '' END AS lens_model,
+  ((doc_id % 8 + 1) * 100)::VARCHAR AS iso, printf('f/%.1f', (doc_id % 7 + 2) / 2.0) AS aperture,
+  CASE WHEN doc_id % 9 = 0 THEN 'fast' WHEN 2.0 / (doc_id % 50 + 1) < 1 THEN
+    '1/' || round_even(1 / (1.0::DOUBLE / (doc_id % 50 + 1) * 2), 0)::BIGINT || 's'
+    ELSE printf('%.1fs', 1.0::DOUBLE / (doc_id % 50 + 1) * 2) END AS shutter_speed,
+  (doc_id % 90 + 10) || 'mm' AS focal_length,
   CASE WHEN doc_id % 3 <> 0 THEN strftime(make_timestamp(mtime_s * 1000000), '%Y:%m:%d %H:%M:%S') ELSE '' END AS date_taken,
-  '' AS gps_lat FROM roles""")
+  '' AS gps_lat, '' AS gps_lon FROM roles""")
 def csv_export(spark, sf_dir):
     f = kept_features(spark, sf_dir)
     rows = tables.csv_rows(default_groups(spark, sf_dir), f, _exif(f).drop("doc_id"))
-    return rows.select("group_id", "is_series", "role", "filename", "path", "width", "height", "pixels", "brightness",
-                       "camera_make", "aperture", "date_taken", "gps_lat")
+    return rows.drop("metadata_count", "companions")  # constant in the derived features
 
 
 @register("group_documents", GROUPED + """
-SELECT group_id, is_series, count(*) FILTER (role = 'original') AS originals, count(*) FILTER (role = 'preview') AS previews,
-  min(image_id) FILTER (role = 'preview') AS first_preview FROM roles GROUP BY ALL""")
+SELECT group_id, ((row_number() OVER (PARTITION BY group_id ORDER BY image_id) - 1) // 1000)::INT AS part, is_series, role,
+  image_id AS path, name AS filename, width, height, file_size, mtime_s::DOUBLE AS mtime, round(brightness, 2) AS brightness FROM roles""")
 def group_documents(spark, sf_dir):
     docs = tables.group_documents(default_groups(spark, sf_dir), kept_features(spark, sf_dir))
-    return docs.groupBy("group_id", "is_series").agg(
-        F.sum(F.size("originals")).alias("originals"), F.sum(F.size("previews")).alias("previews"),
-        F.min(F.when(F.size("previews") > 0, F.get("previews", F.lit(0))["path"])).alias("first_preview"))
+    fields = ["path", "filename", "width", "height", "file_size", "mtime", "brightness"]
+    of = lambda role: docs.select("group_id", "part", "is_series", F.lit(role).alias("role"), F.explode(f"{role}s").alias("d"))
+    every = of("original").union(of("preview"))
+    return every.select("group_id", "part", "is_series", "role", *[F.col(f"d.{c}").alias(c) for c in fields])
 
 
 # Calibration --------------------------------------------------------------------------------------
