@@ -23,6 +23,8 @@ DEFAULT_SKIP_NAMES = [".thumbnails", "thumbs", "@eaDir", "Thumbs"]
 class Settings:
     """Every value that changes a result. Immutable; use :meth:`with_` for a variant."""
 
+    # The defaults.
+
     threshold: int = 2
     preview_ratio: float = 0.90
     series_tolerance_pct: float = 0.0

@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from twinframe.config import Settings
 from twinframe.operators.classify import classify
+from twinframe.operators.filters import at_least
 from twinframe.operators.similarity import borderline_components, similarity_components
 from twinframe.operators.split import split_oversized
 from twinframe.session import materialise
 
 
 def find_groups(features: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``group_members``: duplicate groups, and borderline groups when they are asked for."""
+    """``group_members``: duplicate groups, and borderline groups when they are asked for. Images with both sides
+    below ``settings.min_dimension`` take no part."""
+    features = at_least(features, settings.min_dimension)
     components = similarity_components(features, settings)
     split = split_oversized(components, features, settings).filter("group_id is not null")
     groups = classify(split, features, settings)
@@ -33,6 +36,11 @@ def borderline_groups(features: DataFrame, groups: DataFrame, settings: Settings
     )
 
 
+def with_video_groups(images: DataFrame, videos: DataFrame) -> DataFrame:
+    """Image and video groups in one table, with ``media`` to tell them apart."""
+    return images.withColumn("media", F.lit("image")).unionByName(videos.withColumn("media", F.lit("video")))
+
+
 def display_ids(members: DataFrame, prefix: str = "g") -> DataFrame:
     """Short running numbers for a group table. One row per group is numbered, never the members."""
     groups = members.select("group_id").distinct()

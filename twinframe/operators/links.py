@@ -38,7 +38,9 @@ class Linker:
     """Tests node pairs of one node table, under one configuration or under every row of a settings grid."""
 
     def __init__(self, nodes: DataFrame, rule: Rule, grid: DataFrame | None = None, combos: int = 1,
-                 dhash_radius: int | None = None, low_entropy: float | None = None, low_radius: int | None = None):
+                 dhash_radius: int | None = None, low_entropy: float | None = None, low_radius: int | None = None,
+                 early: Rule | None = None, wide: tuple[str, ...] = ()):
+        """``early`` is the part of ``rule`` that reads none of the ``wide`` columns."""
         self.nodes = nodes
         self.rule = rule
         self.grid = grid
@@ -46,14 +48,18 @@ class Linker:
         self.dhash_radius = dhash_radius
         self.low_entropy = low_entropy
         self.low_radius = low_radius
+        self.early = early
+        self.wide = wide if early is not None else ()
 
     def vertex(self, node: str, combo: str = "combo_id") -> Column:
         return F.col(node) * self.combos + F.col(combo)
 
     def test(self, ids: DataFrame) -> DataFrame:
         """``(a, b[, combo_id])`` to the vertex edges that pass."""
-        fields = F.struct(*[c for c in self.nodes.columns if c != "node_id"])
+        fields = F.struct(*[c for c in self.nodes.columns if c != "node_id" and c not in self.wide])
         side = lambda name: self.nodes.select(F.col("node_id").alias(name), fields.alias(f"{name}_"))
+        heavy = lambda name: self.nodes.select(
+            F.col("node_id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in self.wide])
         # A hot pivot meets many nodes: join on the many side first, then fetch the pivot.
         df = ids.filter("a <> b").join(side("a"), "a").join(side("b"), "b")
         if self.grid is not None:
@@ -61,6 +67,12 @@ class Linker:
             df = df.join(small, "combo_id") if "combo_id" in ids.columns else df.crossJoin(small)
         elif "combo_id" not in ids.columns:
             df = df.withColumn("combo_id", F.lit(0))
+        if self.wide:
+            # Wide columns are fetched for what the narrow ones leave.
+            df = df.filter(self.early(F.col("a_"), F.col("b_"))).join(heavy("a"), "a").join(heavy("b"), "b")
+            for name in ("a", "b"):
+                for c in self.wide:
+                    df = df.withColumn(f"{name}_", F.col(f"{name}_").withField(c, F.col(f"{name}_{c}")))
         passed = df.filter(self.rule(F.col("a_"), F.col("b_")))
         return passed.select(self.vertex("a").alias("src"), self.vertex("b").alias("dst"))
 

@@ -105,6 +105,11 @@ class PairRule:
         """Cheap guards first: the conjunction short-circuits, so histograms are read last."""
         return both(self.ar_ok, self.date_ok, self.brightness_ok, self.phash_ok, self.dhash_ok, self.hist_ok)
 
+    @property
+    def similar_but_histogram(self) -> Column:
+        """All guards that need no histogram: what passes is worth fetching one."""
+        return both(self.ar_ok, self.date_ok, self.brightness_ok, self.phash_ok, self.dhash_ok)
+
     @property
     def blocked_by(self) -> Column:
         return (

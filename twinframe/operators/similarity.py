@@ -120,6 +120,7 @@ def _linker(nodes: DataFrame, settings: list[Settings], grid: DataFrame | None)
         lambda a, b: PairRule(a, b, params).similar,
         grid, len(settings) if grid is not None else 1,
         max(0, math.ceil(limit)) if keyed else None, first.low_entropy, first.low_entropy_dhash - 1,
+        lambda a, b: PairRule(a, b, params).similar_but_histogram, ("histogram",),
     )
 
 

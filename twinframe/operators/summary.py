@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinframe.config import DEFAULT_SKIP_NAMES
+from twinframe.operators.filters import of_class
+from twinframe.operators.folders import with_ancestor
 from twinframe.operators.groups import display_ids
 
 
@@ -46,6 +49,17 @@ def per_folder_counts(members: DataFrame, root: str = "root") -> DataFrame:
     )
 
 
+def images_per_root(listing: DataFrame, roots: DataFrame, skip_names: list[str] = DEFAULT_SKIP_NAMES) -> DataFrame:
+    """``(root, images)``: image and RAW files below each root of ``roots(root)``, without skipped folders. A root
+    without images counts zero; a file below two listed roots counts for both."""
+    inside = with_ancestor(of_class(listing, "image", "raw"), "path", roots, "root")
+    relative = F.split(F.expr("substring(dir, length(root) + 2)"), "/")
+    if skip_names:
+        inside = inside.filter(~F.arrays_overlap(relative, F.array(*[F.lit(n) for n in skip_names])))
+    counts = inside.groupBy("root").agg(F.count(F.lit(1)).alias("images"))
+    return roots.select("root").distinct().join(counts, "root", "left").na.fill(0, ["images"])
+
+
 def status_counts(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("type", "status").agg(F.count(F.lit(1)).alias("n"))
 

@@ -13,6 +13,7 @@ from twinframe.operators.ranking import rank_in_large_groups
 from twinframe.session import materialise
 
 RESULTS_VERSION = 1
+# The columns of the export.
 CSV_COLUMNS = [
     "group_id", "is_series", "role", "filename", "path", "width", "height", "pixels", "file_size_kb", "mtime",
     "brightness", "metadata_count", "companions", "camera_make", "camera_model", "lens_model", "iso", "aperture",

@@ -135,7 +135,7 @@ def closure(name: str, verts: str, edges: str) -> str:
 
 def components(s: Settings) -> str:
     pairs = f"""
-featm AS MATERIALIZED (SELECT * FROM feat),
+featm AS MATERIALIZED (SELECT * FROM feat WHERE greatest(width, height) >= {s.min_dimension}),
 pairs AS MATERIALIZED (SELECT * FROM (SELECT {pair_columns(s)} FROM featm a JOIN featm b ON a.image_id < b.image_id)
   WHERE {similar(s)})"""
     return pairs + "," + closure(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinframe.config import SIDECAR_EXTENSIONS
@@ -229,6 +229,7 @@ def _roles(name: str, s):
 _roles("group_roles", SETTINGS)
 _roles("group_roles_one_format", ONE_FORMAT)
 _roles("group_roles_oldest", OLDEST)
+_roles("group_roles_large_images", SETTINGS.with_(min_dimension=2000))
 _roles("group_roles_without_bursts", SETTINGS.with_(disable_series_detection=True))
 
 
@@ -581,6 +582,35 @@ def manual_groups_after_removal(spark, sf_dir):
     return review.remove_manual_members(manual, gone.select("group_id", "image_id"))[0]
 
 
+@register("manual_groups_removed", FEAT + """
+, man AS (SELECT 'm' || doc_id % 50 AS group_id, image_id FROM feat WHERE doc_id % 20 = 7)
+SELECT CASE WHEN group_id IN ('m7', 'm27') THEN '' ELSE group_id END AS group_id, image_id FROM man""")
+def manual_groups_removed(spark, sf_dir):
+    """Two whole groups are removed; their images are listed under the empty group."""
+    manual = _manual(spark, sf_dir)
+    gone = manual.filter("group_id in ('m7', 'm27')").select("group_id").distinct()
+    kept_, freed = review.remove_manual_groups(manual, gone)
+    return kept_.unionByName(freed.select(F.lit("").alias("group_id"), "image_id"))
+
+
+@register("manual_groups_created", FEAT + """
+, man AS (SELECT 'm' || doc_id % 50 AS group_id, image_id FROM feat WHERE doc_id % 20 = 7)
+SELECT * FROM man UNION ALL SELECT 'new', image_id FROM feat WHERE doc_id % 40 = 9""")
+def manual_groups_created(spark, sf_dir):
+    """One group is added; a choice of a single image adds none."""
+    f = kept_features(spark, sf_dir)
+    manual = review.create_manual_group(_manual(spark, sf_dir), f.filter("doc_id % 40 = 9").select("image_id"), "new")
+    return review.create_manual_group(manual, f.filter("doc_id = 3").select("image_id"), "alone")
+
+
+@register("images_per_root", FEAT + """
+SELECT root, count(*) FILTER (lang NOT IN ('de', 'fr')) AS images FROM feat GROUP BY root UNION ALL SELECT '/nowhere', 0""")
+def images_per_root(spark, sf_dir):
+    f = kept_features(spark, sf_dir).withColumn("path", F.col("image_id"))
+    roots = f.select("root").distinct().union(spark.range(1).select(F.lit("/nowhere")))
+    return summary.images_per_root(f.drop("root"), roots, ["de", "fr"])
+
+
 # Videos -------------------------------------------------------------------------------------------
 
 def _frame_sums() -> str:
@@ -660,6 +690,28 @@ _video_query("video_groups_any_container", SETTINGS.with_(video_match_format=Fal
 _video_query("video_groups_by_content", SETTINGS.with_(video_match_format=False, video_match_size=False))
 
 
+@register("video_groups_guarded", _video_sql(SETTINGS.with_(video_match_format=False)))
+def video_groups_guarded(spark, sf_dir):
+    """With neither container nor size asked for, the scan switches size on."""
+    s = videos.require_a_criterion(SETTINGS.with_(video_match_format=False, video_match_size=False))
+    return videos.find_video_groups(_videos(spark, sf_dir), s).select("group_id", "image_id", "role", "is_ambiguous")
+
+
+@register("all_groups", o.with_(*o.grouped(), VIDEO.lstrip()) + """
+SELECT 'image' AS media, group_id, image_id, role FROM roles UNION ALL
+SELECT 'video', 'v:' || min(path) OVER w, path, CASE WHEN row_number() OVER (w ORDER BY mtime_s, -size, path) = 1 THEN 'original' ELSE 'preview' END
+FROM (SELECT *, count(*) OVER (PARTITION BY ext, size) AS n FROM vid WHERE thumb <> 0 AND doc_id % 13 <> 0
+  QUALIFY max(thumb) OVER (PARTITION BY ext, size) = min(thumb) OVER (PARTITION BY ext, size)) WHERE n > 1
+WINDOW w AS (PARTITION BY ext, size)""")
+def all_groups(spark, sf_dir):
+    """Image groups next to the groups of videos alike in container, size and thumbnail."""
+    same = Window.partitionBy(F.regexp_extract("path", r"(\.\w+)$", 1), "size")
+    v = _videos(spark, sf_dir).filter("phash <> 0").withColumn("lo", F.min("phash").over(same)).withColumn("hi", F.max("phash").over(same))
+    found = videos.find_video_groups(v.filter("lo = hi").drop("lo", "hi"), SETTINGS.with_(video_match_content=False))
+    both = groups.with_video_groups(default_groups(spark, sf_dir), found)
+    return both.select("media", "group_id", "image_id", "role")
+
+
 @register("video_cache_update", FEAT + """
 SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'new' ELSE 'old' END AS state FROM feat WHERE doc_id % 10 <> 1""")
 def video_cache_update(spark, sf_dir):
