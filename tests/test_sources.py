@@ -85,7 +85,6 @@ def test_listing(spark, library):
 
 
 def test_pixels_to_groups(spark, library):
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
     features, broken = image_features(spark, library)
     rows = {r["name"]: r for r in features.collect()}
     assert [r["name"] for r in broken.collect()] == ["bad.jpg"] and len(rows) == 6

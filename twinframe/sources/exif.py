@@ -100,9 +100,12 @@ def _maps_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"path": pdf["path"], "exif": [parse_exif(bytes(c)) for c in pdf["content"]]})
 
 
-def read_exif_maps(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """``(path, exif)`` for every file below a root; files without a block have an empty map."""
+def read_exif_maps(spark: SparkSession, root: str, recursive: bool = True, glob: str | None = None) -> DataFrame:
+    """``(path, exif)`` for the files below a root, those that match ``glob`` if one is given; files without a block
+    have an empty map."""
     reader = spark.read.format("binaryFile")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
     files = reader.load(root).select(plain_path(F.col("path")).alias("path"), "content")
