@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinframe.llm.words import STEP, as_text, by_bytes, mixed, split_words, window_hashes, word_hashes
+from twinframe.llm.words import STEP, arrow_batches, as_text, by_bytes, mixed, split_words, window_hashes, word_hashes
 from twinframe.operators.components import connected_components
 from twinframe.session import materialise
 
@@ -36,6 +36,7 @@ SIMILARITY = 75  # per cent
 SUBKEYS = 12
 ROWS = 2
 CHUNK = 1 << 16
+BATCH_ROWS = 1000
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
@@ -226,7 +227,8 @@ def _pairs_around_pivots(checked: DataFrame, similarity: int) -> DataFrame:
     return a.join(b, meets).select(F.col("a.src").alias("src"), F.col("b.src").alias("dst")).distinct()
 
 
-def _judged(documents, similarity, size, groups, rows) -> DataFrame:
+def _classes(documents, similarity, size, groups, rows) -> tuple[DataFrame, DataFrame]:
+    """Every row with its set, and the component of each set that is shared or linked."""
     signed = materialise(_signatures(documents, size, 2 * groups, rows), "signatures")
     nodes = signed.filter("set_id is not null").groupBy("set_id").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")).alias("top"),
@@ -256,6 +258,12 @@ def _judged(documents, similarity, size, groups, rows) -> DataFrame:
         F.col("component_id").isNotNull() | (F.col("copies") > 1)
     ).select("set_id", F.coalesce("component_id", "rep").alias("component_id"))
     classes = materialise(classes, "classes")
+    return signed, classes
+
+
+def _judged(documents, similarity, size, groups, rows) -> DataFrame:
+    with arrow_batches(documents.sparkSession, BATCH_ROWS):
+        signed, classes = _classes(documents, similarity, size, groups, rows)
     own = F.coalesce("component_id", "doc_id")
     return signed.select("doc_id", "text_hash", "n_shingles", "set_id").join(classes, "set_id", "left").select(
         "doc_id", "text_hash", "n_shingles", own.alias("component_id"),

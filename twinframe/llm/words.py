@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import SparkSession
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -93,3 +96,16 @@ def by_bytes(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20):
         stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int):
+    """For jobs that run inside: at most so many rows go to a Python worker at a time, which bounds its memory and the
+    buffers beside the heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
