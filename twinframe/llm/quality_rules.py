@@ -72,6 +72,11 @@ def measured(documents: DataFrame) -> DataFrame:
     ).withColumn("base_failed", (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
 
 
+def _part(doc_id: Column) -> Column:
+    """One of ``PARTS`` parts; a plain sum, so that SQL can say it too."""
+    return F.pmod(F.pmod(F.pmod(doc_id, F.lit(1000003)) * 7919, F.lit(10007)), F.lit(PARTS))
+
+
 def scores() -> dict[str, Column]:
     words, long_as = F.greatest("n_words", F.lit(1)), F.col("word_chars") / F.greatest("n_words", F.lit(1))
     return {
@@ -106,7 +111,7 @@ def certified_cutoffs(measures: DataFrame, labels: DataFrame, false_rejection: f
     known = labels.select("doc_id", "quality").filter("doc_id is not null and quality is not null")
     seen = measures.filter(~F.col("base_failed")).join(known, "doc_id").select(
         F.coalesce("lang", F.lit("")).alias("lang"), (F.col("quality") == 1).alias("good"),
-        (F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)) == 0).alias("proposes"),
+        (_part(F.col("doc_id")) == 0).alias("proposes"),
         *[value.alias(name) for name, value in scores().items()],
     )
     # Sums over the whole table: one row per stratum, whatever the number of labels.

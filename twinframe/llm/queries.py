@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinframe.llm import decontamination, near_dedup, perspectives, pii, quality_rules, secrets, segmentation, sharding, substring_dedup, warc
+from twinframe.llm import decontamination, near_dedup, oracles, perspectives, pii, quality_rules, secrets, segmentation, sharding, substring_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -93,3 +93,10 @@ def op9_contaminated_words(spark, sf_dir):
 @register
 def op4_quality_rules(spark, sf_dir):
     return quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+SQL |= {
+    "op3_archived_pages": oracles.ARCHIVED, "op4_quality_rules": oracles.QUALITY,
+    "op5_repeated_windows": oracles.REPEATED_WINDOWS, "op9_contaminated_words": oracles.CONTAMINATED,
+    "op10_near_duplicates": oracles.NEAR_DUPLICATES,
+}
