@@ -17,7 +17,7 @@ def test_pipeline(spark, documents, tmp_path):
     rng = random.Random(9)
     text = lambda n: " ".join(f"w{rng.randrange(10**5)}" for _ in range(n))
     items = [(k, text(30)) for k in range(3)]
-    rows = [(k, text(rng.randint(40, 90))) for k in range(30)]
+    rows = [(k, text(rng.randint(60, 90))) for k in range(30)]
     rows += [(100 + k, rows[k][1] + " tail") for k in range(5)] + [(200, f"{text(60)} {items[1][1]}"), (201, text(60) + " a@b.c"), (202, None), (203, "")]
     documents(rows).drop("bucket", "text_hash").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
