@@ -184,3 +184,14 @@ def test_split_of_unlike_members_ends(spark):
     """Every centre takes itself only: as many centres as members, in a few rounds."""
     rows = [row(f"/s/{i:04d}.jpg", ((i * 0x9E3779B97F4A7C15) & (2**63 - 1))) for i in range(700)]
     assert _split(spark, rows, CAP) == sorted(map(sorted, _split_plain(rows, CAP)))
+
+
+def test_vertex_ids_stay_whole_beyond_doubles(spark):
+    """Node ids of far partitions times the number of configurations pass 2^53."""
+    from twinframe.operators.similarity import _components_of
+
+    combos, first = 87, 2**60 // 87
+    nodes = spark.createDataFrame([(first + k, f"/{k}") for k in range(4)], "node_id long, image_id string")
+    edges = spark.createDataFrame([(first * combos + 5, (first + 3) * combos + 5)], "src long, dst long")
+    got = {(r["node_id"], r["combo_id"], r["component"]) for r in _components_of(nodes, edges, combos).collect()}
+    assert got == {(first, 5, "/0"), (first + 3, 5, "/0")}

@@ -121,7 +121,17 @@ def test_fingerprints(spark):
     files = spark.createDataFrame([("/a", f"n{i:03d}") for i in range(70)] + [("/b", "x")], "dir string, name string")
     got = {r["dir"]: r["fingerprint"] for r in folders.folder_fingerprints(files).collect()}
     sha = lambda names: hashlib.sha256("\n".join(names).encode()).hexdigest()
-    assert got == {"/a": sha([f"n{i:03d}" for i in range(50)]), "/b": sha(["x"])}
+    first = {r["dir"]: r["fingerprint"] for r in folders.first_names_fingerprints(files).collect()}
+    assert first == {"/a": sha([f"n{i:03d}" for i in range(50)]), "/b": sha(["x"])}
+
+    def plain(names):
+        digests = [hashlib.sha256(n.encode()).hexdigest() for n in names]
+        sums = [str(sum(int(d[16 * k:16 * k + 16], 16) for d in digests)) for k in range(4)]
+        return hashlib.sha256(":".join([str(len(names)), *sums]).encode()).hexdigest()
+
+    assert got == {"/a": plain([f"n{i:03d}" for i in range(70)]), "/b": plain(["x"])}
+    changed = files.filter("name <> 'n069'")
+    assert folders.folder_fingerprints(changed).filter("dir = '/a'").first()["fingerprint"] != got["/a"]
     tracked = spark.createDataFrame([("/a", got["/a"]), ("/b", "old"), ("/c", sha([]))], "path string, folder_fingerprint string")
     seen = {r["path"]: r["matches"] for r in folders.verify_fingerprints(tracked, files).collect()}
     assert seen == {"/a": True, "/b": False, "/c": True}
@@ -144,4 +154,4 @@ def test_calibration(spark):
     assert abs(scored["score"] - (4 + 2 + 2 + 1) / (6 + 2 + 1 + 3)) < 1e-12
     timed = spark.createDataFrame([("base", 4.0, 0.0), ("fast", 1.0, -3.0), ("mid", 2.0, -1.0)], "variant string, seconds double, accuracy_delta double")
     tiers = {r["tier"]: r["variant"] for r in calibrate.speed_tiers(timed.selectExpr("*", "4.0D as base_seconds")).collect()}
-    assert tiers == {"Accuracy": "base", "Balanced": "mid", "Fast": "fast", "Speed": "fast"}
+    assert tiers == {"no loss": "base", "2 points": "mid", "5 points": "fast", "10 points": "fast"}

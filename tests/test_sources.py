@@ -110,6 +110,10 @@ def test_stored_tables(spark, tmp_path):
     assert names(tables.load_feature_cache(spark, at)) == ["/a/x.jpg", "/a/y.jpg", "/b/q.jpg"]
     assert names(tables.load_feature_cache(spark, at, "/b")) == ["/b/q.jpg"]
 
+    tables.save_feature_cache(tables.load_feature_cache(spark, at, "/a").drop("cache_root").filter("name = 'x.jpg'"), at, "/a")
+    tables.save_feature_cache(f.filter("false"), at, "/b")
+    assert names(tables.load_feature_cache(spark, at)) == ["/a/x.jpg"]
+
     v1 = spark.createDataFrame([("/a/v.mp4", 5, None, 7)], "path string, size bigint, mtime timestamp, phash bigint")
     tables.save_video_cache(v1, str(tmp_path / "v"), "/a")
     old = tables.load_video_cache(spark, str(tmp_path / "v"), "/a").first()
@@ -126,6 +130,10 @@ def test_stored_tables(spark, tmp_path):
     tables.save_tracked_folders(tables.set_folder(folders, entry), str(tmp_path / "folders"))
     assert sorted(r["path"] for r in tables.load_tracked_folders(spark, str(tmp_path / "folders")).collect()) == ["/p", "/q"]
 
+    index = tables.load_tracked_folders(spark, str(tmp_path / "folders"))
+    tables.save_tracked_folders(tables.without_folder(index, index.filter("path = '/q'")), str(tmp_path / "folders"))
+    assert [r["path"] for r in tables.load_tracked_folders(spark, str(tmp_path / "folders")).collect()] == ["/p"]
+
     members = spark.createDataFrame([("g", "/a/x.jpg", "original", False, False), ("g", "/a/y.jpg", "preview", False, False)], "group_id string, image_id string, role string, is_series boolean, is_ambiguous boolean")
     tables.save_results(members, f, f.limit(0).withColumnRenamed("image_id", "path"), str(tmp_path / "results"), "s1")
     assert sorted(r["role"] for r in tables.load_results(spark, str(tmp_path / "results"), "s1").collect()) == ["original", "preview", "solo"]
