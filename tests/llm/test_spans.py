@@ -62,6 +62,18 @@ def test_disguises(text, kind, span):
     assert pii.TAGS[pii.KINDS.index(kind)] in pii.redact(text)
 
 
+@pytest.mark.parametrize("text,kind,plain", [
+    ("jоhn@example.com", "email", "hn@example.com"), ("john@mail.exаmple.com", "email", "john@mail.ex"),
+    ("１92.168.0.1", "ip", "92.168.0.1"), ("+1 555 123 456７", "phone", "+1 555 123 456"),
+])
+def test_longer_span_beside_plain_one(text, kind, plain):
+    at = 4 + text.index(plain)
+    text, k = f"see {text} there", pii.KINDS.index(kind)
+    base, found = pii.find_spans(text)
+    assert base == [(k, at, at + len(plain))] and set(found) == {*base, (k, 4, len(text) - 6)}
+    assert pii.redact(text) == f"see {pii.TAGS[k]} there"
+
+
 def test_prose_is_left_alone():
     for text in ["one two or three at home", "we met at noon on the dot", "at (a) or [b]", "I met one one day", "année zéro"]:
         assert pii.find_spans(text) == ([], []) and pii.redact(text) == text

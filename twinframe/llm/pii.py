@@ -161,7 +161,7 @@ def maybe_disguised(texts: pa.Array) -> list[bool]:
 
 
 def find_spans(text: str, disguised: bool = True) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Plain spans, and all spans with those of the normal form that overlap no plain span of their kind."""
+    """Plain spans, and all spans with those of the normal form that lie in no plain span of their kind."""
     plain = plain_spans(text)
     steps = normal_forms(text) if disguised else []
     if not steps:
@@ -170,7 +170,7 @@ def find_spans(text: str, disguised: bool = True) -> tuple[list[tuple[int, int,
     for kind, start, end in plain_spans(steps[-1].text):
         for step in reversed(steps):
             start, end = step.source(start, end)
-        if not any(k == kind and s < end and start < e for k, s, e in plain):
+        if not any(k == kind and s <= start and end <= e for k, s, e in plain):
             found.add((kind, start, end))
     return plain, sorted(found)
 
