@@ -8,6 +8,7 @@ import re
 import urllib.parse
 import zlib
 
+import pyarrow as pa
 import pytest
 
 from twinframe.llm import pii, secrets
@@ -74,6 +75,22 @@ def test_longer_span_beside_plain_one(text, kind, plain):
     assert pii.redact(text) == f"see {pii.TAGS[k]} there"
 
 
+@pytest.mark.parametrize("hidden,kind", [
+    ("jo [at] mail dot com", "email"), ("jo at mail [dot] com", "email"), ("jo@mail dot com", "email"),
+    ("jo at mail.com", "email"), ("10 dot 0 dot 0 dot 1", "ip"), ("10 dot 0.0 [dot] 1", "ip"),
+    ("jo dot doe at mail dot co dot uk", "email"), ("jo at 10 dot 0 dot 0 dot 1", "email"),
+])
+def test_mixed_signs(hidden, kind):
+    text, k = f"(see) {hidden}, there", pii.KINDS.index(kind)
+    assert (k, 6, 6 + len(hidden)) in pii.find_spans(text)[1]
+    assert pii.maybe_disguised(pa.array([text])) == [True] and pii.redact(text) == f"(see) {pii.TAGS[k]}, there"
+
+
+def test_written_at_needs_a_host():
+    for text in ["open at 9.30 or at 10.15 on the dot there", "landed at U.S bases", "at 3.5 dot 7"]:
+        assert pii.find_spans(text) == ([], [])
+
+
 def test_prose_is_left_alone():
     for text in ["one two or three at home", "we met at noon on the dot", "at (a) or [b]", "I met one one day", "année zéro"]:
         assert pii.find_spans(text) == ([], []) and pii.redact(text) == text

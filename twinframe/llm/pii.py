@@ -40,10 +40,15 @@ _ONE_SPELLED = "(?:" + "|".join(f(w) for f in (str.lower, str.upper, str.capital
 SPELLED_RUN = re.compile(rf"(?<!\w){_ONE_SPELLED}(?:[ ,-]{{1,3}}{_ONE_SPELLED}){{{LEAST_SPELLED - 1},}}(?!\w)")
 WORD = re.compile(r"[A-Za-z]+")
 BRACKETED = re.compile(r" ?[(\[{<] ?(at|AT|At|dot|DOT|Dot) ?[)\]}>] ?")
-WRITTEN = re.compile(
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++( (?:at|AT|At) )[A-Za-z0-9-]+(?:(?: (?:dot|DOT|Dot) |\.)[A-Za-z0-9-]+)+"
-)
 WRITTEN_DOT = re.compile(r" (?:dot|DOT|Dot) ")
+NUMBER_DOT = re.compile(rf"(?<=[0-9]){WRITTEN_DOT.pattern}(?=[0-9])")
+_SEPARATOR = rf"(?:{WRITTEN_DOT.pattern}|\.)"
+HOST = re.compile(rf"[A-Za-z0-9-]++(?:{_SEPARATOR}[A-Za-z0-9-]++)+")
+# Behind a written " at " only what can be a host: its last label starts with a letter, or it is an address of four numbers.
+WRITTEN_AT = re.compile(
+    rf"(?<=[A-Za-z0-9._%+-]) (?:at|AT|At) (?=[A-Za-z0-9-]++(?:{_SEPARATOR}[A-Za-z0-9-]++)*?{_SEPARATOR}[A-Za-z][A-Za-z0-9-]"
+    r"|[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![A-Za-z0-9-]))"
+)
 
 # Letters of other scripts that look like ASCII.
 LOOKALIKES = {
@@ -74,7 +79,7 @@ HIDDEN = re.compile(f"[{INVISIBLE}]+")
 #: Whatever a transducer can act on contains this; one linear pass over a batch spares most texts the rewriting.
 HINT = (
     DISGUISED.pattern + "|" + rf"{_ONE_SPELLED}[ ,-]{{1,3}}{_ONE_SPELLED}[ ,-]" + "|"
-    + r"[(\[{<] ?(?:at|AT|At|dot|DOT|Dot) ?[)\]}>]" + "|" + WRITTEN_DOT.pattern
+    + r"[(\[{<] ?(?:at|AT|At|dot|DOT|Dot) ?[)\]}>]" + "|" + WRITTEN_DOT.pattern + r"| (?:at|AT|At) [A-Za-z0-9-]+\.[A-Za-z0-9-]"
 )
 
 
@@ -124,6 +129,40 @@ def _digits_of(run: str) -> str:
     return "".join(SPELLED[w.lower()] for w in WORD.findall(run))
 
 
+def _dots_beside_at(text: str) -> list[tuple[int, int, str]]:
+    """Edits that make signs of the written dots in the name before an ``@`` and in the host behind it."""
+    edits, end = [], 0
+    at = text.find("@") if WRITTEN_DOT.search(text) else -1
+    while at >= 0:
+        host = HOST.match(text, at + 1)
+        if host:
+            start, dots = at, []
+            while True:
+                while start > end and text[start - 1] in LOCAL_CHARS:
+                    start -= 1
+                if not (start - 5 > end and text[start] != "@" and WRITTEN_DOT.match(text, start - 5) and text[start - 6] in LOCAL_CHARS):
+                    break
+                start -= 5
+                dots.append((start, start + 5, "."))
+            edits += dots[::-1]
+            edits += [(*d.span(), ".") for d in WRITTEN_DOT.finditer(text, at + 1, host.end())]
+            end = host.end()
+        at = text.find("@", max(end, at + 1))
+    return edits
+
+
+def _brackets(text: str) -> list[tuple[int, int, str]]:
+    return [(*m.span(), "@" if m[1][0] in "aA" else ".") for m in BRACKETED.finditer(text)]
+
+
+def _number_dots(text: str) -> list[tuple[int, int, str]]:
+    return [(*m.span(), ".") for m in NUMBER_DOT.finditer(text)]
+
+
+def _written_ats(text: str) -> list[tuple[int, int, str]]:
+    return [(*m.span(), "@") for m in WRITTEN_AT.finditer(text)]
+
+
 def normal_forms(text: str) -> list[Rewritten]:
     """The rewritings of ``text``, each of the result of the one before; none where nothing is disguised."""
     steps = []
@@ -139,19 +178,14 @@ def normal_forms(text: str) -> list[Rewritten]:
             edits.append((start - 5, m.end(), "+" + _digits_of(m[0])))
         else:
             edits.append((start, m.end(), _digits_of(m[0])))
-    signs = [(*m.span(), "@" if m[1][0] in "aA" else ".") for m in BRACKETED.finditer(current)]
-    if WRITTEN_DOT.search(current):
-        for m in WRITTEN.finditer(current):
-            signs.append((*m.span(1), "@"))
-            signs += [(*d.span(), ".") for d in WRITTEN_DOT.finditer(current, m.end(1), m.end())]
-    taken = sorted(edits + signs)
-    edits, at = [], 0
-    for edit in taken:
-        if edit[0] >= at:
-            edits.append(edit)
-            at = edit[1]
     if edits:
         steps.append(Rewritten(current, edits))
+        current = steps[-1].text
+    # Each sign can make the next one plain: "jo at mail [dot] com", "jo [at] mail dot com", "jo at mail dot com".
+    for transducer in (_brackets, _number_dots, _dots_beside_at, _written_ats, _dots_beside_at):
+        if edits := transducer(current):
+            steps.append(Rewritten(current, edits))
+            current = steps[-1].text
     return steps
 
 
