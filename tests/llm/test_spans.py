@@ -86,6 +86,23 @@ def test_mixed_signs(hidden, kind):
     assert pii.maybe_disguised(pa.array([text])) == [True] and pii.redact(text) == f"(see) {pii.TAGS[k]}, there"
 
 
+@pytest.mark.parametrize("hidden,kind", [
+    ("+1 (five five five) one two three four five six", "phone"), ("+1 five five five 123 4567", "phone"),
+    ("plus one, five five five, 123, four five 67", "phone"), ("+one five-five-five.one two three.4567", "phone"),
+    ("one nine two dot one six eight dot one dot one", "ip"), ("one nine two.168.one.1", "ip"), ("10 (dot) zero (dot) 0 (dot) one", "ip"),
+    ("four one one one 1111 one one one one, 1111", "card"), ("4111-1111-1111-111 one", "card"),
+])
+def test_short_spelled_groups(hidden, kind):
+    text, k = f"see: {hidden}; there", pii.KINDS.index(kind)
+    assert (k, 5, 5 + len(hidden)) in pii.find_spans(text)[1]
+    assert pii.maybe_disguised(pa.array([text])) == [True] and pii.redact(text) == f"see: {pii.TAGS[k]}; there"
+
+
+def test_spelled_prose():
+    for text in ["one of 12 or two, 3 or four", "one (two) three.Four", "room 5 one, plus 3 more", "chapter one two 34 plus two"]:
+        assert pii.find_spans(text) == ([], []) and pii.redact(text) == text
+
+
 def test_written_at_needs_a_host():
     for text in ["open at 9.30 or at 10.15 on the dot there", "landed at U.S bases", "at 3.5 dot 7"]:
         assert pii.find_spans(text) == ([], [])

@@ -35,9 +35,12 @@ SPELLED = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7",
     "eight": "8", "nine": "9",
 }
-LEAST_SPELLED = 4  # a shorter run of spelled digits is prose
 _ONE_SPELLED = "(?:" + "|".join(f(w) for f in (str.lower, str.upper, str.capitalize) for w in SPELLED) + ")"
-SPELLED_RUN = re.compile(rf"(?<!\w){_ONE_SPELLED}(?:[ ,-]{{1,3}}{_ONE_SPELLED}){{{LEAST_SPELLED - 1},}}(?!\w)")
+# A run of any length: the patterns of the identifiers decide what is prose. Parentheses and dots stay between runs.
+SPELLED_RUN = re.compile(rf"(?<!\w){_ONE_SPELLED}(?!\w)(?:[ ,-]{{1,3}}{_ONE_SPELLED}(?!\w))*+")
+BEFORE_RUN = re.compile(r"(?<=[0-9])[ ,-]{1,3}\Z")
+BEHIND_RUN = re.compile(r"[ ,-]{1,3}(?=[0-9])")
+PLUS = re.compile(r"(?<!\w)[Pp][Ll][Uu][Ss] (?=[0-9])")
 WORD = re.compile(r"[A-Za-z]+")
 BRACKETED = re.compile(r" ?[(\[{<] ?(at|AT|At|dot|DOT|Dot) ?[)\]}>] ?")
 WRITTEN_DOT = re.compile(r" (?:dot|DOT|Dot) ")
@@ -78,7 +81,8 @@ DISGUISED = re.compile("[" + "".join(map(chr, sorted(TO_ASCII))) + INVISIBLE + "
 HIDDEN = re.compile(f"[{INVISIBLE}]+")
 #: Whatever a transducer can act on contains this; one linear pass over a batch spares most texts the rewriting.
 HINT = (
-    DISGUISED.pattern + "|" + rf"{_ONE_SPELLED}[ ,-]{{1,3}}{_ONE_SPELLED}[ ,-]" + "|"
+    DISGUISED.pattern + "|" + rf"\b{_ONE_SPELLED}[ (),.-]+(?:[0-9]|{_ONE_SPELLED}\b)|[0-9][ (),.-]+{_ONE_SPELLED}\b|\+{_ONE_SPELLED}\b" + "|"
+    + r"\b[Pp][Ll][Uu][Ss] [0-9]" + "|"
     + r"[(\[{<] ?(?:at|AT|At|dot|DOT|Dot) ?[)\]}>]" + "|" + WRITTEN_DOT.pattern + r"| (?:at|AT|At) [A-Za-z0-9-]+\.[A-Za-z0-9-]"
 )
 
@@ -151,6 +155,25 @@ def _dots_beside_at(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _spelled(text: str) -> list[tuple[int, int, str]]:
+    """Edits that make digits of spelled ones; between words and digits one blank is left, which cards and phones may hold."""
+    edits, at = [], 0
+    for m in SPELLED_RUN.finditer(text):
+        start, end = m.span()
+        if gap := BEFORE_RUN.search(text, max(at, start - 4), start):
+            edits.append((*gap.span(), " "))
+        edits.append((start, end, _digits_of(m[0])))
+        at = end
+        if gap := BEHIND_RUN.match(text, end):
+            edits.append((*gap.span(), " "))
+            at = gap.end()
+    return edits
+
+
+def _plus(text: str) -> list[tuple[int, int, str]]:
+    return [(*m.span(), "+") for m in PLUS.finditer(text)]
+
+
 def _brackets(text: str) -> list[tuple[int, int, str]]:
     return [(*m.span(), "@" if m[1][0] in "aA" else ".") for m in BRACKETED.finditer(text)]
 
@@ -171,18 +194,8 @@ def normal_forms(text: str) -> list[Rewritten]:
         step = Rewritten(text, [(*m.span(), "") for m in HIDDEN.finditer(text)])
         current = step.text = step.text.translate(TO_ASCII)
         steps.append(step)
-    edits = []
-    for m in SPELLED_RUN.finditer(current):
-        start = m.start()
-        if current[max(0, start - 5):start].lower() == "plus ":
-            edits.append((start - 5, m.end(), "+" + _digits_of(m[0])))
-        else:
-            edits.append((start, m.end(), _digits_of(m[0])))
-    if edits:
-        steps.append(Rewritten(current, edits))
-        current = steps[-1].text
-    # Each sign can make the next one plain: "jo at mail [dot] com", "jo [at] mail dot com", "jo at mail dot com".
-    for transducer in (_brackets, _number_dots, _dots_beside_at, _written_ats, _dots_beside_at):
+    # Each step can make the next one plain: "jo at mail [dot] com", "jo [at] mail dot com", "jo at mail dot com".
+    for transducer in (_spelled, _plus, _brackets, _number_dots, _dots_beside_at, _written_ats, _dots_beside_at):
         if edits := transducer(current):
             steps.append(Rewritten(current, edits))
             current = steps[-1].text
@@ -195,16 +208,17 @@ def maybe_disguised(texts: pa.Array) -> list[bool]:
 
 
 def find_spans(text: str, disguised: bool = True) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Plain spans, and all spans with those of the normal form that lie in no plain span of their kind."""
+    """Plain spans, and all spans with those disguised ones of the normal form that lie in no plain span of their kind."""
     plain = plain_spans(text)
     steps = normal_forms(text) if disguised else []
     if not steps:
         return plain, plain
     found = set(plain)
     for kind, start, end in plain_spans(steps[-1].text):
+        normal = steps[-1].text[start:end]
         for step in reversed(steps):
             start, end = step.source(start, end)
-        if not any(k == kind and s <= start and end <= e for k, s, e in plain):
+        if text[start:end] != normal and not any(k == kind and s <= start and end <= e for k, s, e in plain):
             found.add((kind, start, end))
     return plain, sorted(found)
 
