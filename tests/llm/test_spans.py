@@ -129,6 +129,25 @@ def test_nested_encodings(hidden):
     assert any(k == 0 and s >= 5 and e <= len(text) - 4 and text[s:e] in hidden for s, k, e in found if (s, k, e) not in plain)
 
 
+def found_in(hidden):
+    text = f"é so {hidden} end"
+    plain, found = secrets.find_spans(text)
+    return any(k == 0 and s >= 5 and e <= len(text) - 4 for s, k, e in found if (s, k, e) not in plain)
+
+
+RAW = PLAIN.encode()
+
+
+@pytest.mark.parametrize("data", [
+    zlib.compress(zlib.compress(RAW)), gzip.compress(zlib.compress(RAW)), zlib.compress(gzip.compress(zlib.compress(RAW))),
+    gzip.compress(b"first member ") + gzip.compress(RAW), b"x^ " + RAW, b"jo\0" + RAW, b"jo\x01" + RAW + b"\x7f",
+    PLAIN.encode("utf-16"), PLAIN.encode("utf-16-le"), PLAIN.encode("utf-16-be"), zlib.compress(PLAIN.encode("utf-16")),
+    gzip.compress(b"\xff\x80 " + RAW),
+])
+def test_layers_of_bytes(data):
+    assert found_in(base64.b64encode(data).decode())
+
+
 def test_layers_end():
     text = "%2525252541 \\u005cu0041 " + B64
     assert secrets.find_spans(text)[1]

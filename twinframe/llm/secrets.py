@@ -1,8 +1,9 @@
 """Secrets in texts, also inside nested encodings, with spans in the source text.
 
 A worklist starts with the text itself. Each layer is scanned with the plain patterns and then unwrapped: percent
-escapes and Unicode escapes are decoded in place, and base64 runs that hold text, or gzip or zlib data that holds text,
-are replaced by what they hold. Every unwrapped layer joins the worklist with a map of its characters to the layer it
+escapes and Unicode escapes are decoded in place, and base64 runs that hold text (UTF-8 or
+UTF-16, also with control characters), or gzip or zlib data in any number of layers that holds text, are replaced by
+what they hold. Each way to read the runs gives a layer of its own. Every unwrapped layer joins the worklist with a map of its characters to the layer it
 came from, until nothing new appears. A layer that was seen before in the same text is not taken up again, which ends
 cycles such as data that decompresses to itself.
 """
@@ -54,52 +55,67 @@ def plain_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _text_of(data: bytes) -> str | None:
-    """What bytes say, if they are text; compressed data is inflated first."""
-    if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and (data[0] << 8 | data[1]) % 31 == 0):
-        inflate = zlib.decompressobj(wbits=47)
-        try:
-            data = inflate.decompress(data, LARGEST_LAYER)
-        except zlib.error:
-            return None
-        if inflate.unconsumed_tail:
-            return None
-        if data[:2] == b"\x1f\x8b":
-            return _nested(data)
+def _one_stream(data: bytes, room: int) -> tuple[bytes, bytes, bool] | None:
+    """What the first gzip or zlib stream holds (of a cut one what is there), the bytes behind it, and whether it holds more."""
+    inflate = zlib.decompressobj(wbits=47)
     try:
-        text = data.decode()
-    except UnicodeDecodeError:
+        out = inflate.decompress(data, room)
+    except zlib.error:
         return None
-    return None if not text or UNPRINTABLE.search(text) else text
+    return out, inflate.unused_data, bool(inflate.unconsumed_tail)
+
 
+def _compressed(data: bytes) -> bool:
+    return data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and (data[0] << 8 | data[1]) % 31 == 0)
 
-def _nested(data: bytes) -> str | None:
-    """Data compressed more than once; a digest of each step ends data that inflates to itself."""
+
+def _inflated(data: bytes) -> bytes | None:
+    """``data`` after all layers of compression; none for what ends in itself or grows too large."""
     seen = set()
-    while data[:2] == b"\x1f\x8b":
+    while _compressed(data):
         mark = hashlib.sha256(data).digest()
         if mark in seen:
             return None
         seen.add(mark)
-        inflate = zlib.decompressobj(wbits=47)
-        try:
-            data = inflate.decompress(data, LARGEST_LAYER)
-        except zlib.error:
-            return None
-        if inflate.unconsumed_tail:
-            return None
-    return _text_of(data)
+        parts, rest, room = [], data, LARGEST_LAYER
+        while _compressed(rest) and (stream := _one_stream(rest, room + 1)):  # gzip members follow each other
+            out, rest, more = stream
+            room -= len(out)
+            if more or room < 0:
+                return None
+            parts.append(out)
+        if not parts:
+            break
+        data = b"".join(parts)
+    return data
+
+
+def _readings(data: bytes) -> list[str | None]:
+    """What bytes say: printable text, text with control characters, UTF-16 text; none where they do not say it."""
+    inflated = _inflated(data)
+    if not inflated:
+        return [None] * 3
+    try:
+        text = inflated.decode()
+    except UnicodeDecodeError:
+        text = None if inflated is data else inflated.decode(errors="replace")
+    wide = None
+    marked = inflated[:2] in (b"\xff\xfe", b"\xfe\xff")
+    if marked or b"\0" in inflated:
+        big = inflated[:2] == b"\xfe\xff" or not marked and inflated[::2].count(0) > inflated[1::2].count(0)
+        wide = inflated[2 * marked:].decode("utf-16-be" if big else "utf-16-le", "replace")
+    return [None if text is None or UNPRINTABLE.search(text) else text, text, wide]
 
 
-def _from_base64(run: str) -> str | None:
+def _from_base64(run: str) -> list[str | None]:
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
-        return None
+        return [None] * 3
     try:
         data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except binascii.Error:
-        return None
-    return _text_of(data)
+        return [None] * 3
+    return _readings(data)
 
 
 def _from_percent(run: str) -> str | None:
@@ -117,6 +133,19 @@ def _from_escapes(run: str) -> str | None:
     return joined.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
+def _base64_edits(text: str):
+    """Edits for each way to read the base64 runs."""
+    runs = [[m.span()] for m in BASE64.finditer(text)]
+    for group in (runs,):
+        read = [(run[0][0], run[-1][1], _from_base64("".join(text[s:e] for s, e in run))) for run in group]
+        clean, raw, wide = ([(s, e, texts[k]) for s, e, texts in read if texts[k]] for k in range(3))
+        yield clean
+        if raw != clean:
+            yield raw
+        if wide:
+            yield wide
+
+
 def unwrapped(text: str):
     """The layers directly below ``text``: one for each encoding that occurs in it."""
     decoders = []
@@ -124,11 +153,13 @@ def unwrapped(text: str):
         decoders.append((PERCENT, _from_percent))
     if "\\" in text:
         decoders.append((ESCAPE, _from_escapes))
-    decoders.append((BASE64, _from_base64))
     for pattern, decode in decoders:
         edits = [(*m.span(), new) for m in pattern.finditer(text) if (new := decode(m[0])) is not None]
         if edits:
             yield Rewritten(text, edits)
+    for edits in _base64_edits(text):
+        if edits:
+            yield Rewritten(text, edits)
 
 
 def find_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
