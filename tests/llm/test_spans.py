@@ -148,6 +148,26 @@ def test_layers_of_bytes(data):
     assert found_in(base64.b64encode(data).decode())
 
 
+NOISE = "".join(random.Random(3).choices("ghijklmnop qrstuvw", k=400))
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n  "])
+@pytest.mark.parametrize("width", [64, 75, 76])
+@pytest.mark.parametrize("data", [
+    b"n" * 45 + b" " + RAW, RAW.rjust(96), gzip.compress((NOISE + PLAIN).encode()), zlib.compress((NOISE + PLAIN + NOISE).encode()),
+])
+def test_wrapped_base64(data, width, end):
+    code = base64.b64encode(data).decode()
+    lines = [code[k:k + width] for k in range(0, len(code), width)]
+    for before, behind in (("", ""), ("BEGIN-----\n", "\n-----END"), ("data: ", "\nprose")):
+        text = before + end.join(lines) + behind
+        at = len(before), len(before) + len(end.join(lines))
+        spans = [(s, e) for s, k, e in secrets.find_spans(text)[1] if k == 0]
+        assert any(at[0] <= s and e <= at[1] + len(behind) for s, e in spans), text
+        if not behind and width < 75:
+            assert at in spans
+
+
 def test_layers_end():
     text = "%2525252541 \\u005cu0041 " + B64
     assert secrets.find_spans(text)[1]

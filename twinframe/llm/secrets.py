@@ -1,7 +1,7 @@
 """Secrets in texts, also inside nested encodings, with spans in the source text.
 
 A worklist starts with the text itself. Each layer is scanned with the plain patterns and then unwrapped: percent
-escapes and Unicode escapes are decoded in place, and base64 runs that hold text (UTF-8 or
+escapes and Unicode escapes are decoded in place, and base64 runs, also over several lines, that hold text (UTF-8 or
 UTF-16, also with control characters), or gzip or zlib data in any number of layers that holds text, are replaced by
 what they hold. Each way to read the runs gives a layer of its own. Every unwrapped layer joins the worklist with a map of its characters to the layer it
 came from, until nothing new appears. A layer that was seen before in the same text is not taken up again, which ends
@@ -41,6 +41,9 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\})+")
 ONE_ESCAPE = re.compile(r"\\(?:u\{([0-9A-Fa-f]+)\}|[uxU]([0-9A-Fa-f]+))")
 BASE64 = re.compile(rf"[A-Za-z0-9+/_-](?<![A-Za-z0-9+/_-][A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{SHORTEST_BASE64 - 1},}}={{0,2}}")
+# Lines of base64 with single breaks between them; a further line may be indented.
+WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{SHORTEST_BASE64},}}+(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={{0,2}}")
+WRAPPED_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 UNPRINTABLE = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\x9f\ufffd]")
 
 
@@ -133,10 +136,29 @@ def _from_escapes(run: str) -> str | None:
     return joined.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
+def _wrapped_runs(text: str) -> list[tuple[list[int], list[int]]]:
+    """Starts and ends of the lines of base64 runs that go on over line breaks: equal lines and a last one, at most as long."""
+    runs = []
+    for m in WRAPPED.finditer(text):
+        lines = [line.span() for line in WRAPPED_LINE.finditer(text, *m.span())]
+        sizes = [len(text[s:e].rstrip("=")) if e == m.end() else e - s for s, e in lines]
+        first = 0
+        while first < len(lines):
+            last = first
+            while last + 1 < len(lines) and sizes[last] == sizes[first] >= sizes[last + 1]:
+                last += 1
+            if last > first and sizes[first] >= SHORTEST_BASE64:
+                runs.append(lines[first:last + 1])
+            first = last + 1
+    return runs
+
+
 def _base64_edits(text: str):
-    """Edits for each way to read the base64 runs."""
+    """Edits for each way to read the base64 runs: single lines, wrapped runs, these without a last line that may be prose."""
     runs = [[m.span()] for m in BASE64.finditer(text)]
-    for group in (runs,):
+    wrapped = _wrapped_runs(text)
+    short = [run[:-1] for run in wrapped if len(run) > 2]
+    for group in (runs, wrapped, short):
         read = [(run[0][0], run[-1][1], _from_base64("".join(text[s:e] for s, e in run))) for run in group]
         clean, raw, wide = ([(s, e, texts[k]) for s, e, texts in read if texts[k]] for k in range(3))
         yield clean
