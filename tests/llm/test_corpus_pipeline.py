@@ -30,3 +30,15 @@ def test_pipeline(spark, documents, tmp_path):
     found = {r.doc_id: vocabulary.decode(r.ids) for r in got.collect()}
     assert found == {i: pii.redact(t) for i, t in left} and 201 in found and found[201].endswith("<EMAIL>")
     assert 200 not in found and 100 not in found
+
+
+@pytest.mark.skipif(not os.path.exists(segmentation.MODEL), reason="no vocabulary file")
+def test_pipeline_with_bad_labels(spark, documents, tmp_path):
+    rng = random.Random(10)
+    text = lambda end="": " ".join(f"w{rng.randrange(10**5)}{end}" for _ in range(60))
+    bad = {k for k in range(150) if k % 5 == 0}
+    documents([(k, text("##" if k in bad else ""), "fr") for k in range(150)]).drop("bucket", "text_hash").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, text())], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    labels = [(k, int(k not in bad), 0) for k in range(140)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(range(150)) - bad

@@ -69,6 +69,22 @@ def test_few_labels_certify_nothing(spark, documents):
     assert q.judged(documents(rows).limit(0), labels).collect() == []
 
 
+def test_rules_tested_together_need_fewer_labels(spark, documents):
+    """120 good documents behind the base rules in a stratum: about 90 in the holdout, where single rules need 459."""
+    rows, labels = corpus(random.Random(2), 300)
+    rows = [(k, t + " " + "q" * 400 if k % 5 and k % 60 == 1 else t, lang) for k, t, lang in rows]
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    measures = q.measured(documents(rows))
+    assert q.certified_cutoffs(measures, labels).collect() == []
+    cut = q.jointly_certified_cutoffs(measures, labels).collect()
+    assert {(r.lang, r.rule) for r in cut} == {("en", "symbols"), ("de", "symbols")}
+    assert {r.doc_id for r in q.accepted(documents(rows), labels).collect()} == {k for k, _, _ in rows if k % 5}
+    # Labels that say nothing about the texts certify no more than the whole budget.
+    rng = random.Random(4)
+    mixed = spark.createDataFrame([(k, rng.randrange(2), 0) for k, _, _ in rows], "doc_id long, quality int, toxic int")
+    assert q.jointly_certified_cutoffs(measures, mixed).collect() == []
+
+
 def test_no_python_in_the_plan(spark, documents):
     rows, labels = corpus(random.Random(2), 50)
     labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
