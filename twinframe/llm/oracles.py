@@ -116,3 +116,58 @@ cut AS MATERIALIZED (
   WHERE (stop IS NULL OR step < stop) AND bad_out > good_out GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT ({_OVER}) AS kept FROM m"""
+
+TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+RANKED = f"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWERED}, '{TERMS}') AS ws FROM documents),
+s AS MATERIALIZED (SELECT count(*) AS docs, sum(len(ws))::BIGINT AS total FROM d WHERE len(ws) > 0),
+tf AS MATERIALIZED (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ws) AS term FROM d) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+i AS MATERIALIZED (
+  SELECT row_number() OVER () AS q, item_id, regexp_extract_all({LOWERED}, '{TERMS}') AS ws FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+qt AS (SELECT q, term, count(*) AS times FROM (SELECT q, unnest(ws) AS term FROM i) GROUP BY ALL),
+w AS (
+  SELECT q, term, times * floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM qt JOIN df USING (term), s),
+scored AS (
+  SELECT q, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(ws) * docs) // total))))::BIGINT AS score
+  FROM w JOIN tf USING (term) JOIN d USING (r), s GROUP BY q, r),
+ranked AS (
+  SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank
+  FROM scored JOIN d USING (r) WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked JOIN i USING (q) WHERE rank <= 10"""
+
+
+def judged_urls(rules: list[tuple[str, str, str]]) -> str:
+    values = ", ".join(str(rule) for rule in rules)
+    return f"""
+WITH rules(rule_host, rule_path, rule_verdict) AS (VALUES {values}),
+p AS (
+  SELECT row_number() OVER () AS r, page_id,
+    translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+m AS (
+  SELECT p.*, rule_host || rule_path AS rule, rule_verdict,
+    row_number() OVER (PARTITION BY r ORDER BY length(rule_host || rule_path) DESC, length(rule_host) DESC) AS k
+  FROM p LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM m WHERE k = 1"""
+
+
+HARD_NEGATIVES = """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (
+  SELECT a.r AS a, b.r AS b, a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+    list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v a JOIN v b ON a.r <> b.r AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT a, b, anchor_id, other_id AS positive_id, score AS positive_score FROM (
+    SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, other_id NULLS LAST) AS k FROM s WHERE same) WHERE k <= 5)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM (
+  SELECT p.*, other_id AS negative_id, score AS negative_score,
+    row_number() OVER (PARTITION BY p.a, p.b ORDER BY score DESC, other_id NULLS LAST) AS rank
+  FROM p JOIN s ON s.a = p.a AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+WHERE rank <= 10"""

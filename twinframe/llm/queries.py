@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from twinframe.llm import decontamination, near_dedup, oracles, perspectives, pii, quality_rules, secrets, segmentation, sharding, substring_dedup, warc
+from twinframe.llm import (
+    decontamination, hard_negatives, lexical_search, near_dedup, oracles, perspectives, pii, quality_rules, secrets, segmentation,
+    sharding, substring_dedup, url_filter, warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -95,7 +99,33 @@ def op4_quality_rules(spark, sf_dir):
     return quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@register
+def op11_ranked_documents(spark, sf_dir):
+    return lexical_search.ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+URL_RULES = [
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+@register
+def op12_judged_urls(spark, sf_dir):
+    values = ", ".join(str(rule) for rule in URL_RULES)
+    rules = spark.sql(f"SELECT * FROM VALUES {values} AS rules(host, path, verdict)")
+    return url_filter.judged_urls(table(spark, sf_dir, "pages"), rules)
+
+
+@register
+def op13_hard_negatives(spark, sf_dir):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), label=moved)
+
+
 SQL |= {
+    "op11_ranked_documents": oracles.RANKED, "op12_judged_urls": oracles.judged_urls(URL_RULES),
+    "op13_hard_negatives": oracles.HARD_NEGATIVES,
     "op3_archived_pages": oracles.ARCHIVED, "op4_quality_rules": oracles.QUALITY,
     "op5_repeated_windows": oracles.REPEATED_WINDOWS, "op9_contaminated_words": oracles.CONTAMINATED,
     "op10_near_duplicates": oracles.NEAR_DUPLICATES,
