@@ -1,6 +1,9 @@
 import random
 import zlib
 
+import numpy as np
+import pytest
+
 from twinframe.llm import sharding as sh
 
 
@@ -41,6 +44,44 @@ def test_minimax_equals_brute_force(spark, monkeypatch):
         assert set(cuts) <= values | {0}
 
 
+class InMemory(sh.Prefixes):
+    """The same over an array, so that tables of any shape are quick."""
+
+    def __init__(self, sizes):
+        self.all = np.cumsum(sizes)
+        super().__init__(None, int(self.all[-1]), int(sizes.max()))
+
+    def slots(self, bounds, wanted):
+        at = np.searchsorted(bounds, self.all, side="left")
+        inside = np.flatnonzero(wanted[at])
+        _, first, n = np.unique(at[inside], return_index=True, return_counts=True)
+        a, b = inside[first], inside[first + n - 1]
+        return list(zip(n.tolist(), self.all[a].tolist(), (a + 1).tolist(), self.all[b].tolist(), (b + 1).tolist()))
+
+
+@pytest.mark.parametrize("share", [0, 0.04, 0.1, 0.5, 0.9])
+def test_one_group_of_any_share(monkeypatch, share):
+    monkeypatch.setattr(sh, "KNOWN", 1 << 12)
+    rng = np.random.default_rng(int(share * 100))
+    sizes = rng.integers(16, 6000, 50_000)
+    if share:
+        sizes[rng.integers(len(sizes))] = sizes.sum() * share / (1 - share)
+    prefixes = InMemory(sizes)
+    capacity, cuts = sh.minimax_cuts(prefixes, 40)
+    assert prefixes.looks <= 8 and len(prefixes.values) <= 2 * sh.KNOWN * prefixes.looks
+
+    def fits(c):
+        at = 0
+        for _ in range(40):
+            k = np.searchsorted(prefixes.all, at + c, side="right")
+            at = prefixes.all[k - 1] if k else 0
+        return at == prefixes.total
+
+    assert capacity >= sizes.max() and fits(capacity)
+    assert capacity in (sizes.max(), -(-prefixes.total // 40)) or not fits(capacity - 1)
+    assert len(cuts) == 41 and max(np.diff(cuts)) <= capacity and min(np.diff(cuts)) >= 0 and set(cuts) <= {0, *prefixes.all.tolist()}
+
+
 def test_rows(spark, documents):
     rng = random.Random(6)
     rows = [(k, "x" * rng.randint(0, 300)) for k in range(150)] + [(1000 + k, "hot text") for k in range(70)]

@@ -4,7 +4,7 @@ Rows are ordered by the digest of their text, so equal texts are neighbours and
 smallest capacity is searched for which greedy filling (each shard takes whole groups while they fit) needs no more
 than the given number of shards; then the cuts are placed.
 
-The prefix sums of the groups stay distributed. The driver holds a bounded list of known group ends (``KNOWN`` per
+The prefix sums of the groups stay distributed. The driver holds a bounded list of known group ends (``2 * KNOWN`` per
 round) and follows the greedy walk as an interval: where the walk ends up in a gap whose groups it does not know, the
 cut lies between the gap's ends. Binary search over the capacity on both interval ends leaves a narrow range, the gaps
 that its cuts touch are looked up more finely in one aggregate, and so on: each round divides the open gaps by
@@ -57,49 +57,53 @@ def _ordered(documents: DataFrame) -> tuple[DataFrame, dict[int, tuple[int, int]
 
 
 class Prefixes:
-    """Group ends as far as they are known: ends in bytes, the rows up to each, and which gaps below are settled."""
+    """Group ends as far as they are known: ends in bytes, the rows up to each, and which gaps below are settled.
 
-    def __init__(self, ends: DataFrame, total: int):
-        self.ends, self.total = ends, total
+    ``largest`` is the size of the largest group where it is known: no capacity is below it.
+    """
+
+    def __init__(self, ends: DataFrame | None, total: int, largest: int = 0):
+        self.ends, self.total, self.largest, self.looks = ends, total, largest, 0
         self.values, self.rows, self.settled = [0], [0], [True]
         self.look([(0, total)])
 
     def look(self, gaps: list[tuple[int, int]]) -> None:
-        """Learns up to ``KNOWN`` ends inside the gaps ``(low, high]``, by one aggregate over the group ends."""
+        """Learns up to ``2 * KNOWN`` ends inside the gaps ``(low, high]``, by one aggregate over the group ends.
+
+        Each gap is cut into slots; the smallest and the largest end of a slot are learned, so a gap whose ends all
+        lie in one slot gets narrower too, and a slot of up to two ends is settled.
+        """
+        self.looks += 1
         each = max(2, KNOWN // len(gaps))
-        limits, inside = [], []
+        limits, inside = [], []  # ``inside[k]``: (limits[k - 1], limits[k]] is part of a gap
         for low, high in sorted(gaps):
-            steps = sorted({low + (high - low) * k // each for k in range(each + 1)})
-            if limits and limits[-1] == low:
-                steps = steps[1:]
-            inside += [bool(limits) and limits[-1] == low] * 0 + [False] * (1 if not limits or limits[-1] != low else 0)
+            if not limits or limits[-1] != low:
+                limits.append(low)
+                inside.append(False)
+            steps = sorted({low + (high - low) * k // each for k in range(1, each + 1)} - {low})
             limits += steps
-            inside += [True] * (len(limits) - len(inside))
-        bounds, wanted = np.array(limits, np.int64), np.array([*inside, False])
+            inside += [True] * len(steps)
+        known = dict(zip(self.values, zip(self.rows, self.settled)))
+        for n, first, first_rows, last, last_rows in self.slots(np.array(limits, np.int64), np.array([*inside, False])):
+            known[first] = (first_rows, True)
+            known[last] = (last_rows, n <= 2)
+        self.values = sorted(known)
+        self.rows = [known[v][0] for v in self.values]
+        self.settled = [known[v][1] for v in self.values]
+
+    def slots(self, bounds: np.ndarray, wanted: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """Per wanted slot with ends: their number, and the smallest and largest with the rows up to each."""
 
         def slot(batches):
             for b in batches:
-                ends = np.asarray(b.column("end"))
-                at = np.searchsorted(bounds, ends, side="left")  # limits[at - 1] < end <= limits[at]
+                at = np.searchsorted(bounds, np.asarray(b.column("end")), side="left")  # bounds[at - 1] < end <= bounds[at]
                 take = pa.array(np.flatnonzero(wanted[at]), pa.int64())
                 yield pa.RecordBatch.from_pydict({
                     "slot": pa.array(at, pa.int64()).take(take), "end": b.column("end").take(take), "upto_rows": b.column("upto_rows").take(take)})
 
         found = self.ends.mapInArrow(slot, "slot long, end long, upto_rows long").groupBy("slot").agg(
-            F.max("end").alias("end"), F.max("upto_rows").alias("rows"), F.count(F.lit(1)).alias("n")).collect()
-        known = dict(zip(self.values, zip(self.rows, self.settled)))
-        closed = set()
-        by_slot = {r.slot: r for r in found}
-        for low, high in gaps:
-            first, last = bisect_right(limits, low), bisect_left(limits, high)
-            for k in range(first, last + 1):
-                if k in by_slot:
-                    r = by_slot[k]
-                    known[r.end] = (r.rows, r.n == 1)
-                    closed.add(r.end)
-        self.values = sorted(known)
-        self.rows = [known[v][0] for v in self.values]
-        self.settled = [known[v][1] for v in self.values]
+            F.count(F.lit(1)), F.min("end"), F.min("upto_rows"), F.max("end"), F.max("upto_rows"))
+        return [tuple(r)[1:] for r in found.collect()]
 
     def below(self, x: int) -> tuple[int, int]:
         """Between which values the largest group end of at most ``x`` lies."""
@@ -155,12 +159,15 @@ def minimax_cuts(prefixes: Prefixes, shards: int) -> tuple[int, list[int]]:
     total = prefixes.total
     while True:
         # Surely too small below ``low``, surely enough from ``high`` on.
-        low = _smallest(lambda c: greedy(prefixes, c, shards)[-1][1] >= total, -(-total // shards), total)
+        low = _smallest(lambda c: greedy(prefixes, c, shards)[-1][1] >= total, max(-(-total // shards), prefixes.largest), total)
         high = _smallest(lambda c: greedy(prefixes, c, shards)[-1][0] >= total, low, total)
-        spans = [(a[0], b[1]) for a, b in zip(greedy(prefixes, low, shards), greedy(prefixes, high, shards))]
-        gaps = prefixes.open_gaps(spans[1:-1]) if low < high else []
-        if not gaps:
+        if low == high:
             break
+        # Only cuts that a walk leaves open: what lies between the cuts of two walks need not be known.
+        walks = [greedy(prefixes, c, shards) for c in {low, (low + high) // 2, high - 1}]
+        gaps = prefixes.open_gaps([cut for walk in walks for cut in walk[1:-1] if cut[0] < cut[1]])
+        if not gaps:  # the open cut is the last one
+            gaps = prefixes.open_gaps([walk[-1] for walk in walks])
         prefixes.look(gaps)
     capacity = high
     while True:
@@ -196,9 +203,10 @@ def byte_shards(documents: DataFrame, shards: int) -> DataFrame:
     rows = ordered.join(F.broadcast(offsets), "part").select(
         "doc_id", "size", "text_crc32", "digest", (F.col("upto") + F.col("bytes_before")).alias("end"),
         (F.col("number") + F.col("rows_before")).alias("upto_rows"))
-    ends = materialise(rows.groupBy("digest").agg(F.max("end").alias("end"), F.max("upto_rows").alias("upto_rows")).select("end", "upto_rows"), "ends")
-    total = ends.agg(F.max("end")).first()[0] or 0
-    prefixes = Prefixes(ends, total)
+    ends = materialise(rows.groupBy("digest").agg(
+        F.max("end").alias("end"), F.max("upto_rows").alias("upto_rows"), F.sum("size").alias("bytes")).drop("digest"), "ends")
+    total, largest = ends.agg(F.coalesce(F.max("end"), F.lit(0)), F.coalesce(F.max("bytes"), F.lit(0))).first()
+    prefixes = Prefixes(ends.drop("bytes"), total, largest)
     _, cuts = minimax_cuts(prefixes, shards)
     rows_at = dict(zip(prefixes.values, prefixes.rows))
     inner = F.array(*[F.lit(c).cast("long") for c in cuts[1:-1]])
