@@ -162,7 +162,8 @@ def test_split_cases(spark):
 
 @pytest.mark.parametrize("leaders", [1, 64])
 def test_split_equals_one_by_one(spark, monkeypatch, leaders):
-    monkeypatch.setattr(split, "FIRST_LEADERS", leaders)
+    monkeypatch.setattr(split, "FIRST_STEP", leaders)
+    monkeypatch.setattr(split, "STEP_FACTOR", 2 if leaders == 1 else 8)
     s = Settings(max_group_size=8, threshold=4, low_entropy=4.4)
     rows = random_rows(60 if leaders == 1 else 230, seed=3, centres=6)
     assert _split(spark, rows, s) == sorted(map(sorted, _split_plain(rows, s)))
@@ -186,6 +187,33 @@ def test_split_of_unlike_members_ends(spark):
     assert _split(spark, rows, CAP) == sorted(map(sorted, _split_plain(rows, CAP)))
 
 
+def test_split_rounds_grow_with_the_logarithm(spark, monkeypatch):
+    """5,000 members of which every centre keeps only itself: the prefixes grow by a factor, and no table of pairs is
+    larger than stated."""
+    n, prefixes, pairs = 5000, [], []
+    rows = [row(f"/s/{i:05d}.jpg", (i * 0x9E3779B97F4A7C15 + 7) & (2**63 - 1)) for i in range(n)]
+    take, meet = split._prefix, split._meetings
+    monkeypatch.setattr(split, "_prefix", lambda *a: prefixes.append(take(*a)) or prefixes[-1])
+    monkeypatch.setattr(split, "_meetings", lambda *a: pairs.append(meet(*a)) or pairs[-1])
+    total = {r["image_id"]: t for r, t in zip(rows, _totals([r["phash"] for r in rows]))}
+    order = sorted(total, key=lambda i: (total[i], i))
+    assert _split(spark, rows, CAP) == [sorted(order[-10:])]
+    assert len(prefixes) <= 4
+    assert all(p.count() <= split.PAIRS_PER_NODE * n + split.FIRST_STEP**2 for p in pairs)
+
+
+def _totals(hashes):
+    ones = [sum(h >> k & 1 for h in hashes) for k in range(64)]
+    return [sum(len(hashes) - ones[k] if h >> k & 1 else ones[k] for k in range(64)) for h in hashes]
+
+
+def test_split_of_one_dense_hash(spark):
+    """Two crowded hashes whose members are all alike: their first centres take them, and no pairs are listed."""
+    rows = [row(f"/a/{i:04d}.jpg", 0, brightness=100 + i / 100) for i in range(400)]
+    rows += [row(f"/b/{i:04d}.jpg", 2**40 - 1, brightness=100 + i / 100) for i in range(600)]
+    assert _split(spark, rows, CAP) == sorted(map(sorted, _split_plain(rows, CAP)))
+
+
 def test_vertex_ids_stay_whole_beyond_doubles(spark):
     """Node ids of far partitions times the number of configurations pass 2^53."""
     from twinframe.operators.similarity import _components_of

@@ -77,13 +77,15 @@ def _reach(left: DataFrame, right: DataFrame, offsets: list[int]) -> tuple[int,
     return int(row[0] or 0), row[1] or 0.0, row[2] or 0.0
 
 
-def near_hashes(left: DataFrame, right: DataFrame, radius: int, offsets: list[int], symmetric: bool) -> DataFrame:
+def near_hashes(left: DataFrame, right: DataFrame, radius: int, offsets: list[int], symmetric: bool,
+                at_most: int | None = None) -> DataFrame:
     """Pairs of cells ``(u, v)`` in one class whose bins are an allowed offset apart and whose hashes are near.
 
     ``left`` and ``right`` hold a ``cell`` struct ``(kind, cls, bin, hash)``, one row per distinct cell. With
-    ``symmetric`` both are the same table: every unordered pair of different cells is returned once.
+    ``symmetric`` both are the same table: every unordered pair of different cells is returned once. The keys are
+    planned from the pairs that can meet, or without looking where ``at_most`` cells on a side are known.
     """
-    rows, meetings, busiest = _reach(left, right, offsets)
+    rows, meetings, busiest = (2 * at_most, at_most**2, at_most**2) if at_most else _reach(left, right, offsets)
     masks = plan_masks(radius, rows, meetings)
     salts = int(max(1, busiest // SALT_PAIRS)) if masks == [0] else 1
 

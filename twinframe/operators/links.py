@@ -50,6 +50,9 @@ class Linker:
         self.low_radius = low_radius
         self.early = early
         self.wide = wide if early is not None else ()
+        # Built once: the rule is a large expression.
+        a, b = F.col("a_"), F.col("b_")
+        self._passes, self._passes_early = rule(a, b), early(a, b) if early is not None else None
 
     def vertex(self, node: str, combo: str = "combo_id") -> Column:
         return F.col(node) * self.combos + F.col(combo)
@@ -69,11 +72,11 @@ class Linker:
             df = df.withColumn("combo_id", F.lit(0))
         if self.wide:
             # Wide columns are fetched for what the narrow ones leave.
-            df = df.filter(self.early(F.col("a_"), F.col("b_"))).join(heavy("a"), "a").join(heavy("b"), "b")
+            df = df.filter(self._passes_early).join(heavy("a"), "a").join(heavy("b"), "b")
             for name in ("a", "b"):
                 for c in self.wide:
                     df = df.withColumn(f"{name}_", F.col(f"{name}_").withField(c, F.col(f"{name}_{c}")))
-        passed = df.filter(self.rule(F.col("a_"), F.col("b_")))
+        passed = df.filter(self._passes)
         return passed.select(self.vertex("a").alias("src"), self.vertex("b").alias("dst"))
 
     def link(self, members: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -49,6 +49,23 @@ def rank_in_large_groups(df: DataFrame, group: str, order: str) -> DataFrame:
     )
 
 
+def running_sum(df: DataFrame, order: str | list[str], value: str, name: str) -> DataFrame:
+    """``name``: the sum of ``value`` over all rows before a row in ``order``, over the whole table and in no one task.
+
+    Rows are range-partitioned on ``order``, summed inside each range, and shifted by the sums of earlier ranges.
+    """
+    order = [order] if isinstance(order, str) else order
+    ranged = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("range_no", F.spark_partition_id())
+    ranged = materialise(ranged, "ranges")
+    # One row per range.
+    sums = ranged.groupBy("range_no").agg(F.sum(value).alias("of_range"))
+    earlier = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("shift", F.coalesce(F.sum("of_range").over(earlier), F.lit(0))).drop("of_range")
+    inside = Window.partitionBy("range_no").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = ranged.withColumn("inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return summed.join(sums, "range_no").withColumn(name, F.col("shift") + F.col("inside")).drop("shift", "inside", "range_no")
+
+
 def bit_totals(hash_column: Column, name: str = "bits") -> list[Column]:
     """How many hashes of a group have each bit set: 32 sums, each counting bit k below and bit k + 32 above."""
     pair = F.lit((1 << 32) + 1)

@@ -79,33 +79,36 @@ def _components_of(nodes: DataFrame, edges: DataFrame, combos: int, alone: DataF
     return linked.unionByName(every.join(linked, ["node_id", "combo_id"], "left_anti"))
 
 
-def pair_cells(nodes: DataFrame, settings: list[Settings]) -> tuple[DataFrame, DataFrame]:
-    """Members and near cells for the pair rule: same format, cross format, and rotated."""
+def pair_cells(nodes: DataFrame, settings: list[Settings], scope: str | None = None,
+               at_most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Members and near cells for the pair rule: same format, cross format, and rotated. Only nodes equal in the
+    column ``scope`` meet. ``at_most`` is a number of nodes that need not be counted again."""
     tolerance = max(s.ar_tolerance_pct for s in settings)
     shaped = nodes.withColumn("bin", ratio_bin(shape_log(F.struct("width", "height")), tolerance))
-    upright = shaped.select("node_id", cell("U", F.col("is_raw"), F.col("bin"), F.col("phash")).alias("cell"))
+    within = F.concat(F.col(scope).cast("string"), F.lit(":")) if scope else F.lit("")
+    shaped = shaped.withColumn("cls", F.concat(within, F.col("is_raw").cast("string")))
+    upright = shaped.select("node_id", cell("U", F.col("cls"), F.col("bin"), F.col("phash")).alias("cell"))
     turned = shaped.select(
-        "node_id", "is_raw", "bin", "phash", F.explode(F.array_distinct(F.array(*ROTATIONS))).alias("hash")
+        "node_id", "cls", "bin", "phash", F.explode(F.array_distinct(F.array(*ROTATIONS))).alias("hash")
     ).filter("hash is not null and hash <> phash")
-    turned = turned.select("node_id", cell("R", F.col("is_raw"), F.col("bin"), F.col("hash")).alias("cell"))
+    turned = turned.select("node_id", cell("R", F.col("cls"), F.col("bin"), F.col("hash")).alias("cell"))
 
     cells = upright.select("cell").distinct()
-    same = near_hashes(cells, cells, max(s.same_format_radius for s in settings), [0, 1], symmetric=True)
+    same = near_hashes(cells, cells, max(s.same_format_radius for s in settings), [0, 1], True, at_most)
     rotated = near_hashes(
-        turned.select("cell").distinct(), cells, max(s.rotation_radius for s in settings), [-1, 0, 1], False
+        turned.select("cell").distinct(), cells, max(s.rotation_radius for s in settings), [-1, 0, 1], False,
+        3 * at_most if at_most else None,
     )
     members, pairs = upright.union(turned), same.union(rotated)
     formats = nodes.agg(F.max("is_raw"), F.min("is_raw")).first()
     if formats[0] and not formats[1]:
-        side = lambda flag: cells.filter(F.col("cell.cls") == flag).select(
-            F.col("cell").withField("cls", F.lit("x")).alias("cell")
-        )
+        as_class = lambda name, old, new: F.col(name).withField("cls", F.regexp_replace(f"{name}.cls", f"{old}$", new))
+        side = lambda flag: cells.filter(F.col("cell.cls").endswith(flag)).select(as_class("cell", flag, "x").alias("cell"))
         cross = near_hashes(
-            side("true"), side("false"), max(s.cross_format_radius for s in settings), [-1, 0, 1], False,
+            side("true"), side("false"), max(s.cross_format_radius for s in settings), [-1, 0, 1], False, at_most,
         )
         pairs = pairs.union(
-            cross.select(F.col("u").withField("cls", F.lit("true")).alias("u"),
-                         F.col("v").withField("cls", F.lit("false")).alias("v"))
+            cross.select(as_class("u", "x", "true").alias("u"), as_class("v", "x", "false").alias("v"))
         )
     return members, pairs
 
@@ -124,6 +127,11 @@ def _linker(nodes: DataFrame, settings: list[Settings], grid: DataFrame | None)
     )
 
 
+def pair_linker(nodes: DataFrame, settings: Settings) -> Linker:
+    """Tests pairs of nodes by the rule of one configuration."""
+    return _linker(nodes, [settings], None)
+
+
 def _alone(nodes: DataFrame, params: Params, grid: DataFrame | None) -> DataFrame:
     """Nodes with copies that pass the rule against themselves; only an unnormalised histogram fails."""
     df = nodes.filter("copies > 1")

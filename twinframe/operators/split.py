@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinframe.config import Params, Settings
 from twinframe.operators.predicates import PairRule
-from twinframe.operators.ranking import bit_totals, distance_to_all
-from twinframe.operators.similarity import PAIR_COLUMNS
+from twinframe.operators.ranking import bit_totals, distance_to_all, running_sum
+from twinframe.operators.similarity import PAIR_COLUMNS, collapse, pair_cells, pair_linker
 from twinframe.session import materialise
 
-FIRST_LEADERS = 64
-MOST_LEADERS = 1024
+FIRST_STEP = 64
+STEP_FACTOR = 8
+PAIRS_PER_NODE = 50
 
 
 def split_oversized(components: DataFrame, features: DataFrame, settings: Settings) -> DataFrame:
@@ -23,9 +26,12 @@ def split_oversized(components: DataFrame, features: DataFrame, settings: Settin
     rule against it, until no more than the cap are left; those form one group as they stand. Whoever ends up alone
     has a null ``group_id``, so every row of ``components`` comes back.
 
-    Many centres are found at once: among the first members left, a member is a centre if it passes with no centre
-    before it, and everyone else joins the first centre it passes with, which is what one after the other gives. All
-    sizes take the same path. Each round looks at more leaders than the one before, and takes at least one member.
+    The centres are the greedy maximal independent set of the pass graph in that order, and each other member joins the
+    first centre it passes with. Of a prefix of the order, every member that is first among its undecided passing
+    neighbours becomes a centre at once, its neighbours drop out, and so on; then the centres take their neighbours
+    in all of what is left. Prefixes grow by a factor, as far as the pairs to look at stay in proportion to the nodes
+    left, so rounds grow with the logarithm of the component; dense parts vanish with the first centres. Members meet
+    through the keys of the radius join only, alike ones are one node, and no task holds a component.
     """
     plain = components.select("image_id", F.col("component").alias("group_id"))
     cap = settings.max_group_size
@@ -38,57 +44,121 @@ def split_oversized(components: DataFrame, features: DataFrame, settings: Settin
         return plain
     result = plain.join(large, "group_id", "left_anti").select("image_id", "group_id")
     members = plain.join(large, "group_id").join(features.select("image_id", *PAIR_COLUMNS), "image_id")
-    totals = members.groupBy("group_id").agg(*bit_totals(F.col("phash")))
-    members = members.join(totals, "group_id").withColumn("total", distance_to_all("phash", "n"))
-    members = materialise(members.select("group_id", "n", "image_id", "total", *PAIR_COLUMNS), "oversized")
+    row = F.struct(*PAIR_COLUMNS)
+    # Copies pass with each other, but for rows that fail the rule against themselves: those stay apart.
+    own = F.when(~PairRule(row, row, Params(settings)).similar, F.col("image_id"))
+    members = materialise(members.withColumn("own", own), "oversized")
+    nodes, membership = _ordered(members, large)
+    assigned = _assigned(nodes, settings)
+    return result.unionByName(_named(nodes, membership, assigned, cap))
+
+
+def _ordered(members: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``nodes`` numbered by component and then by their order in it, and ``membership(image_id, node_id)``."""
+    found, membership = collapse(members, ["group_id", "own", *PAIR_COLUMNS])
+    totals = members.groupBy("group_id").agg(*bit_totals(F.col("phash"))).join(large, "group_id")
+    scored = found.join(totals, "group_id").withColumn("total", distance_to_all("phash", "n"))
+    scored = scored.select("node_id", "group_id", "n", "total", "image_id", "copies", F.lit(1).alias("one"), *PAIR_COLUMNS)
+    placed = materialise(running_sum(scored, ["group_id", "total", "image_id"], "one", "place"), "ordered")
+    membership = membership.join(placed.select("node_id", "place"), "node_id").select("image_id", F.col("place").alias("node_id"))
+    return placed.drop("node_id", "total", "one").withColumnRenamed("place", "node_id"), membership
+
 
-    taken, open_, leaders = None, members, FIRST_LEADERS
+def _assigned(nodes: DataFrame, settings: Settings) -> DataFrame:
+    """``(node_id, centre)`` of all nodes that some centre takes, centres included, until each component has at most the
+    cap left."""
+    cap = settings.max_group_size
+    linker = pair_linker(nodes, settings)
+    cells, near = pair_cells(nodes, [settings], "group_id", nodes.count())
+    key = lambda c: F.xxhash64(c)  # equal keys of unlike cells cost a test and nothing else
+    cells = materialise(cells.select("node_id", key("cell").alias("cell")), "cells")
+    near = near.select(key("u").alias("u"), key("v").alias("v")).union(
+        cells.select(F.col("cell").alias("u"), F.col("cell").alias("v")).distinct())
+    near = materialise(near, "near")
+    both_ways = near.union(near.filter("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+    first = nodes.groupBy("group_id").agg(F.min("node_id").alias("low"))
+    open_ = materialise(nodes.select("node_id", "group_id", "copies").join(first, "group_id"), "open")
+    assigned = []
     while True:
-        found = materialise(_taken(open_, settings, leaders), "taken")
-        taken = found if taken is None else taken.unionByName(found)
-        rest = open_.join(found.select("image_id"), "image_id", "left_anti")
-        counts = rest.groupBy("group_id").agg(F.count(F.lit(1)).alias("left")).filter(F.col("left") > cap)
-        open_ = materialise(rest.join(counts.select("group_id"), "group_id", "left_semi"), "rest")
+        prefix = materialise(_prefix(open_, cells, near), "prefix")
+        behind = open_.join(prefix.select("node_id"), "node_id", "left_anti")
+        within = _meetings(prefix, prefix, cells, near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        edges = materialise(linker.test(within.distinct()), "passes")
+        centres = materialise(_centres(prefix.select("node_id"), edges), "centres")
+        passed = edges.join(centres.select(F.col("node_id").alias("src")), "src")
+        more = prefix.count() < open_.count()
+        if more:
+            passed = passed.unionByName(linker.test(_meetings(centres, behind, cells, both_ways).distinct()))
+        taken = passed.groupBy(F.col("dst").alias("node_id")).agg(F.min("src").alias("centre"))
+        taken = taken.union(centres.select("node_id", F.col("node_id").alias("centre")))
+        assigned.append(materialise(taken, "taken"))
+        if not more:
+            return reduce(DataFrame.union, assigned)
+        high = prefix.groupBy("group_id").agg(F.max("high").alias("low"))
+        rest = behind.drop("low").join(assigned[-1].select("node_id"), "node_id", "left_anti").join(high, "group_id")
+        left = rest.groupBy("group_id").agg(F.sum("copies").alias("left")).filter(F.col("left") > cap)
+        open_ = materialise(rest.join(left.select("group_id"), "group_id", "left_semi"), "open")
         if open_.isEmpty():
-            return result.unionByName(_named(members, taken, cap))
-        leaders = min(2 * leaders, MOST_LEADERS)
-
-
-def _taken(open_: DataFrame, settings: Settings, leaders: int) -> DataFrame:
-    """``(group_id, image_id, centre, centre_total)`` of the members that the centres among the leaders take."""
-    first = Window.partitionBy("group_id").orderBy("total", "image_id")
-    lead = open_.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= leaders)
-    fields = F.struct(*PAIR_COLUMNS)
-    lead = materialise(lead.select("group_id", "image_id", "total", "rank", fields.alias("m")), "leaders")
-    rule = PairRule(F.col("m"), F.col("o"), Params(settings))
-    earlier = lead.select("group_id", F.col("rank").alias("before"), F.col("m").alias("o"))
-    blocked = lead.join(earlier, "group_id").filter((F.col("before") < F.col("rank")) & rule.similar)
-    blocked = blocked.groupBy("group_id", "rank").agg(F.collect_list("before").alias("before"))
-    # At most ``leaders`` entries per component.
-    ordered = lead.join(blocked, ["group_id", "rank"], "left").groupBy("group_id").agg(F.array_sort(F.collect_list(
-        F.struct("rank", "image_id", "total", F.coalesce("before", F.array().cast("array<int>")).alias("before"))
-    )).alias("lead"))
-    none = F.array().cast("array<int>")
-    ranks = F.aggregate("lead", none, lambda chosen, x: F.when(
-        F.arrays_overlap(chosen, x["before"]), chosen).otherwise(F.concat(chosen, F.array(x["rank"]))))
-    centres = ordered.withColumn("ranks", ranks).select("group_id", F.explode("ranks").alias("rank"))
-    centres = materialise(lead.join(centres, ["group_id", "rank"]).select(
-        "group_id", F.col("image_id").alias("centre"), F.col("total").alias("centre_total"), "m"), "centres")
-    rows = open_.select("group_id", "image_id", fields.alias("o")).join(centres, "group_id")
-    passed = rows.filter((F.col("image_id") == F.col("centre")) | rule.similar)
-    best = passed.groupBy("group_id", "image_id").agg(F.min(F.struct("centre_total", "centre")).alias("c"))
-    return best.select("group_id", "image_id", "c.centre", "c.centre_total")
-
-
-def _named(members: DataFrame, taken: DataFrame, cap: int) -> DataFrame:
+            return reduce(DataFrame.union, assigned)
+
+
+def _meetings(left: DataFrame, right: DataFrame, cells: DataFrame, near: DataFrame) -> DataFrame:
+    """``(a, b)``: nodes of both sides that share a pair of near cells."""
+    lhs = left.select("node_id").join(cells, "node_id").select(F.col("node_id").alias("a"), F.col("cell").alias("u"))
+    rhs = right.select("node_id").join(cells, "node_id").select(F.col("node_id").alias("b"), F.col("cell").alias("v"))
+    return lhs.join(near, "u").join(rhs, "v").filter("a <> b").select("a", "b")
+
+
+def _prefix(open_: DataFrame, cells: DataFrame, near: DataFrame) -> DataFrame:
+    """The nodes of each component that this round decides, with the ``high`` end of their prefix.
+
+    The longest step is taken for which the pairs inside the prefix stay within ``PAIRS_PER_NODE`` for each node left,
+    counted from cell sizes; the shortest step is always taken.
+    """
+    most = open_.agg(F.max(F.col("node_id") - F.col("low"))).first()[0]
+    steps = [FIRST_STEP]
+    while steps[-1] <= most:
+        steps.append(steps[-1] * STEP_FACTOR)
+    at = F.col("node_id") - F.col("low")
+    filled = open_.join(cells, "node_id").groupBy("group_id", "cell").agg(
+        *[F.count(F.when(at < s, 1)).alias(f"k{i}") for i, s in enumerate(steps)])
+    side = lambda name: filled.select(
+        F.col("cell").alias(name), *(["group_id"] if name == "u" else []), *[F.col(f"k{i}").alias(f"{name}{i}") for i in range(len(steps))])
+    pairs = near.join(side("u"), "u").join(side("v"), "v").groupBy("group_id").agg(
+        *[F.sum(F.col(f"u{i}") * F.col(f"v{i}")).alias(f"p{i}") for i in range(len(steps))])
+    left = open_.groupBy("group_id").agg(F.count(F.lit(1)).alias("left"))
+    fits = [F.when(F.col(f"p{i}") <= F.col("left") * PAIRS_PER_NODE, F.lit(s)) for i, s in enumerate(steps)]
+    step = left.join(pairs, "group_id", "left").select("group_id", F.coalesce(*fits[:0:-1], F.lit(FIRST_STEP)).alias("step"))
+    return open_.join(step, "group_id").filter(at < F.col("step")).select(
+        "node_id", "group_id", (F.col("low") + F.col("step")).alias("high"))
+
+
+def _centres(prefix: DataFrame, edges: DataFrame) -> DataFrame:
+    """The nodes of ``prefix`` that pass with no centre before them, from the passing pairs ``(src < dst)``."""
+    ends = lambda e, name: e.select(F.col(name).alias("node_id")).distinct()
+    while not edges.isEmpty():
+        # Nodes without an earlier neighbour left are centres; their neighbours are not.
+        free = ends(edges, "src").join(ends(edges, "dst"), "node_id", "left_anti")
+        beaten = ends(edges.join(free.withColumnRenamed("node_id", "src"), "src"), "dst")
+        prefix = prefix.join(beaten, "node_id", "left_anti")
+        for end in ("src", "dst"):
+            edges = edges.join(beaten.withColumnRenamed("node_id", end), end, "left_anti")
+        edges = materialise(edges.select("src", "dst"), "passes")
+    return prefix
+
+
+def _named(nodes: DataFrame, membership: DataFrame, assigned: DataFrame, cap: int) -> DataFrame:
     """Groups of the centres up to the point where no more than the cap are left, and of the rest."""
-    sizes = taken.groupBy("group_id", "centre", "centre_total").agg(F.count(F.lit(1)).alias("size"))
-    before = Window.partitionBy("group_id").orderBy("centre_total", "centre").rowsBetween(Window.unboundedPreceding, -1)
-    gone = sizes.withColumn("gone", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    used = gone.join(members.select("group_id", "n").distinct(), "group_id").filter(F.col("n") - F.col("gone") > cap)
-    placed = taken.join(used.select("group_id", "centre"), ["group_id", "centre"])
-    every = members.select("group_id", "image_id").join(placed.select("image_id", "centre"), "image_id", "left")
-    every = materialise(every.withColumn("centre", F.coalesce("centre", F.lit(""))), "placed")
+    assigned = assigned.join(nodes.select("node_id", "group_id", "n", "copies"), "node_id")
+    sizes = assigned.groupBy("group_id", "n", "centre").agg(F.sum("copies").alias("size"))
+    # Centres are numbered by component, so what is gone within one is a difference of sums over all.
+    gone = running_sum(sizes, "centre", "size", "upto")
+    start = gone.groupBy("group_id").agg(F.min("upto").alias("start"))
+    used = gone.join(start, "group_id").filter(F.col("n") - (F.col("upto") - F.col("start")) > cap)
+    placed = assigned.select("node_id", "centre").join(used.select("centre"), "centre")
+    every = nodes.select("node_id", "group_id").join(placed, "node_id", "left").join(membership, "node_id")
+    every = materialise(every.select("image_id", "group_id", F.coalesce("centre", F.lit(-1)).alias("centre")), "placed")
     names = every.groupBy("group_id", "centre").agg(F.min("image_id").alias("name"), F.count(F.lit(1)).alias("size"))
     return every.join(names, ["group_id", "centre"]).select(
         "image_id", F.when(F.col("size") > 1, F.col("name")).alias("group_id"))
