@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from twinframe.config import Settings
 from twinframe.operators import candidates, links, split
 from twinframe.operators.components import connected_components
+from twinframe.operators.forest import minimum_spanning_forest
 from twinframe.operators.similarity import borderline_components, similarity_components, similarity_components_grid
 from twinframe.operators.split import split_oversized
 
@@ -110,6 +111,35 @@ def test_grid_equals_single_runs(spark):
         assert {r["image_id"]: r["component"] for r in got if r["combo_id"] == i} == components(rows, s)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_forest_keeps_the_components_of_every_limit(spark, seed):
+    rng = random.Random(seed)
+    edges = [(rng.randrange(80), rng.randrange(80), rng.randrange(6)) for _ in range(150 if seed == 1 else 600)]
+    edges += edges[:20] + [(3, 3, 0)] + [(900 + i, 900, 2) for i in range(40)]
+    table = spark.createDataFrame(edges, "src long, dst long, weight int")
+    forest = [tuple(r) for r in minimum_spanning_forest(table).collect()]
+    assert set(forest) <= {(min(a, b), max(a, b), w) for a, b, w in edges}
+    for limit in range(6):
+        kept = lambda es: {x: c for x, c in _plain_components([(a, b) for a, b, w in es if w <= limit and a != b]).items()}  # noqa: B023
+        assert kept(forest) == kept(edges)
+    assert len(forest) == len(_plain_components([(a, b) for a, b, _ in forest])) - len(set(_plain_components([(a, b) for a, b, _ in forest]).values()))
+    assert minimum_spanning_forest(table.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("crowded", [False, True])
+def test_grid_of_thresholds_equals_single_runs(spark, monkeypatch, crowded):
+    """Thresholds are cuts of one forest per family of settings; the way of crowded cells gives the same."""
+    if crowded:
+        _force_cell_rounds(monkeypatch)
+    else:
+        monkeypatch.setattr(links, "REST_PER_NODE", 10**9)
+    rows = random_rows(90, seed=8, centres=5)
+    combos = [Settings(threshold=t, low_entropy=4.4, **more) for t in (1, 4, 9) for more in ({}, {"use_histogram": False})]
+    got = similarity_components_grid(frame(spark, rows), combos).collect()
+    for i, s in enumerate(combos):
+        assert {r["image_id"]: r["component"] for r in got if r["combo_id"] == i} == components(rows, s)
+
+
 def test_borderline(spark):
     s = Settings(threshold=2, ambiguous_threshold_factor=2.5)
 

@@ -118,6 +118,14 @@ class Params:
         return F.lit(getattr(self.settings, name))
 
 
+class AtThreshold(Params):
+    """The same settings under another threshold, given as a Column."""
+
+    def __init__(self, params: Params, threshold: Column):
+        super().__init__(params.settings, params.grid_column)
+        self.threshold = threshold
+
+
 def settings_grid(spark: SparkSession, combos: list[Settings], ids: list[int] | None = None) -> DataFrame:
     """One row per configuration: ``combo_id`` and a ``cfg`` struct. The caller lists them, so the size is known."""
     names = PAIR_FIELDS + CLASSIFY_FIELDS

@@ -57,8 +57,8 @@ class Linker:
     def vertex(self, node: str, combo: str = "combo_id") -> Column:
         return F.col(node) * self.combos + F.col(combo)
 
-    def test(self, ids: DataFrame) -> DataFrame:
-        """``(a, b[, combo_id])`` to the vertex edges that pass."""
+    def test(self, ids: DataFrame, weight: Rule | None = None) -> DataFrame:
+        """``(a, b[, combo_id])`` to the vertex edges that pass, with their weight where one is asked for."""
         fields = F.struct(*[c for c in self.nodes.columns if c != "node_id" and c not in self.wide])
         side = lambda name: self.nodes.select(F.col("node_id").alias(name), fields.alias(f"{name}_"))
         heavy = lambda name: self.nodes.select(
@@ -77,10 +77,11 @@ class Linker:
                 for c in self.wide:
                     df = df.withColumn(f"{name}_", F.col(f"{name}_").withField(c, F.col(f"{name}_{c}")))
         passed = df.filter(self._passes)
-        return passed.select(self.vertex("a").alias("src"), self.vertex("b").alias("dst"))
+        weights = [weight(F.col("a_"), F.col("b_")).alias("weight")] if weight is not None else []
+        return passed.select(self.vertex("a").alias("src"), self.vertex("b").alias("dst"), *weights)
 
-    def link(self, members: DataFrame, pairs: DataFrame) -> DataFrame:
-        """Edges between vertices, given ``members(cell, node_id)`` and near cells ``pairs(u, v)``."""
+    def prepare(self, members: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+        """Near cells with their pivots and sizes, the cells of several nodes, and whether all cells are small."""
         cells = members.groupBy("cell").agg(F.min("node_id").alias("pivot"), F.count(F.lit(1)).alias("n"))
         crowded = cells.filter("n > 1")
         pairs = materialise(
@@ -90,18 +91,32 @@ class Linker:
         )
         # A rotated hash only meets upright ones; nodes that share it need not be alike.
         crowded = crowded.filter("cell.kind <> 'R'")
-        n_nodes = self.nodes.count() * self.combos
         tests = pairs.select((F.col("nu") * F.col("nv")).alias("w")).union(
             crowded.select(F.col("n") * (F.col("n") - 1))
         )
         work = tests.agg(F.sum("w").alias("all"), F.max("w").alias("most")).first()
-        if (work["all"] or 0) <= REST_PER_NODE * n_nodes and (work["most"] or 0) <= SMALL_CELL:
-            # Cells are small throughout: testing all their members is linear work, and little per cell.
-            every = pairs.select("u", "v").union(crowded.select(F.col("cell").alias("u"), F.col("cell").alias("v")))
-            lhs = every.join(members.select(F.col("cell").alias("u"), F.col("node_id").alias("a")), "u")
-            ids = lhs.join(members.select(F.col("cell").alias("v"), F.col("node_id").alias("b")), "v")
-            ids = ids.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            return self.test(ids.distinct())
+        nodes = self.nodes.count() * self.combos
+        return pairs, crowded, (work["all"] or 0) <= REST_PER_NODE * nodes and (work["most"] or 0) <= SMALL_CELL
+
+    @staticmethod
+    def every_pair(members: DataFrame, pairs: DataFrame, crowded: DataFrame) -> DataFrame:
+        """``(a, b)``: all node pairs of near cells and within cells, for cells that are small."""
+        every = pairs.select("u", "v").union(crowded.select(F.col("cell").alias("u"), F.col("cell").alias("v")))
+        lhs = every.join(members.select(F.col("cell").alias("u"), F.col("node_id").alias("a")), "u")
+        ids = lhs.join(members.select(F.col("cell").alias("v"), F.col("node_id").alias("b")), "v")
+        return ids.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def link(self, members: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Edges between vertices, given ``members(cell, node_id)`` and near cells ``pairs(u, v)``."""
+        pairs, crowded, small = self.prepare(members, pairs)
+        if small:
+            # Testing all members is linear work then, and little per cell.
+            return self.test(self.every_pair(members, pairs, crowded))
+        return self.link_crowded(members, pairs, crowded)
+
+    def link_crowded(self, members: DataFrame, pairs: DataFrame, crowded: DataFrame) -> DataFrame:
+        """The edges by way of pivots, from what :meth:`prepare` found."""
+        n_nodes = self.nodes.count() * self.combos
         stars = members.join(crowded, "cell").select(F.col("pivot").alias("a"), F.col("node_id").alias("b"))
         edges = materialise(self.test(stars.union(pairs.select("a", "b")).distinct()), "links")
 

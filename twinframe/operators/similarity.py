@@ -7,10 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinframe.config import Params, Settings, settings_grid
+from twinframe.config import PAIR_FIELDS, AtThreshold, Params, Settings, settings_grid
 from twinframe.functions.hashing import ROTATIONS
 from twinframe.operators.candidates import near_hashes
 from twinframe.operators.components import connected_components
+from twinframe.operators.forest import minimum_spanning_forest
 from twinframe.operators.links import Linker
 from twinframe.operators.predicates import PairRule, aspect_ratio, borderline_pair
 from twinframe.session import materialise
@@ -153,11 +154,50 @@ def similarity_components_grid(features: DataFrame, settings: list[Settings]) ->
     """``(combo_id, image_id, component)`` under every configuration, from one pass over the candidates.
 
     ``combo_id`` is the position in ``settings``. Only values in ``PAIR_FIELDS`` may differ between them.
+
+    Configurations that differ in the threshold alone are one family: a pair that passes under some threshold passes
+    under every larger one, so its weight is the first threshold it passes under, found by one test. A minimum
+    spanning forest of these weights then holds the components of all thresholds as cuts, and one run of components over
+    its few edges, repeated for the thresholds they belong to, gives them all. Where cells are crowded, pivots are tested
+    under every configuration instead.
     """
+    spark = features.sparkSession
     nodes, membership = collapse(features, PAIR_COLUMNS)
-    grid = settings_grid(features.sparkSession, settings)
+    grid = settings_grid(spark, settings)
     members, pairs = pair_cells(nodes, settings)
-    edges = _linker(nodes, settings, grid).link(members, pairs)
+    others = [f for f in PAIR_FIELDS if f != "threshold"]
+    families: dict[tuple, list[int]] = {}
+    for s in settings:
+        families.setdefault(tuple(getattr(s, f) for f in others), []).append(s.threshold)
+    levels = {key: sorted(set(found)) for key, found in families.items()}
+    number = {key: k for k, key in enumerate(levels)}
+    widest = [next(s for s in settings if tuple(getattr(s, f) for f in others) == key).with_(threshold=found[-1])
+              for key, found in levels.items()]
+    steps = spark.createDataFrame([(number[k], found) for k, found in levels.items()], "combo_id int, levels array<int>")
+    linker = _linker(nodes, widest, settings_grid(spark, widest).join(F.broadcast(steps), "combo_id"))
+    prepared, crowded, small = linker.prepare(members, pairs)
+    if small:
+        params = Params(settings[0], "cfg")
+
+        def weight(a: Column, b: Column) -> Column:
+            def fails(threshold: Column) -> Column:
+                rule = PairRule(a, b, AtThreshold(params, threshold))
+                return ~(rule.phash_ok & rule.dhash_ok)
+
+            return F.size(F.filter("levels", fails))
+
+        weighted = linker.test(linker.every_pair(members, prepared, crowded), weight)
+        forest = minimum_spanning_forest(weighted)
+        # One row per configuration: the family it belongs to and its threshold's place there.
+        key = lambda s: tuple(getattr(s, f) for f in others)
+        cuts = spark.createDataFrame(
+            [(number[key(s)], levels[key(s)].index(s.threshold), i) for i, s in enumerate(settings)], "family int, cut int, combo_id int")
+        n, combos = len(levels), len(settings)
+        own = forest.withColumn("family", F.pmod("src", F.lit(n)).cast("int"))
+        vertex = lambda end: F.expr(f"({end} div {n}) * {combos} + combo_id").alias(end)
+        edges = own.join(F.broadcast(cuts), "family").filter("weight <= cut").select(vertex("src"), vertex("dst"))
+    else:
+        edges = _linker(nodes, settings, grid).link_crowded(members, prepared, crowded)
     comps = _components_of(nodes, edges, len(settings), _alone(nodes, Params(settings[0], "cfg"), grid))
     return membership.join(comps, "node_id").select("combo_id", "image_id", "component")
 

@@ -1062,13 +1062,39 @@ def calibration_of_two(spark, sf_dir):
                          F.round("f1", 9).alias("f1"), "n_groups")
 
 
-@register("calibration_grid")
+GRID = [SETTINGS.with_(threshold=t, preview_ratio=r, series_threshold_factor=1.0)
+        for t in calibrate.ROUND1_THRESHOLDS for r in calibrate.ROUND1_RATIOS]
+
+
+def _labelled_components(s) -> str:
+    return o.components(s).lstrip().replace("FROM feat WHERE", "FROM feat WHERE image_id IN (SELECT path FROM truth0) AND", 1)
+
+
+def _scores_sql(combos, columns: str) -> str:
+    """Scores of configurations over the labelled files, numbered in order; those alike in all but the preview ratio share
+    their components."""
+    shared: dict = {}
+    for i, c in enumerate(combos):
+        shared.setdefault(c.with_(preview_ratio=0.0, disable_series_detection=False), []).append((i, c))
+    parts = []
+    for s, own in shared.items():
+        inner = " UNION ALL ".join(
+            f"SELECT {i} AS combo_id, {columns} FROM ({o.with_(o.roles(c).lstrip(), SCORE)} {SCORE_SELECT})" for i, c in own)
+        parts.append(f"SELECT * FROM ({o.with_(o.FEAT.lstrip(), TRUTH, _labelled_components(s))} {inner})")
+    return " UNION ALL ".join(parts)
+
+
+SCORED = "groups_found, groups_strict, originals_correct, previews_correct, false_positives, negatives_correct, score, f1, n_groups"
+
+
+@register("calibration_grid", f"SELECT *, row_number() OVER (ORDER BY score DESC, combo_id)::INT AS rank FROM ({_scores_sql(GRID, SCORED)})")
 def calibration_grid(spark, sf_dir):
-    """The coarse grid of the first calibration round: every threshold with every ratio."""
-    combos = [SETTINGS.with_(threshold=t, preview_ratio=r, series_threshold_factor=1.0)
-              for t in calibrate.ROUND1_THRESHOLDS for r in calibrate.ROUND1_RATIOS]
-    scored = calibrate.score_settings(kept_features(spark, sf_dir), _truth(spark, sf_dir), combos)
-    return summary.top_rows(scored, "score", n=len(combos))
+    """The coarse grid of the first calibration round: every threshold with every ratio, over the labelled files."""
+    truth = _truth(spark, sf_dir)
+    scored = calibrate.score_settings(calibrate.labelled(kept_features(spark, sf_dir), truth), truth, GRID)
+    columns = [c for c in SCORED.split(", ") if c not in ("score", "f1")]
+    rows = scored.select("combo_id", *columns, F.round("score", 9).alias("score"), F.round("f1", 9).alias("f1"))
+    return summary.top_rows(rows, "score", n=len(GRID))
 
 
 @register("guard_ablation", "WITH scores AS (" + _combos_sql(
