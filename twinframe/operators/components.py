@@ -56,3 +56,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
             )
         current = materialise(_small_star(_large_star(current)), "star")
     raise RuntimeError(f"components did not settle within {MAX_ROUNDS} rounds")
+
+
+def extend_components(components: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(node, component)`` after further ``edges (src, dst)``, given the components without them.
+
+    Ends are mapped to the components they are in, and only that contracted graph is solved: edges inside a component
+    vanish, so the work follows what is new. Nodes without a component count as their own.
+    """
+    for end in ("src", "dst"):
+        names = components.select(F.col("node").alias(end), F.col("component").alias("known"))
+        edges = edges.join(names, end, "left").withColumn(end, F.coalesce("known", end)).drop("known")
+    merged = connected_components(edges.select("src", "dst"))
+    merged = materialise(merged, "merged")
+    if merged.isEmpty():
+        return components
+    renamed = merged.select(F.col("node").alias("component"), F.col("component").alias("root"))
+    known = components.join(renamed, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    fresh = merged.join(components.select("node"), "node", "left_anti").select("node", "component")
+    return materialise(known.union(fresh), "components")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinframe.operators.candidates import mask_keys
-from twinframe.operators.components import connected_components
+from twinframe.operators.components import connected_components, extend_components
 from twinframe.session import materialise
 
 PIVOT_ROUNDS = 6
@@ -130,9 +130,11 @@ class Linker:
         touched = open_pairs.select(F.col("u").alias("cell")).union(open_pairs.select("v")).distinct()
         members = members.join(touched, "cell", "left_semi")
 
-        before = None
+        before, comps, fresh = None, None, edges
         for step in range(PIVOT_ROUNDS + 1):
-            state = self._state(members, edges)
+            # Only what the last round found is solved, on the components of the rounds before.
+            comps = materialise(connected_components(fresh), "components") if comps is None else extend_components(comps, fresh)
+            state = self._state(members, comps)
             rest = self._rest(open_pairs, state)
             left = rest.agg(F.sum("pairs")).first()[0]
             if not left:
@@ -152,11 +154,11 @@ class Linker:
             ids = state.join(again, ["combo_id", "cell"]).select(
                 F.explode("pivots").alias("a"), F.col("node_id").alias("b"), "combo_id"
             )
-            edges = materialise(edges.union(self.test(ids.distinct())).distinct(), "links")
+            fresh = materialise(self.test(ids.distinct()), "links")
+            edges = edges.union(fresh)
 
-    def _state(self, members: DataFrame, edges: DataFrame) -> DataFrame:
+    def _state(self, members: DataFrame, comps: DataFrame) -> DataFrame:
         """Members with their component so far and whether it dominates their cell."""
-        comps = connected_components(edges)
         if self.grid is not None:
             members = members.crossJoin(F.broadcast(self.grid.select("combo_id")))
         else:
