@@ -1,6 +1,7 @@
 import random
 import re
 
+from twinframe.llm import near_dedup
 from twinframe.llm.near_dedup import deduplicated, near_duplicates
 
 
@@ -42,6 +43,24 @@ def test_equals_brute_force_in_dense_groups(spark, documents):
     assert all(r.kept == (r.doc_id == r.component_id if r.component_id is not None else True) for r in got)
 
 
+def test_pairs_grow_linearly_with_a_group_beside_its_pivot(spark, documents, monkeypatch):
+    """m copies around a core that shares table cells with the pivot of a larger group, but not the threshold."""
+    m, rng, counts = 60, random.Random(9), []
+    words = [f"w{k}" for k in range(200)]
+    other = list(words)
+    for k in range(8):
+        other[12 + 24 * k] = f"x{k}"
+    near = lambda base, k: " ".join(base[:k + 3] + [f"m{rng.randrange(10**9)}"] + base[k + 4:])
+    rows = [(k, near(words, k)) for k in range(2 * m)] + [(1000 + k, near(other, k)) for k in range(m)]
+    for name in ("_first_of_items", "_between_components"):
+        pick = getattr(near_dedup, name)
+        monkeypatch.setattr(near_dedup, name, lambda *a, pick=pick: counts.append(pick(*a)) or counts[-1])
+    got = near_duplicates(documents(rows)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(rows)
+    assert {r.component_id for r in got} == {0, 1000}
+    assert sum(c.count() for c in counts) <= 6 * m
+
+
 def test_one_row_stays_of_each_group(spark, documents):
     text = " ".join(f"w{k}" for k in range(60))
     rows = [(3, text), (1, text), (1, text), (2, text + " more"), (7, "other words " * 9), (8, None)]

@@ -14,6 +14,11 @@ without listing pairs. With ``D(x)`` the shingles in exactly one of ``x`` and ``
 shingle whenever ``x`` or ``y`` is not linked to ``p``. That is an overlap join around one pivot: shingles met in one
 ``D`` only cannot be shared and drop out, the rest are ordered by rarity, prefixes are joined, size and position bounds
 discard most of what meets, and the remaining pairs are checked on full sets.
+
+Only what could still join two components needs a check. The links to the pivots are solved first; then the members that
+share a shingle of their prefixes are checked against one of them (linear); and what is left meets between different
+components only. A group of copies around a pivot that they are not linked to is one component by then, through pivots of
+their own, and its members never meet each other.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinframe.llm.words import STEP, arrow_batches, as_text, by_bytes, mixed, split_words, window_hashes, word_hashes
-from twinframe.operators.components import connected_components
+from twinframe.operators.components import connected_components, extend_components
 from twinframe.session import materialise
 
 SHINGLE = 5
@@ -191,8 +196,9 @@ def _compared(pairs: DataFrame, sets: DataFrame, similarity: int, deltas: bool)
     return both.mapInArrow(compare, "src long, dst long, n long, linked boolean" + ", delta array<long>" * deltas)
 
 
-def _pairs_around_pivots(checked: DataFrame, similarity: int) -> DataFrame:
-    """``src, dst``: pairs around one pivot that may be linked, at least one of them not linked to the pivot."""
+def _heads(checked: DataFrame, similarity: int) -> DataFrame:
+    """``item, src, linked, g, size, at``: the prefixes of what members differ in from a pivot, where at least one member
+    around it is not linked to it."""
     apart, joint = 100 - similarity, 100 + similarity
     surplus = F.size("delta") * joint - F.col("n") * apart  # a link needs shared * 2 * joint >= the sum of both
     members = checked.withColumn("g", surplus.cast("long"))
@@ -217,14 +223,55 @@ def _pairs_around_pivots(checked: DataFrame, similarity: int) -> DataFrame:
     heads = heads.filter("prefix > 0").select(
         "src", "linked", "g", "size", F.posexplode(F.slice("items", 1, F.col("prefix"))).alias("at", "head")
     ).select("src", "linked", "g", "size", "at", F.col("head.item").alias("item"))
-    heads = materialise(heads, "heads")
-    a, b = heads.alias("a"), heads.alias("b")
+    return materialise(heads, "heads")
+
+
+def _may_link(similarity: int):
+    """Whether heads ``a`` and ``b`` of one item may be linked: at least one is not linked to the pivot, and the sizes and
+    positions leave room for what they must share."""
+    joint = 100 + similarity
     room = F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at"))
-    meets = (
-        (F.col("a.item") == F.col("b.item")) & (F.col("a.src") < F.col("b.src"))
-        & ~(F.col("a.linked") & F.col("b.linked")) & (needed(F.col("a.g") + F.col("b.g")) <= room)
-    )
-    return a.join(b, meets).select(F.col("a.src").alias("src"), F.col("b.src").alias("dst")).distinct()
+    needed = F.greatest(F.lit(1), F.ceil((F.col("a.g") + F.col("b.g")) / (2 * joint)))
+    return ~(F.col("a.linked") & F.col("b.linked")) & (needed <= room)
+
+
+def _placed(heads: DataFrame, components: DataFrame) -> DataFrame:
+    """Heads with the component of their node; a node without one is its own."""
+    known = components.select(F.col("node").alias("src"), "component")
+    return heads.join(known, "src", "left").withColumn("component", F.coalesce("component", "src"))
+
+
+def _first_of_items(heads: DataFrame, similarity: int) -> DataFrame:
+    """``src, dst``: members that share an item, each against the first of them; both in different components."""
+    first = heads.groupBy("item").agg(F.min(F.struct("src", "linked", "g", "size", "at", "component")).alias("b")).alias("f")
+    met = heads.alias("a").join(first.select("item", "b"), "item").filter((F.col("a.component") != F.col("b.component")) & _may_link(similarity))
+    return met.select(F.col("a.src").alias("src"), F.col("b.src").alias("dst")).distinct()
+
+
+def _between_components(heads: DataFrame, similarity: int) -> DataFrame:
+    """``src, dst``: pairs that share an item and may be linked, of different components. Components meet first, so
+    members of one component are never paired."""
+    there = heads.select("item", "component").distinct()
+    several = there.groupBy("item").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("item")
+    there = there.join(several, "item", "left_semi")
+    x, y = there.select("item", F.col("component").alias("ca")), there.select("item", F.col("component").alias("cb"))
+    meets = x.join(y, "item").filter("ca < cb")
+    side = lambda name, key: heads.select("item", F.col("component").alias(key), F.struct("src", "linked", "g", "size", "at").alias(name))
+    met = meets.join(side("a", "ca"), ["item", "ca"]).join(side("b", "cb"), ["item", "cb"]).filter(_may_link(similarity))
+    return met.select(F.col("a.src").alias("src"), F.col("b.src").alias("dst")).distinct()
+
+
+def _components(checked: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """``node, component`` of all links, from the checks against the pivots."""
+    components = materialise(connected_components(checked.filter("linked").select("src", "dst")), "components")
+    heads = _heads(checked, similarity)
+    if heads.isEmpty():
+        return components
+    for pick in (_first_of_items, _between_components):
+        pairs = materialise(pick(_placed(heads, components), similarity), "pairs")
+        found = _compared(pairs, sets, similarity, deltas=False).filter("linked").select("src", "dst")
+        components = extend_components(components, materialise(found, "links"))
+    return components
 
 
 def _classes(documents, similarity, size, groups, rows) -> tuple[DataFrame, DataFrame]:
@@ -247,10 +294,7 @@ def _classes(documents, similarity, size, groups, rows) -> tuple[DataFrame, Data
     needed = stars.select(F.col("src").alias("node")).union(stars.select("dst")).distinct()
     sets = materialise(_sets(documents, nodes.drop("keys").join(needed, "node"), size), "sets")
     checked = materialise(_compared(stars, sets, similarity, deltas=True), "checked")
-    pairs = materialise(_pairs_around_pivots(checked, similarity), "pairs")
-    links = checked.filter("linked").select("src", "dst").union(
-        _compared(pairs, sets, similarity, deltas=False).filter("linked").select("src", "dst"))
-    components = connected_components(links)
+    components = _components(checked, sets, similarity)
     named = components.join(nodes.select("node", "rep"), "node")
     names = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     linked = named.join(names, "component").select("node", "component_id")
