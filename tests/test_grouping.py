@@ -30,6 +30,31 @@ def test_wider_tables_get_longer_keys():
     assert bits[0] <= bits[1] < bits[2]
 
 
+@pytest.mark.parametrize("radius,shared", [(2, 40), (2, 60), (9, 40)])
+def test_half_of_all_hashes_on_one_band(spark, monkeypatch, radius, shared):
+    """Crowded keys are refined or cut into blocks: no key has many more pairs than stated, and no pair is lost."""
+    monkeypatch.setattr(candidates, "KEY_PAIRS", 400)
+    monkeypatch.setattr(candidates, "COUNTED", 1)
+    rng = random.Random(shared)
+    hashes = {rng.getrandbits(64 - shared) << shared for _ in range(300)} | {rng.getrandbits(64) for _ in range(300)}
+    for h in rng.sample(sorted(hashes), 60):
+        for b in rng.sample(range(64), rng.randint(1, radius)):
+            h ^= 1 << b
+        hashes.add(h)
+    hashes = [signed(h) for h in hashes]
+    kind = "cell struct<kind:string,cls:string,bin:long,hash:long>"
+    cells = spark.createDataFrame([(("U", "a", 3, h),) for h in hashes], kind)
+    got = {tuple(sorted((r.u.hash, r.v.hash))) for r in candidates.near_hashes(cells, cells, radius, [0, 1], True).collect()}
+    found = candidates.near_hashes(cells, cells, radius, [0, 1], True).count()
+    assert got == {tuple(sorted(p)) for p in combinations(hashes, 2) if ham(*p) <= radius} and found == len(got)
+    masks = candidates.plan_masks(radius, 2 * len(hashes), len(hashes) ** 2)
+    if masks == [0]:
+        masks = candidates.masks_for(radius, 1, radius + 2)
+    lhs, rhs, on = candidates._dealt(cells, cells, radius, [0], masks, 1e9)
+    count = lambda df, n: df.groupBy(*on).agg(F.count(F.lit(1)).alias(n))
+    assert count(lhs, "l").join(count(rhs, "r"), on).agg(F.max(F.col("l") * F.col("r"))).first()[0] <= 4 * 400
+
+
 def _plain_components(edges):
     parent = {}
 

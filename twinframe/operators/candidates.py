@@ -5,6 +5,11 @@ So each side is keyed by every choice of ``m - r`` bands (a bit mask), and the j
 ``(mask number, hash & mask)``. For wide radii the 64 bits are first cut into ``g`` groups, one of which must hold
 at most ``r // g`` of the differing bits. More masks mean longer keys and fewer chance meetings; the number of
 hashes decides what is cheapest.
+
+A key that many hashes share is found by a count of keys (over a part of the hashes chosen by their value) and refined
+alone: its pairs agree on its bits, so the bits outside are cut into bands again and the key is extended by two of them.
+What is still crowded, and bins joined without any bits, is cut into a square of blocks, so copies grow with the root of
+the pairs. Keys that are not crowded are joined as they are.
 """
 
 from __future__ import annotations
@@ -15,9 +20,12 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinframe.session import materialise
+
 MAX_MASKS = 300
 ROW_COST = 20.0  # an exploded, shuffled row against one comparison
-SALT_PAIRS = 20_000_000  # comparisons one task should take when the key has no hash bits
+KEY_PAIRS = 20_000_000  # comparisons that may meet on one key
+COUNTED = 16  # one hash out of so many is counted to find crowded keys: those have thousands
 
 
 def _signed(mask: int) -> int:
@@ -87,7 +95,25 @@ def near_hashes(left: DataFrame, right: DataFrame, radius: int, offsets: list[in
     """
     rows, meetings, busiest = (2 * at_most, at_most**2, at_most**2) if at_most else _reach(left, right, offsets)
     masks = plan_masks(radius, rows, meetings)
-    salts = int(max(1, busiest // SALT_PAIRS)) if masks == [0] else 1
+    lhs, rhs, on = _dealt(left, right, radius, offsets, masks, busiest)
+    diff = F.col("u.hash").bitwiseXOR(F.col("v.hash"))
+    pairs = lhs.join(rhs, on).filter(F.bit_count(diff) <= radius)
+    if symmetric:
+        pairs = pairs.filter((F.col("u.bin") != F.col("v.bin")) | (F.col("u.hash") < F.col("v.hash")))
+    if len(masks) > 40:
+        return pairs.select("u", "v").distinct()
+    # Keep a pair only under the first mask it meets on, and the first refinement: no second shuffle to remove repeats.
+    first = F.coalesce(*[F.when(diff.bitwiseAND(F.lit(m)) == 0, F.lit(i)) for i, m in enumerate(masks)])
+    pairs = pairs.filter(F.col("no") == first)
+    if "sub" in on:
+        agrees = F.transform(_refinements(masks, radius), lambda m: diff.bitwiseAND(m) == 0)
+        pairs = pairs.filter((F.col("sub") < 0) | (F.array_position(agrees, True) - 1 == F.col("sub")))
+    return pairs.select("u", "v")
+
+
+def _dealt(left: DataFrame, right: DataFrame, radius: int, offsets: list[int], masks: list[int],
+           busiest: float) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with their keys, as ``u`` and ``v``, and the key columns: at most about ``KEY_PAIRS`` pairs to a key."""
 
     def keyed(df: DataFrame, name: str, shifts: list[int]) -> DataFrame:
         keys = F.array(*[
@@ -101,19 +127,59 @@ def near_hashes(left: DataFrame, right: DataFrame, radius: int, offsets: list[in
 
     lhs, rhs = keyed(left, "u", offsets), keyed(right, "v", [0])
     on = ["cls", "bin", "no", "bits"]
-    if salts > 1:
-        lhs = lhs.withColumn("salt", F.pmod(F.xxhash64("u.hash"), F.lit(salts)))
-        rhs = rhs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
-        on = on + ["salt"]
-    diff = F.col("u.hash").bitwiseXOR(F.col("v.hash"))
-    pairs = lhs.join(rhs, on).filter(F.bit_count(diff) <= radius)
-    if symmetric:
-        pairs = pairs.filter((F.col("u.bin") != F.col("v.bin")) | (F.col("u.hash") < F.col("v.hash")))
-    if len(masks) <= 40:
-        # Keep a pair only under the first mask it meets on: no second shuffle to remove repeats.
-        first = F.coalesce(*[F.when(diff.bitwiseAND(F.lit(m)) == 0, F.lit(i)) for i, m in enumerate(masks)])
-        return pairs.filter(F.col("no") == first).select("u", "v")
-    return pairs.select("u", "v").distinct()
+    if busiest <= KEY_PAIRS:  # pairs of a whole bin, so no key has more
+        return lhs, rhs, on
+    crowded = _crowded(lhs, rhs, on)
+    if crowded.isEmpty():
+        return lhs, rhs, on
+    if _refines(masks, radius):
+        def refined(df: DataFrame, name: str) -> DataFrame:
+            own = _refinements(masks, radius)
+            keys = F.transform(own, lambda m, i: F.struct(i.cast("int").alias("sub"), F.col(f"{name}.hash").bitwiseAND(m).alias("rest")))
+            plain = F.array(F.struct(F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("rest")))
+            df = df.join(crowded.select(*on, F.lit(True).alias("hot")), on, "left")
+            df = df.withColumn("k", F.explode(F.when(F.col("hot"), keys).otherwise(plain)))
+            return df.select(name, *on, F.col("k.sub").alias("sub"), F.col("k.rest").alias("rest"))
+
+        lhs, rhs, on = refined(lhs, "u"), refined(rhs, "v"), [*on, "sub", "rest"]
+        crowded = _crowded(lhs.filter("sub >= 0"), rhs.filter("sub >= 0"), on)
+        if crowded.isEmpty():
+            return lhs, rhs, on
+    one = F.coalesce("side", F.lit(1))
+    block = lambda name: F.pmod(F.xxhash64(f"{name}.hash"), one).cast("int")
+    every = F.explode(F.sequence(F.lit(0), one - 1))
+    lhs = lhs.join(crowded, on, "left").withColumn("row_block", block("u")).withColumn("column_block", every).drop("side")
+    rhs = rhs.join(crowded, on, "left").withColumn("column_block", block("v")).withColumn("row_block", every).drop("side")
+    return lhs, rhs, [*on, "row_block", "column_block"]
+
+
+def _crowded(lhs: DataFrame, rhs: DataFrame, on: list[str]) -> DataFrame:
+    """Keys on which more than ``KEY_PAIRS`` pairs meet, with the ``side`` of a square of blocks of that size each."""
+    part = lambda df, name: df.filter(F.pmod(F.xxhash64(f"{name}.hash", F.lit(1)), F.lit(COUNTED)) == 0)
+    count = lambda df, name, n: part(df, name).groupBy(*on).agg((F.count(F.lit(1)) * COUNTED).cast("double").alias(n))
+    pairs = F.col("l") * F.col("r")
+    met = count(lhs, "u", "l").join(count(rhs, "v", "r"), on).filter(pairs > KEY_PAIRS)
+    return materialise(met.select(*on, F.ceil(F.sqrt(pairs / KEY_PAIRS)).cast("int").alias("side")), "crowded")
+
+
+def _outside(mask: int, radius: int) -> list[int]:
+    """Pairs of bands of the bits outside ``mask``: hashes within ``radius`` that agree on ``mask`` agree on one of them."""
+    bits = [b for b in range(64) if not mask >> b & 1]
+    bands = radius + 2
+    cut = [sum(1 << b for b in bits[len(bits) * i // bands:len(bits) * (i + 1) // bands]) for i in range(bands)]
+    return [_signed(a | b) for a, b in combinations(cut, 2)]
+
+
+def _refines(masks: list[int], radius: int) -> bool:
+    """Whether two more bands leave clearly fewer chance meetings than the copies they cost."""
+    free = min(64 - bin(m & (2**64 - 1)).count("1") for m in masks)
+    return free > 0 and comb(radius + 2, 2) * 8 <= 2 ** min(2 * (free // (radius + 2)), 30)
+
+
+def _refinements(masks: list[int], radius: int) -> Column:
+    """The masks that refine the key of the row's mask number."""
+    lists = [F.array(*[F.lit(m).cast("long") for m in _outside(mask, radius)]) for mask in masks]
+    return F.get(F.array(*lists), F.col("no"))
 
 
 def mask_keys(hash_column: Column, radius: int) -> Column:
