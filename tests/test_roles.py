@@ -1,11 +1,17 @@
 import datetime as dt
+import random
+from itertools import combinations
+
+import pytest
+from pyspark.sql import functions as F
 
 from twinframe.config import Settings
+from twinframe.operators import classify as cl
 from twinframe.operators.classify import classify
 from twinframe.operators.compare import compare_roles, compare_summary, union_sides
 from twinframe.operators.groups import borderline_groups, find_groups
 
-from builders import EPOCH, frame, row
+from builders import EPOCH, frame, ham, row, signed
 
 PLAIN = Settings(use_histogram=False)
 
@@ -116,3 +122,60 @@ def test_compare_sides(spark):
         ("/m/a.jpg", "original", "cross"), ("/c/a.jpg", "preview", "cross"),
         ("/c/y.jpg", "original", "check"), ("/c/x.jpg", "preview", "check")}
     assert tuple(compare_summary(got).first()) == (1, 1, 1, 1, 2)
+
+
+def _distance(a, b):
+    """Rotation distance of two tuples of an upright hash and three turned ones (or none)."""
+    return min([ham(a[0], b[0])] + [ham(a[0], x) for x in b[1:] if x is not None] + [ham(x, b[0]) for x in a[1:] if x is not None])
+
+
+def _sets(spark, buckets, limit):
+    rows = [(k, b[0][0], limit, *s) for k, b in buckets.items() for s in b]
+    sets = spark.createDataFrame(rows, "k int, start long, limit int, phash long, phash_r90 long, phash_r180 long, phash_r270 long")
+    return sets.select("k", F.struct("phash", *cl.ROTATIONS).alias("me"), "start", "limit")
+
+
+@pytest.mark.parametrize("limit", [2, 3, 6])
+def test_far_apart_equals_all_pairs(spark, monkeypatch, limit):
+    monkeypatch.setattr(cl, "TASK_PAIRS", 20)
+    rng, buckets = random.Random(limit), {}
+    for k in range(40):
+        centre = [rng.getrandbits(63) for _ in range(4)]
+        flips = rng.choice([limit // 2, limit // 2, limit // 2 + 1, limit])
+        bucket = []
+        for _ in range(rng.randint(3, 14)):
+            turn = rng.choice([0, 0, 1, 2, 3])
+            words = centre[turn:] + centre[:turn]
+            for i in range(4):
+                for b in rng.sample(range(62), rng.randint(0, flips)):
+                    words[i] ^= 1 << b
+            bucket.append(tuple([words[0]] + [None if rng.random() < 0.1 else w for w in words[1:]]))
+        buckets[k] = bucket
+    turned = {k for k, b in buckets.items() if any(_distance(x, y) > limit for x, y in combinations(b, 2))}
+    sets = _sets(spark, buckets, limit)
+    got = {r.k for r in cl._far_apart(sets, ["k"], ["phash", *cl.ROTATIONS], cl.rotation_distance).collect()}
+    assert got == turned and 3 < len(turned) < 40
+    upright = {k for k, b in buckets.items() if any(ham(x[0], y[0]) > limit for x, y in combinations(b, 2))}
+    alone = sets.withColumn("me", F.struct("me.phash"))
+    assert {r.k for r in cl._far_apart(alone, ["k"], ["phash"], lambda a, b: cl.hamming(a["phash"], b["phash"])).collect()} == upright
+
+
+def test_a_large_bucket_of_turned_copies_is_linear_work(spark, monkeypatch):
+    """100,000 hash sets around one picture in two orientations: nothing is left to compare but the rim, which is empty."""
+    rims, real = [], cl.materialise
+    monkeypatch.setattr(cl, "materialise", lambda df, name="step": rims.append((name, real(df, name))) or rims[-1][1])
+    a, b = 0x0F0F33335555AAAA, 0x3C3C0F0F12345678
+    flip = lambda word, n: F.lit(word).bitwiseXOR(F.expr(" | ".join(f"shiftleft(1L, cast(pmod(xxhash64(id, {n}, {i}), 62) as int))" for i in range(3))))
+    up = F.col("id") % 2 == 0
+    ids = spark.range(100_000)
+    sets = ids.select(
+        F.lit(1).alias("k"), F.struct(
+            F.when(up, flip(a, 1)).otherwise(flip(b, 1)).alias("phash"), F.when(up, flip(b, 2)).otherwise(flip(a, 2)).alias("phash_r90"),
+            F.lit(None).cast("long").alias("phash_r180"), F.lit(None).cast("long").alias("phash_r270")).alias("me"),
+        F.lit(a).alias("start"), F.lit(6).alias("limit"))
+    assert cl._far_apart(sets, ["k"], ["phash", *cl.ROTATIONS], cl.rotation_distance).isEmpty()
+    assert [df.count() for name, df in rims if name == "rim"] == [0]
+
+
+def test_close_set_limits():
+    assert [cl.close_set_limit(r) for r in (0, 1, 2, 3, 4)] == [1, 2, 65, 128, 2081]

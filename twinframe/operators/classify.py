@@ -15,15 +15,19 @@ from twinframe.config import Params, Settings
 from twinframe.functions.hashing import ROTATIONS, hamming, rotation_distance
 from twinframe.operators.components import connected_components
 from twinframe.operators.predicates import PairRule, preview_of, relative_gap, trunc
-from twinframe.operators.ranking import group_medoids, keep_order
+from twinframe.operators.ranking import bit_total_sql, bit_totals, group_medoids, keep_order
 from twinframe.operators.similarity import PAIR_COLUMNS
 from twinframe.session import materialise
 
-# Words of 64 bits that are pairwise within 2 bits number at most 65 (Kleitman 1966).
-CLOSE_SET_LIMIT = 65
 TASK_PAIRS = 5_000_000
 
 
+def close_set_limit(radius: int) -> int:
+    """How many different words of 64 bits can be pairwise within ``radius`` bits (Kleitman 1966)."""
+    half, odd = divmod(min(radius, 64), 2)
+    return (1 + odd) * sum(math.comb(64 - odd, i) for i in range(half + 1))
+
+
 def size_buckets(members: DataFrame, same_format: bool, tolerance_pct: float, p: Params) -> DataFrame:
     """``(group_id, lo, hi, is_raw, bucket)`` for sizes that are linked to another size of their group.
 
@@ -64,22 +68,19 @@ def _close_buckets(rows: DataFrame, key: list[str], settings: Settings) -> DataF
     stats = rows.groupBy(*key).agg(
         F.max(hamming(F.col("phash"), F.col("first.phash"))).alias("reach")
     ).join(hashes.groupBy(*key).agg(F.count(F.lit(1)).alias("hashes")), key)
-    limit = CLOSE_SET_LIMIT if settings.exact_radius <= 2 else 2**31
-    maybe = stats.filter((F.col("reach") <= settings.exact_radius) & (F.col("hashes") <= limit))
-    some = hashes.join(maybe.filter("hashes > 2"), key)
-    wide = some.alias("a").join(some.alias("b"), key).groupBy(*key).agg(
-        F.max(hamming(F.col("a.phash"), F.col("b.phash"))).alias("widest")
-    )
-    return maybe.join(wide, key, "left").filter(
-        F.coalesce(F.col("widest"), F.col("reach")) <= settings.exact_radius
-    ).select(*key)
+    maybe = stats.filter((F.col("reach") <= settings.exact_radius) & (F.col("hashes") <= close_set_limit(settings.exact_radius)))
+    some = hashes.join(maybe.filter("hashes > 2").select(*key), key)
+    firsts = rows.select(*key, F.col("first.phash").alias("start")).distinct()
+    some = some.join(firsts, key).select(*key, F.struct("phash").alias("me"), "start", F.lit(settings.exact_radius).alias("limit"))
+    upright = lambda a, b: hamming(a["phash"], b["phash"])
+    return maybe.join(_far_apart(some, key, ["phash"], upright), key, "left_anti").select(*key)
 
 
 def _turned_buckets(rows: DataFrame, key: list[str], p: Params) -> DataFrame:
     """Per bucket: every pair is the same picture in some orientation.
 
-    Most buckets are ruled out by their distances to the first member, then to the member furthest from it; only
-    buckets that pass both are compared in full, on distinct hash sets, and only the widest distance leaves the join.
+    Most buckets are ruled out by their distances to the first member, then to the member furthest from it; in buckets
+    that pass both, only hash sets near the rim are compared.
     """
     limit = trunc(F.lit(p.settings.rotation_base) * p.rotation_threshold_factor)
     hash_columns = ["phash", *ROTATIONS]
@@ -93,16 +94,60 @@ def _turned_buckets(rows: DataFrame, key: list[str], p: Params) -> DataFrame:
         F.max(rotation_distance(F.col("me"), F.col("far.who"))).alias("d"), F.first("sets").alias("sets"),
         F.first("limit").alias("limit"),
     ).filter("d <= limit")
-    salts = F.greatest(F.lit(1), F.ceil(F.col("sets") * F.col("sets") / TASK_PAIRS)).cast("int")
-    many = sets.select(*key, "me").join(
-        second.filter("sets > 2").select(*key, "limit", salts.alias("salts")), key
-    )
-    left = many.withColumn("salt", F.pmod(F.xxhash64("me.phash"), F.col("salts")).cast("int"))
-    right = many.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    bad = left.alias("a").join(right.alias("b"), [*key, "salt"]).filter(
-        rotation_distance(F.col("a.me"), F.col("b.me")) > F.col("a.limit")
-    ).select(*key).distinct()
-    return second.select(*key).join(bad, key, "left_anti")
+    second = materialise(second, "within")
+    many = sets.join(second.filter("sets > 2").select(*key), key).select(*key, "me", F.col("first.phash").alias("start"), "limit")
+    return second.select(*key).join(_far_apart(many, key, hash_columns, rotation_distance), key, "left_anti")
+
+
+def _far_apart(sets: DataFrame, key: list[str], hashes: list[str], distance) -> DataFrame:
+    """The keys of ``sets (key, me, start, limit)`` with two hash sets further apart than the limit.
+
+    The hashes of a bucket lie around a few centres, one for each orientation of its first member ``start``; the bitwise
+    majority of the hashes turned alike is taken for each. For any word ``q`` two sets are within the limit if the upright
+    distance of one to ``q`` and the distance of some orientation of the other to ``q`` sum up to it, as Hamming
+    distances obey the triangle inequality. A set that is near enough to a centre for all others of its bucket drops
+    out. What is left, the rim, meets by classes of equal distances to the centres, and only classes that no centre
+    settles are compared, in squares of blocks.
+    """
+    turns = F.array(*[F.col(f"me.{h}") for h in hashes])
+    known = F.filter(F.transform(turns, lambda h, i: F.struct(hamming(h, F.col("start")).alias("d"), i.alias("turn"))), lambda x: x["d"].isNotNull())
+    nearest = F.array_min(known)
+    turned = sets.withColumn("turn", nearest["turn"])
+    bits = turned.groupBy(*key, "turn").agg(F.count(F.lit(1)).alias("n"), *bit_totals(F.col("me.phash")))
+    majority = F.expr(" | ".join(f"if({bit_total_sql(k)} * 2 > n, shiftleft(1L, {k}), 0L)" for k in range(64)))
+    # At most one centre per orientation.
+    centres = bits.select(*key, majority.alias("centre")).groupBy(*key).agg(F.collect_set("centre").alias("centres"))
+    to = lambda h, q: F.bit_count(h.bitwiseXOR(q))
+    cap = lambda d: F.least(d, F.col("limit") + 1)
+    placed = sets.join(centres, key).select(
+        *key, "me", "limit",
+        F.transform("centres", lambda q: cap(to(F.col("me.phash"), q))).alias("up"),
+        F.transform("centres", lambda q: cap(F.array_min(F.array(*[to(F.col(f"me.{h}"), q) for h in hashes])))).alias("any"))
+    places = range(len(hashes))
+    most = placed.groupBy(*key).agg(*[
+        F.max(F.get(name, F.lit(i))).alias(f"{name}{i}") for name in ("up", "any") for i in places])
+    near = [(F.get("up", F.lit(i)) + F.col(f"any{i}") <= F.col("limit")) | (F.get("any", F.lit(i)) + F.col(f"up{i}") <= F.col("limit")) for i in places]
+    safe = F.coalesce(near[0], F.lit(False))
+    for other in near[1:]:
+        safe = safe | F.coalesce(other, F.lit(False))
+    rim = materialise(placed.join(most, key).filter(~safe).select(*key, "me", "limit", F.struct("up", "any").alias("place")), "rim")
+    classes = rim.groupBy(*key, "place").agg(F.count(F.lit(1)).alias("n"), F.first("limit").alias("limit"))
+    a, b = classes.alias("a"), classes.alias("b")
+    same = F.col("a.place") <= F.col("b.place")
+    for k in key:
+        same = same & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    sums = lambda x, y: F.exists(F.zip_with(F.col(x), F.col(y), lambda u, v: u + v), lambda d: d <= F.col("a.limit"))
+    settled = sums("a.place.up", "b.place.any") | sums("a.place.any", "b.place.up")
+    side = F.ceil(F.sqrt(F.col("a.n") * F.col("b.n") / TASK_PAIRS)).cast("int")
+    meets = a.join(b, same).filter(~settled).select(
+        *[F.col(f"a.{k}").alias(k) for k in key], F.col("a.place").alias("pa"), F.col("b.place").alias("pb"), side.alias("side"))
+    every = F.explode(F.sequence(F.lit(0), F.col("side") - 1))
+    lhs = rim.withColumnsRenamed({"place": "pa", "me": "x"}).join(meets, [*key, "pa"])
+    lhs = lhs.withColumn("row_block", F.pmod(F.xxhash64("x"), F.col("side")).cast("int")).withColumn("column_block", every).drop("side")
+    rhs = rim.select(*key, F.col("place").alias("pb"), F.col("me").alias("y")).join(meets, [*key, "pb"])
+    rhs = rhs.withColumn("column_block", F.pmod(F.xxhash64("y"), F.col("side")).cast("int")).withColumn("row_block", every).drop("side")
+    on = [*key, "pa", "pb", "row_block", "column_block"]
+    return lhs.join(rhs, on).filter(distance(F.col("x"), F.col("y")) > F.col("limit")).select(*key).distinct()
 
 
 def _series(rows: DataFrame, features: DataFrame, key: list[str], p: Params) -> DataFrame:
