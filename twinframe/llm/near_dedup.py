@@ -251,11 +251,16 @@ def _first_of_items(heads: DataFrame, similarity: int) -> DataFrame:
 def _between_components(heads: DataFrame, similarity: int) -> DataFrame:
     """``src, dst``: pairs that share an item and may be linked, of different components. Components meet first, so
     members of one component are never paired."""
-    there = heads.select("item", "component").distinct()
-    several = there.groupBy("item").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("item")
-    there = there.join(several, "item", "left_semi")
-    x, y = there.select("item", F.col("component").alias("ca")), there.select("item", F.col("component").alias("cb"))
-    meets = x.join(y, "item").filter("ca < cb")
+    # The bounds of two components are those of their most favourable members.
+    room = (F.col("size") - F.col("at")).alias("room")
+    there = heads.select("item", "component", "g", "linked", room).groupBy("item", "component").agg(
+        F.min("g").alias("g"), F.max("room").alias("room"), F.min("linked").alias("linked"))
+    x, y = there.alias("x"), there.alias("y")
+    needed = F.greatest(F.lit(1), F.ceil((F.col("x.g") + F.col("y.g")) / (2 * (100 + similarity))))
+    may = (F.col("x.component") < F.col("y.component")) & ~(F.col("x.linked") & F.col("y.linked")) & (
+        needed <= F.least(F.col("x.room"), F.col("y.room")))
+    meets = x.join(y, (F.col("x.item") == F.col("y.item")) & may).select(
+        F.col("x.item").alias("item"), F.col("x.component").alias("ca"), F.col("y.component").alias("cb"))
     side = lambda name, key: heads.select("item", F.col("component").alias(key), F.struct("src", "linked", "g", "size", "at").alias(name))
     met = meets.join(side("a", "ca"), ["item", "ca"]).join(side("b", "cb"), ["item", "cb"]).filter(_may_link(similarity))
     return met.select(F.col("a.src").alias("src"), F.col("b.src").alias("dst")).distinct()
