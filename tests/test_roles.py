@@ -179,3 +179,34 @@ def test_a_large_bucket_of_turned_copies_is_linear_work(spark, monkeypatch):
 
 def test_close_set_limits():
     assert [cl.close_set_limit(r) for r in (0, 1, 2, 3, 4)] == [1, 2, 65, 128, 2081]
+
+
+@pytest.mark.parametrize("same_format,tolerance", [(True, 2.0), (True, 0.7), (False, 0.0)])
+def test_size_buckets_equal_all_pairs(spark, same_format, tolerance):
+    rng = random.Random(int(tolerance * 10))
+    rows = set()
+    for g in range(6):
+        w, h = rng.randint(300, 6000), rng.randint(300, 6000)
+        for _ in range(60):
+            a, b = (round(x * (1 + rng.uniform(-0.09, 0.09))) for x in (w, h))
+            rows.add((f"g{g}", min(a, b), max(a, b), rng.random() < 0.4))
+    rows |= {("edge", 98, 100, False), ("edge", 100, 100, False), ("edge", 100, 102, False), ("edge", 49, 50, True), ("edge", 50, 50, False)}
+    rows = sorted(rows)
+    near = lambda a, b, t: max(abs(a[1] - b[1]) / max(a[1], b[1]), abs(a[2] - b[2]) / max(a[2], b[2])) <= t
+    group = list(range(len(rows)))
+    for i, a in enumerate(rows):
+        for j in range(i):
+            b = rows[j]
+            limit = (max(0.02, tolerance / 100) if same_format else 0.02) if a[3] != b[3] else tolerance / 100 if same_format else -1
+            if a[0] == b[0] and near(a, b, limit):
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    want = {}
+    for r, g in zip(rows, group):
+        want.setdefault(g, []).append(r)
+    members = spark.createDataFrame(rows, "group_id string, lo int, hi int, is_raw boolean").withColumn("cfg", F.lit(None).cast("string"))
+    p = cl.Params(Settings(series_tolerance_pct=tolerance))
+    got = {}
+    for r in cl.size_buckets(members, same_format, tolerance, p).collect():
+        got.setdefault(r.bucket, []).append((r.group_id, r.lo, r.hi, r.is_raw))
+    assert sorted(sorted(x) for x in got.values()) == sorted(sorted(x) for x in want.values() if len(x) > 1)

@@ -33,31 +33,71 @@ def size_buckets(members: DataFrame, same_format: bool, tolerance_pct: float, p:
 
     Works on the distinct sizes of a group. RAW against other formats tolerates 2 %; with ``same_format`` equal
     formats are linked too, within the series tolerance. Turned sizes count as the same.
+
+    Sizes are dealt into the cells of a grid over the logarithms of both sides, as wide as the tolerance, so sizes that
+    are near lie in one cell or in cells at most two apart. Sizes of one format in one cell are all near and linked to the
+    first of them; two cells are linked if their nearest sizes are, looked for among the outermost height of each width.
     """
     sizes = members.filter("lo > 0").groupBy("group_id", "lo", "hi", "is_raw").agg(F.first("cfg").alias("cfg"))
-    sizes = materialise(sizes.withColumn("id", F.monotonically_increasing_id()), "sizes")
-    cross_tol = p.settings.cross_size_tolerance
-    widest = max(cross_tol, tolerance_pct / 100.0 if same_format else 0.0)
-    width = -2.0 * math.log(1.0 - min(widest, 0.99)) * (1 + 1e-9)
-    area = F.floor(F.ln(F.col("lo").cast("double") * F.col("hi")) / F.lit(width))
-    left = sizes.withColumn("bin", F.explode(F.array(area - 1, area, area + 1))).alias("a")
-    right = sizes.withColumn("bin", area).alias("b")
-    gap = F.greatest(relative_gap(F.col("a.lo"), F.col("b.lo")), relative_gap(F.col("a.hi"), F.col("b.hi")))
-    crossed = F.col("a.is_raw") & ~F.col("b.is_raw")
-    tol = F.col("a.cfg.series_tolerance_pct") / 100.0 if p.grid_column else F.lit(p.settings.series_tolerance_pct / 100)
-    if same_format:
-        near = (crossed & (gap <= F.greatest(tol, F.lit(cross_tol)))) | (
-            (F.col("a.is_raw") == F.col("b.is_raw")) & (F.col("a.id") < F.col("b.id")) & (gap <= tol)
-        )
-    else:
-        near = crossed & (gap <= cross_tol)
-    on = (F.col("a.group_id") == F.col("b.group_id")) & (F.col("a.bin") == F.col("b.bin"))
-    edges = left.join(right, on).filter(near).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"))
+    sizes = sizes.withColumn("id", F.monotonically_increasing_id())
+    tol = F.col("cfg.series_tolerance_pct") / 100.0 if p.grid_column else F.lit(p.settings.series_tolerance_pct / 100)
+    sizes = materialise(sizes.withColumn("tol", tol.cast("double")).drop("cfg"), "sizes")
+    cross = F.lit(p.settings.cross_size_tolerance)
+    raw, other = sizes.filter("is_raw"), sizes.filter("not is_raw")
+    crossed = F.greatest("tol", cross) if same_format else cross
+    edges = _near_sizes(raw.withColumn("tol", crossed), other.withColumn("tol", crossed))
+    if same_format and tolerance_pct > 0:
+        edges = edges.union(_near_of_one_format(sizes.filter("tol > 0")))
     comps = connected_components(edges)
     linked = sizes.join(comps, sizes["id"] == comps["node"])
     return linked.select("group_id", "lo", "hi", "is_raw", F.col("component").cast("string").alias("bucket"))
 
 
+def _on_grid(sizes: DataFrame) -> DataFrame:
+    """Sizes with their cell ``x, y``; the cells are a little narrower than the tolerance ``tol``."""
+    step = F.greatest(-F.ln(1.0 - F.least("tol", F.lit(0.99))) * (1 - 1e-9), F.lit(1e-9))
+    cell = lambda side: F.floor(F.ln(F.col(side).cast("double")) / step).cast("long")
+    return sizes.withColumns({"x": cell("lo"), "y": cell("hi")})
+
+
+def _around(df: DataFrame, least_x: int) -> DataFrame:
+    """Each row once for every cell at most two away to look into."""
+    shifts = [F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in range(least_x, 3) for y in range(-2, 3)]
+    return df.withColumn("d", F.explode(F.array(*shifts))).withColumns({"x": F.col("x") + F.col("d.x"), "y": F.col("y") + F.col("d.y")}).drop("d")
+
+
+def _within(a: str, b: str) -> Column:
+    gap = F.greatest(relative_gap(F.col(f"{a}.lo"), F.col(f"{b}.lo")), relative_gap(F.col(f"{a}.hi"), F.col(f"{b}.hi")))
+    return gap <= F.col(f"{a}.tol")
+
+
+def _near_sizes(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``(src, dst)``: sizes of two formats within the tolerance, found in neighbouring cells."""
+    a, b = _around(_on_grid(left), -2).alias("a"), _on_grid(right).alias("b")
+    on = F.col("a.group_id") == F.col("b.group_id")
+    for c in ("x", "y"):
+        on = on & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    return a.join(b, on & _within("a", "b")).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"))
+
+
+def _near_of_one_format(sizes: DataFrame) -> DataFrame:
+    """``(src, dst)`` that connect what the sizes of one format within the tolerance connect."""
+    cell = ["group_id", "is_raw", "x", "y"]
+    placed = materialise(_on_grid(sizes), "grid")
+    firsts = placed.groupBy(*cell).agg(F.min("id").alias("first"))
+    inside = placed.join(firsts, cell).filter("id <> first").select(F.col("first").alias("src"), F.col("id").alias("dst"))
+    # Of one width the lowest and the highest size: between cells one above the other no other is nearer.
+    edge = placed.groupBy(*cell, "lo", "tol").agg(F.min(F.struct("hi", "id")).alias("low"), F.max(F.struct("hi", "id")).alias("high"))
+    edge = edge.select(*cell, "lo", "tol", F.explode(F.array_distinct(F.array("low", "high"))).alias("e")).select(
+        *cell, "lo", "tol", F.col("e.hi").alias("hi"), F.col("e.id").alias("id"))
+    a, b = _around(edge, 0).alias("a"), edge.alias("b")
+    on = _within("a", "b") & (F.col("a.id") != F.col("b.id"))
+    for c in cell:
+        on = on & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    between = a.join(b, on).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"))
+    return inside.union(between)
+
+
 def _struct(name: str, columns: list[str]) -> Column:
     return F.struct(*[F.col(c) for c in columns]).alias(name)
 

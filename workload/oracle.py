@@ -157,8 +157,16 @@ def order_by(s: Settings) -> str:
 
 
 def roles(s: Settings) -> str:
-    """From ``comp`` to ``roles(group_id, image_id, role, is_series)``; series tolerance 0."""
-    assert s.series_tolerance_pct == 0
+    """From ``comp`` to ``roles(group_id, image_id, role, is_series)``."""
+    tol = s.series_tolerance_pct / 100
+    alone = "concat_ws('x', m.group_id, m.lo, m.hi, m.is_raw)"
+    # With a tolerance, sizes of one format are linked as well; without one only formats are linked with each other.
+    linked_sizes = "" if tol == 0 else f"""
+near2 AS MATERIALIZED (SELECT a.id AS x, b.id AS y FROM sizes a JOIN sizes b ON a.group_id = b.group_id AND a.id < b.id
+  WHERE greatest(abs(a.lo - b.lo) / greatest(a.lo, b.lo), abs(a.hi - b.hi) / greatest(a.hi, b.hi))
+    <= CASE WHEN a.is_raw <> b.is_raw THEN {max(tol, s.cross_size_tolerance)} ELSE {tol} END),
+{closure('sb', 'SELECT x AS id FROM near2 UNION SELECT y FROM near2', 'SELECT x, y FROM near2').lstrip()},"""
+    bucket_of, bucket_join = ("cf", "") if tol == 0 else ("sb", f"LEFT JOIN sb ON sb.id = {alone}")
     key = order_by(s)
     kept = "true" if s.keep_all_formats else "is_raw"
     rot = int(s.rotation_base * s.rotation_threshold_factor)
@@ -183,9 +191,10 @@ near AS MATERIALIZED (SELECT a.id AS x, b.id AS y FROM sizes a JOIN sizes b ON a
   WHERE abs(a.lo - b.lo) / greatest(a.lo, b.lo) <= {s.cross_size_tolerance}
     AND abs(a.hi - b.hi) / greatest(a.hi, b.hi) <= {s.cross_size_tolerance}),
 {closure('cf', 'SELECT x AS id FROM near UNION SELECT y FROM near', 'SELECT x, y FROM near').lstrip()},
+{linked_sizes}
 mem2 AS MATERIALIZED (
-  SELECT m.*, cf.root AS cfb, coalesce(cf.root, concat_ws('x', m.group_id, m.lo, m.hi, m.is_raw)) AS bucket
-  FROM mem m LEFT JOIN cf ON cf.id = concat_ws('x', m.group_id, m.lo, m.hi, m.is_raw)),
+  SELECT m.*, cf.root AS cfb, coalesce({bucket_of}.root, {alone}) AS bucket
+  FROM mem m LEFT JOIN cf ON cf.id = {alone} {bucket_join}),
 mem3 AS MATERIALIZED (
   SELECT *, row_number() OVER (PARTITION BY group_id, cfb, ext ORDER BY rk) AS ext_rank,
     row_number() OVER (PARTITION BY bucket ORDER BY rk) AS brk, count(*) OVER (PARTITION BY bucket) AS bn,
@@ -217,7 +226,7 @@ lead AS (
 best AS (SELECT group_id, image_id AS best_id, width AS bw, height AS bh, is_raw AS braw FROM mem WHERE rk = 1),
 judged AS (
   SELECT f.*, best_id, bw, bh, lead_phash, CASE WHEN lead_id = f.image_id THEN 1 ELSE 2 END AS lead_rank,
-    CASE WHEN f.is_raw <> braw THEN {s.cross_size_tolerance} ELSE 0 END AS tol
+    CASE WHEN f.is_raw <> braw THEN {max(tol, s.cross_size_tolerance)} ELSE {tol} END AS tol
   FROM flg f JOIN best USING (group_id) LEFT JOIN lead USING (group_id, ext)),
 roles0 AS MATERIALIZED (
   SELECT *, CASE WHEN dup THEN 'preview' WHEN series THEN 'original' WHEN {free} THEN 'preview' ELSE 'original' END AS role

@@ -230,6 +230,7 @@ _roles("group_roles", SETTINGS)
 _roles("group_roles_one_format", ONE_FORMAT)
 _roles("group_roles_oldest", OLDEST)
 _roles("group_roles_large_images", SETTINGS.with_(min_dimension=2000))
+_roles("group_roles_tolerant_sizes", SETTINGS.with_(series_tolerance_pct=2.0, threshold=6))
 _roles("group_roles_without_bursts", SETTINGS.with_(disable_series_detection=True))
 
 
