@@ -36,6 +36,32 @@ def test_names_equal_claiming_one_by_one(spark, seed):
     assert got == _claim(claims, existing)
 
 
+def test_free_names_of_many_small_forests(spark):
+    """Families that share names over several levels, in a folder of their own each."""
+    rng, claims, existing = random.Random(11), [], []
+    for d in range(120):
+        pool = [f"/{d}/{n}" for n in ("a", "a_1", "a_1_1", "a_1_1_1", "a_2", "a_3", "a_2_1", "a_1_2", "b_1.x", "b.x", "b_1_1.x")]
+        some = rng.sample(pool, rng.randint(2, 7))
+        existing += rng.sample(pool, rng.randint(0, 3))
+        claims += [(f"/s/{d}/{k:03d}/{rng.random()}", rng.choice(some), rng.randrange(2)) for k in range(rng.randint(1, 14))]
+    # The parent's second claim would reach the child's name after its first one has had it.
+    claims += [("1", "/t/a", 0), ("2", "/t/a_1", 0), ("3", "/t/a_1_1", 0), ("4", "/t/a_1", 0), ("0", "/t/a", 0)]
+    df = spark.createDataFrame(claims, "id string, target string, phase int")
+    there = spark.createDataFrame([(e,) for e in existing], "path string")
+    got = {r["id"]: r["final"] for r in naming.assign_targets(df, there).collect()}
+    assert got == _claim(claims, existing)
+
+
+def test_a_chain_of_150_names_ends(spark):
+    """Each family passes the name below on to the next."""
+    claims = [(f"{k:03d}", "/m/a" + "_1" * k, 0) for k in range(150)] + [("00", "/m/a", 0)]
+    claims += [(f"x{k:03d}", "/n/b" + ("" if k == 0 else f"_{k}"), 0) for k in range(150)] + [(f"w{k}", "/n/b", 0) for k in range(3)]
+    df = spark.createDataFrame(claims, "id string, target string, phase int")
+    got = {r["id"]: r["final"] for r in naming.assign_targets(df, df.selectExpr("target as path").limit(0)).collect()}
+    assert got == _claim(claims, [])
+    assert got["149"] == "/m/a" + "_1" * 150
+
+
 def _members(spark, groups):
     return spark.createDataFrame(
         [(g, p, "original" if i == 0 else "preview", False, False) for g, paths in groups.items() for i, p in enumerate(paths)],
