@@ -143,3 +143,37 @@ def test_stored_tables(spark, tmp_path):
     tables.save_group_documents(members, f, str(tmp_path / "json"))
     doc = spark.read.json(str(tmp_path / "json")).first()
     assert [d["filename"] for d in doc["previews"]] == ["y.jpg"]
+
+
+def test_a_failed_replacement_leaves_the_old_rows(spark, tmp_path, monkeypatch):
+    """Both when the rows fail to be written and when the log is never told of them."""
+    at = str(tmp_path / "cache")
+    names = lambda: sorted(r["image_id"] for r in tables.load_feature_cache(spark, at).collect())
+    assert names() == []
+    tables.save_feature_cache(frame(spark, [row("/a/x.jpg")]), at, "/a")
+    tables.save_feature_cache(frame(spark, [row("/b/x.jpg")]), at, "/b")
+    held = tables.load_feature_cache(spark, at, "/a")
+    bad = frame(spark, [row("/a/y.jpg"), row("/a/z.jpg")]).withColumn(
+        "file_size", F.when(F.col("name") == "z.jpg", F.raise_error(F.lit("stopped")).cast("long")).otherwise(F.col("file_size")))
+    with pytest.raises(Exception, match="stopped"):
+        tables.save_feature_cache(bad, at, "/a")
+    assert names() == ["/a/x.jpg", "/b/x.jpg"]
+
+    def crash(*_):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(tables, "_point_at", crash)
+        with pytest.raises(RuntimeError, match="killed"):
+            tables.save_feature_cache(frame(spark, [row("/a/new.jpg")]), at, "/a")
+    assert names() == ["/a/x.jpg", "/b/x.jpg"]
+    tables.save_feature_cache(frame(spark, [row("/a/new.jpg")]), at, "/a")
+    assert names() == ["/a/new.jpg", "/b/x.jpg"] and held.count() == 1  # a reader of the old snapshot keeps it
+    assert tables.drop_old_snapshots(spark, at) == 3 and names() == ["/a/new.jpg", "/b/x.jpg"]
+
+    folders = str(tmp_path / "folders")
+    index = spark.createDataFrame([("/p", "", "", "", None, 1)], "path string, drive_type string, volume_serial string, folder_fingerprint string, last_updated timestamp, file_count bigint")
+    tables.save_tracked_folders(index, folders)
+    with pytest.raises(Exception, match="stopped"):
+        tables.save_tracked_folders(index.withColumn("path", F.raise_error(F.lit("stopped")).cast("string")), folders)
+    assert [r["path"] for r in tables.load_tracked_folders(spark, folders).collect()] == ["/p"]

@@ -1,7 +1,16 @@
-"""Stored tables: caches, indexes, manifests, results and exports."""
+"""Stored tables: caches, indexes, manifests, results and exports.
+
+A table that is replaced as a whole, or one key of it at a time, is a folder of snapshots and a log. A replacement is
+written beside what is there; one row appended to the log makes it current, and readers follow the log. What fails
+before that row leaves the table as it was, and readers of an older snapshot keep it. ``drop_old_snapshots`` frees what no
+key points at.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +19,6 @@ from twinframe.functions import labels
 from twinframe.functions.paths import file_name
 from twinframe.operators.folders import with_ancestor
 from twinframe.operators.ranking import rank_in_large_groups
-from twinframe.session import materialise
 
 RESULTS_VERSION = 1
 # The columns of the export.
@@ -22,60 +30,88 @@ CSV_COLUMNS = [
 
 
 DOCUMENT_MEMBERS = 1000
-EMPTY = "_replaced_by_nothing"
+LOG = "key string, version long, folder string"
 
 
-def _replace_partition(df: DataFrame, path: str, by: str, value: str) -> None:
-    """Replace the rows of one partition; other partitions stay. ``df`` may read the table it replaces.
+def _current(spark: SparkSession, path: str) -> dict[str, tuple[int, str]]:
+    """The newest version of each key and its folder: one row per key."""
+    try:
+        log = spark.read.schema(LOG).parquet(f"{path}/log")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+    newest = log.groupBy("key").agg(F.max(F.struct("version", "folder")).alias("m"))
+    return {r.key: (r.m.version, r.m.folder) for r in newest.collect()}
+
+
+def _point_at(spark: SparkSession, path: str, key: str, version: int, folder: str) -> None:
+    """Make a snapshot current. The row is committed by the rename of one file."""
+    spark.createDataFrame([(key, version, folder)], LOG).coalesce(1).write.mode("append").parquet(f"{path}/log")
+
+
+def replace_snapshot(df: DataFrame, path: str, key: str = "") -> None:
+    """Replace the rows of one key; other keys stay. ``df`` may read the table it replaces."""
+    spark = df.sparkSession
+    folder = f"data-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{folder}")
+    _point_at(spark, path, key, _current(spark, path).get(key, (0, ""))[0] + 1, folder)
+
+
+def read_snapshot(spark: SparkSession, path: str, schema: str | None = None, key: str | None = None) -> DataFrame:
+    """The current rows of all keys, or of one."""
+    current = _current(spark, path)
+    folders = [f"{path}/{folder}" for k, (_, folder) in sorted(current.items()) if key is None or k == key]
+    if not folders:
+        return spark.createDataFrame([], schema or "key string")
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(*folders)
 
-    A dynamic overwrite leaves a partition alone that gets no row. Where ``df`` is empty, one row that marks the
-    partition as empty takes its place; readers drop it.
-    """
-    rows = materialise(df.withColumn(EMPTY, F.lit(False)), "replace")
-    if rows.isEmpty():
-        blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields]
-        rows = df.sparkSession.range(1).select(*blank, F.lit(True).alias(EMPTY))
-    rows = rows.withColumn(by, F.lit(value))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
+def drop_old_snapshots(spark: SparkSession, path: str) -> int:
+    """Delete the snapshots that no key points at, and say how many. No write to the table may be under way."""
+    from pyarrow.fs import FileSelector, FileSystem
 
-def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    table = spark.read.schema(f"{schema}, {EMPTY} boolean").parquet(path)
-    return table.filter(~F.coalesce(EMPTY, F.lit(False))).drop(EMPTY)
+    kept = {folder for _, folder in _current(spark, path).values()}
+    store, place = FileSystem.from_uri(path) if ":" in path else FileSystem.from_uri("file://" + path)
+    old = [f.path for f in store.get_file_info(FileSelector(place)) if f.base_name.startswith("data-") and f.base_name not in kept]
+    for folder in old:
+        store.delete_dir(folder)
+    return len(old)
 
 
 # Feature and video caches -------------------------------------------------------------------------
 
 def save_feature_cache(features: DataFrame, path: str, root: str) -> None:
     """Replace the cache of one tracked folder; other folders keep theirs."""
-    _replace_partition(features, path, "cache_root", root.rstrip("/"))
+    root = root.rstrip("/")
+    replace_snapshot(features.withColumn("cache_root", F.lit(root)), path, root)
 
 
 def load_feature_cache(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
-    cache = _stored(spark, path, schemas.FEATURES + ", cache_root string")
-    return cache if folder is None else cache.filter(F.col("cache_root") == folder.rstrip("/"))
+    return read_snapshot(spark, path, schemas.FEATURES + ", cache_root string", folder and folder.rstrip("/"))
 
 
 def save_video_cache(videos: DataFrame, path: str, root: str) -> None:
-    _replace_partition(videos, path, "cache_root", root.rstrip("/"))
+    root = root.rstrip("/")
+    replace_snapshot(videos.withColumn("cache_root", F.lit(root)), path, root)
 
 
 def load_video_cache(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
     """Rows of the first version have no duration and no frames: missing columns read as null."""
-    cache = _stored(spark, path, schemas.VIDEO_FEATURES + ", cache_root string")
-    cache = cache.withColumn("frame_hashes", F.coalesce("frame_hashes", F.array().cast("array<bigint>")))
-    return cache if folder is None else cache.filter(F.col("cache_root") == folder.rstrip("/"))
+    cache = read_snapshot(spark, path, schemas.VIDEO_FEATURES + ", cache_root string", folder and folder.rstrip("/"))
+    return cache.withColumn("frame_hashes", F.coalesce("frame_hashes", F.array().cast("array<bigint>")))
 
 
 # Tracked folders ----------------------------------------------------------------------------------
 
 def save_tracked_folders(folders: DataFrame, path: str) -> None:
-    """Replace the index. ``folders`` may come from the index itself, so it is written elsewhere first."""
-    materialise(folders, "folders").write.mode("overwrite").parquet(path)
+    """Replace the index. ``folders`` may come from the index itself."""
+    replace_snapshot(folders, path)
 
 
 def load_tracked_folders(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
-    table = spark.read.schema(schemas.TRACKED_FOLDERS).parquet(path)
+    table = read_snapshot(spark, path, schemas.TRACKED_FOLDERS)
     return table if folder is None else table.filter(F.col("path") == folder.rstrip("/"))
 
 
@@ -121,13 +157,13 @@ def save_results(members: DataFrame, features: DataFrame, broken: DataFrame, pat
     solo = facts.join(members.select("image_id"), "image_id", "left_anti").withColumn("role", F.lit("solo"))
     bad = broken.select(F.col("path").alias("image_id"), "file_size").withColumn("role", F.lit("broken"))
     rows = grouped.unionByName(solo, allowMissingColumns=True).unionByName(bad, allowMissingColumns=True)
-    _replace_partition(rows.withColumn("version", F.lit(RESULTS_VERSION)), path, "scan_id", scan_id)
+    replace_snapshot(rows.withColumns({"version": F.lit(RESULTS_VERSION), "scan_id": F.lit(scan_id)}), path, scan_id)
 
 
 def load_results(spark: SparkSession, path: str, scan_id: str) -> DataFrame:
     """Rows of one scan; results of another version are not read."""
-    table = spark.read.parquet(path)
-    return table.filter((F.col("scan_id") == scan_id) & (F.col("version") == RESULTS_VERSION) & ~F.col(EMPTY)).drop(EMPTY)
+    table = read_snapshot(spark, path, key=scan_id)
+    return table.filter(F.col("version") == RESULTS_VERSION) if "version" in table.columns else table.drop("key")
 
 
 # Exports ------------------------------------------------------------------------------------------
