@@ -150,8 +150,9 @@ def similarity_components(features: DataFrame, settings: Settings) -> DataFrame:
     return membership.join(comps, "node_id").select("image_id", "component")
 
 
-def similarity_components_grid(features: DataFrame, settings: list[Settings]) -> DataFrame:
-    """``(combo_id, image_id, component)`` under every configuration, from one pass over the candidates.
+def similarity_components_grid(features: DataFrame, settings: list[Settings], scope: str | None = None) -> DataFrame:
+    """``(combo_id, image_id, component)`` under every configuration, from one pass over the candidates. Rows of
+    different values in the column ``scope`` are never linked.
 
     ``combo_id`` is the position in ``settings``. Only values in ``PAIR_FIELDS`` may differ between them.
 
@@ -162,9 +163,9 @@ def similarity_components_grid(features: DataFrame, settings: list[Settings]) ->
     under every configuration instead.
     """
     spark = features.sparkSession
-    nodes, membership = collapse(features, PAIR_COLUMNS)
+    nodes, membership = collapse(features, [*([scope] if scope else []), *PAIR_COLUMNS])
     grid = settings_grid(spark, settings)
-    members, pairs = pair_cells(nodes, settings)
+    members, pairs = pair_cells(nodes, settings, scope)
     others = [f for f in PAIR_FIELDS if f != "threshold"]
     families: dict[tuple, list[int]] = {}
     for s in settings:

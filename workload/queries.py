@@ -1098,6 +1098,35 @@ def calibration_grid(spark, sf_dir):
     return summary.top_rows(rows, "score", n=len(GRID))
 
 
+CORPORA = [s.with_(series_threshold_factor=1.0) for s in (SETTINGS, SETTINGS.with_(threshold=4), SETTINGS.with_(threshold=8),
+                                                          SETTINGS.with_(threshold=8, preview_ratio=0.8))]
+
+
+def _corpora_sql() -> str:
+    """Every corpus scored apart, its files being all there is; the best three configurations of each."""
+    parts = []
+    for name, where in (("early", "= 9"), ("late", "<> 9")):
+        own = (TRUTH.replace("truth0 AS (", "every_truth AS (", 1)
+               + f",\ntruth0 AS (SELECT t.* FROM every_truth t JOIN feat f ON f.image_id = t.path WHERE length(f.root) {where})")
+        for i, c in enumerate(CORPORA):
+            parts.append(f"SELECT '{name}' AS corpus, {i} AS combo_id, {SCORED} FROM ("
+                         + o.with_(o.FEAT.lstrip(), own, _labelled_components(c), o.roles(c).lstrip(), SCORE) + f"{SCORE_SELECT})")
+    return " UNION ALL ".join(parts)
+
+
+@register("calibration_of_corpora", f"""SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY corpus ORDER BY score DESC, combo_id)::INT AS rank FROM ({_corpora_sql()})) WHERE rank <= 3""")
+def calibration_of_corpora(spark, sf_dir):
+    """Two corpora by source folder (the first ten and the rest), scored in one pass: the best three configurations of each, with F1."""
+    corpus = F.when(F.length("root") == 9, "early").otherwise("late")
+    truth = _truth(spark, sf_dir)
+    f = calibrate.labelled(kept_features(spark, sf_dir), truth).withColumn("corpus", corpus)
+    scored = calibrate.score_settings(f, truth, CORPORA, "corpus")
+    columns = [c for c in SCORED.split(", ") if c not in ("score", "f1")]
+    rows = scored.select("corpus", "combo_id", *columns, F.round("score", 9).alias("score"), F.round("f1", 9).alias("f1"))
+    return summary.top_rows(rows, "score", "corpus", 3)
+
+
 @register("guard_ablation", "WITH scores AS (" + _combos_sql(
     [SETTINGS.with_(**c) for c in calibrate.ABLATION.values()], "score, n_groups") + """)
 SELECT combo_id, score, n_groups, round((score - (SELECT score FROM scores WHERE combo_id = 0)) * 100, 6) AS accuracy_delta
