@@ -20,6 +20,7 @@ from collections import deque
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from twinframe.llm.intervals import Cover
 from twinframe.llm.offsets import Rewritten
 from twinframe.llm.words import as_text, by_bytes
 
@@ -188,6 +189,9 @@ def find_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
     """Plain spans, and all spans with those of the layers below that lie in no span of their kind found before."""
     plain = plain_spans(text)
     found = list(plain)
+    covers = [Cover() for _ in KINDS]
+    for start, kind, end in plain:
+        covers[kind].add(start, end)
     work = deque([(text, ())])
     seen = {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}
     while work:
@@ -201,8 +205,9 @@ def find_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
             for start, kind, end in plain_spans(below.text):
                 for step in reversed(path):
                     start, end = step.source(start, end)
-                if not any(k == kind and s <= start and end <= e for s, k, e in found):
+                if not covers[kind].holds(start, end):
                     found.append((start, kind, end))
+                    covers[kind].add(start, end)
             work.append((below.text, path))
     return plain, sorted(found)
 
