@@ -1176,13 +1176,14 @@ def guard_diagnosis(spark, sf_dir):
 @register("blocking_guards", o.with_(*o.grouped(), TRUTH, _diagnosis_sql(), """
 missed AS (SELECT label FROM truth0 t LEFT JOIN roles r ON r.image_id = t.path WHERE kind = 'groups' GROUP BY label
   HAVING count(DISTINCT group_id) <> 1)""") + """
-SELECT blocked_by, count(*) AS pairs FROM diag WHERE kind = 'groups' AND blocked_by IS NOT NULL
-  AND label IN (SELECT label FROM missed) GROUP BY 1""")
+SELECT blocked_by, count(*) AS pairs, CASE blocked_by """ + " ".join(
+    f"WHEN '{guard}' THEN '{text}'" for guard, text in calibrate.GUARD_ADVICE.items()) + """ ELSE '' END AS advice
+FROM diag WHERE kind = 'groups' AND blocked_by IS NOT NULL AND label IN (SELECT label FROM missed) GROUP BY 1""")
 def blocking_guards(spark, sf_dir):
     f = kept_features(spark, sf_dir)
     refined = ground_truth.refine_originals(_truth(spark, sf_dir), f)
     sets = calibrate.diagnose_groups(refined, default_groups(spark, sf_dir))
-    return calibrate.blocking_guards(_diagnosis(spark, sf_dir), sets).select("blocked_by", "pairs")
+    return calibrate.blocking_guards(_diagnosis(spark, sf_dir), sets).select("blocked_by", "pairs", "advice")
 
 
 @register("diagnosed_negatives", o.with_(*o.grouped(), TRUTH) + """
