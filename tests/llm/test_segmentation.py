@@ -41,6 +41,25 @@ def test_equals_enumeration(vocabulary, n):
         assert all((vocabulary.decode(i) if i else "") == text for i in ids)
 
 
+def test_fractional_ties(monkeypatch):
+    """Scores of one decimal, many of them tied: results are distinct, in order, and the same for short and long chunks."""
+    rng = random.Random(5)
+    pieces = {p: (300 + k, -rng.randint(1, 9) / 10) for k, p in enumerate(
+        ["a", "b", "c", sg.BLANK, "ab", "bc", "ca", "abc", "aa", "bb", sg.BLANK + "a", sg.BLANK + "ab", "cab", "bca"])}
+    v = sg.Vocabulary(pieces, list(range(256)))
+    texts = ["".join(rng.choice("aabbc ") for _ in range(rng.randint(0, 11))) for _ in range(300)]
+    results = [[(r[0], tuple(r[1].tolist())) for r in rs] for rs in sg.Encoder(v, 4).encode(pa.array(texts))]
+    for text, got in zip(texts, results):
+        possible = every(v, sg.BLANK + text.replace(" ", sg.BLANK) if text else "")
+        assert [s for s, _ in got] == sorted((s for s, _ in possible), reverse=True)[:4]
+        assert len({i for _, i in got}) == len(got) and set(got) <= set(possible)
+        # Rank 1 has the longest last pieces.
+        sizes = lambda ids: [len(v.bytes_of[i]) for i in reversed(ids)]
+        assert sizes(got[0][1]) == max(sizes(i) for s, i in possible if s == got[0][0])
+    monkeypatch.setattr(sg, "SHORT", 0)
+    assert [[(r[0], tuple(r[1].tolist())) for r in rs] for rs in sg.Encoder(v, 4).encode(pa.array(texts))] == results
+
+
 def test_long_chunks_take_the_single_search(vocabulary):
     text = "anti" * 20 + " of"
     short = sg.n_best(vocabulary, "".join(sg.chunks_of(text)), 4)

@@ -33,6 +33,9 @@ UNKNOWN_PENALTY = 10.0
 SHORT = 24  # longer chunks are searched one by one
 AT_ONCE = 1 << 14
 REMEMBERED = 500_000
+#: Scores are held in steps of this size (a power of two, finer than the 32-bit scores of model files from 0.5 on), so
+#: sums come out the same in any order, and equal scores are equal.
+SCORE_STEP = 2.0 ** -24
 CHUNK = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
@@ -43,7 +46,7 @@ class Vocabulary:
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int]):
         if any(BLANK in p.lstrip(BLANK) for p in pieces):
             raise ValueError("a piece reaches over the start of a word")
-        self.pieces = pieces
+        self.pieces = {p: (i, round(score / SCORE_STEP) * SCORE_STEP) for p, (i, score) in pieces.items()}
         self.byte_ids = byte_ids
         self.unknown = min(s for _, s in self.pieces.values()) - UNKNOWN_PENALTY
         self.longest = max(map(len, self.pieces))
@@ -221,7 +224,8 @@ def _with_bytes(vocabulary, ids):
 def n_best(vocabulary: Vocabulary, chunk: str, n: int) -> list[tuple[float, np.ndarray]]:
     """The ``n`` best segmentations: forward Viterbi scores, then A* backwards with them as the heuristic.
 
-    Of equal estimates the search goes on where it is nearest to the start of the text.
+    Of equal estimates the search goes on where it is nearest to the start of the text. So of equal scores the longer
+    last piece comes first, as in ``analysed``.
     """
     size, pieces = len(chunk), vocabulary.pieces
     into: list[list[tuple[int, int, float]]] = [[] for _ in range(size + 1)]
@@ -428,8 +432,9 @@ def segmentations(documents: DataFrame, n: int = BEST, model: str = MODEL) -> Da
 
     A blank is put before a text, blanks are written as the vocabulary's blank sign, everything else stays as it is.
     ``round_trip`` says that decoding ``ids`` gives the text back. Null and empty texts have one segmentation without
-    pieces; a text with fewer segmentations than ``n`` has what there is. Of equal scores any order may come, but always
-    the same one. Repeated rows have the same results, other columns are not read, an empty table gives no rows.
+    pieces; a text with fewer segmentations than ``n`` has what there is. No segmentation comes twice. Rank 1 is, of equal
+    scores, the one with the longer last piece, then the longer one before it; further ranks of equal score come in any
+    order, but always the same one. Repeated rows have the same results, other columns are not read, an empty table gives no rows.
     """
     return _encoded(documents, model, n, _whole,
                     "rank int, score double, n_pieces long, ids array<int>, round_trip boolean")
