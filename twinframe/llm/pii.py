@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from twinframe.llm.intervals import Cover
 from twinframe.llm.offsets import Rewritten
 from twinframe.llm.words import as_text, by_bytes
 
@@ -214,11 +215,14 @@ def find_spans(text: str, disguised: bool = True) -> tuple[list[tuple[int, int,
     if not steps:
         return plain, plain
     found = set(plain)
+    covers = [Cover() for _ in KINDS]
+    for kind, start, end in plain:
+        covers[kind].add(start, end)
     for kind, start, end in plain_spans(steps[-1].text):
         normal = steps[-1].text[start:end]
         for step in reversed(steps):
             start, end = step.source(start, end)
-        if text[start:end] != normal and not any(k == kind and s <= start and end <= e for k, s, e in plain):
+        if text[start:end] != normal and not covers[kind].holds(start, end):
             found.add((kind, start, end))
     return plain, sorted(found)
 
