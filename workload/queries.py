@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinframe.config import SIDECAR_EXTENSIONS
@@ -461,6 +461,184 @@ def organise_summary(spark, sf_dir):
     return organise.organise_summary(_organise(spark, sf_dir))
 
 
+# Cameras number their files alike, so names collide once folders are merged or sorted by date.
+
+CAMERA = "SELECT *, 'DSC' || lpad((doc_id % 500)::VARCHAR, 4, '0') AS cam, doc_id // 500 AS card FROM "
+
+
+def _cameras(spark, sf_dir) -> DataFrame:
+    """The features with the parts of camera names: 500 numbers, and a card for each turn of the counter."""
+    return kept_features(spark, sf_dir).withColumns({
+        "cam": F.concat(F.lit("DSC"), F.lpad((F.col("doc_id") % 500).cast("string"), 4, "0")), "card": F.floor(F.col("doc_id") / 500)})
+
+
+def _placed_at(df: DataFrame, dir_: Column, stem: Column) -> DataFrame:
+    return df.withColumns({"dir": dir_, "stem": stem}).withColumns({
+        "name": F.concat("stem", "ext"), "image_id": F.concat("dir", F.lit("/"), "stem", "ext")})
+
+
+def _mergeable(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Members and features under camera names; what lies in main keeps names of its own there."""
+    f = _cameras(spark, sf_dir)
+    own = F.when(F.col("card") > 0, F.concat("cam", F.lit("_"), F.col("card").cast("string"))).otherwise(F.col("cam"))
+    inside = F.col("root") == MAIN
+    named = _placed_at(f, F.when(inside, F.lit(MAIN)).otherwise(F.concat("root", F.lit("/c"), F.col("card").cast("string"))),
+                       F.when(inside, own).otherwise(F.col("cam")))
+    ids = f.select("doc_id", "image_id").join(default_groups(spark, sf_dir).select("image_id", "group_id"), "image_id").drop("image_id")
+    return ids.join(named.select("doc_id", "image_id"), "doc_id").select("group_id", "image_id"), named
+
+
+def _numbers_sql(name: str, claims: str, taken: str) -> str:
+    """``name``: the claims with the number ``k`` each gets; ``taken`` yields the (target, k) that exist."""
+    return f"""
+{name}_taken AS MATERIALIZED (SELECT DISTINCT target, k FROM ({taken})),
+{name}_room AS (SELECT target, n + coalesce(t, 0) AS room FROM (SELECT target, count(*) AS n FROM {claims} GROUP BY target)
+  LEFT JOIN (SELECT target, count(*) AS t FROM {name}_taken GROUP BY target) USING (target)),
+{name}_free AS (SELECT target, k, row_number() OVER (PARTITION BY target ORDER BY k) AS n
+  FROM (SELECT target, unnest(range(0, room)) AS k FROM {name}_room) ANTI JOIN {name}_taken USING (target, k)),
+{name} AS (SELECT c.*, k FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY phase, id) AS n FROM {claims}) c
+  JOIN {name}_free USING (target, n))"""
+
+
+_NUMBERED = "CASE WHEN k = 0 THEN target ELSE regexp_replace(target, '(\\.[^.]+)$', '_' || k || '\\1') END"
+
+
+def _renaming_merge_sql(mode: str) -> str:
+    copying = mode == "nondestructive"
+    away = f"root <> '{MAIN}'"
+    return f"""
+cams AS MATERIALIZED (SELECT * EXCLUDE (dir, name, stem), image_id AS old_id, cam || ext AS name,
+    CASE WHEN {away} THEN root || '/c' || card || '/' || cam || ext
+      ELSE '{MAIN}/' || cam || CASE WHEN card > 0 THEN '_' || card ELSE '' END || ext END AS path FROM ({CAMERA} featm)),
+picked AS (SELECT path FROM (SELECT c.path, row_number() OVER (PARTITION BY r.group_id, c.is_raw
+  ORDER BY c.{away}, CASE WHEN c.{away} THEN -(c.width::BIGINT * c.height) ELSE 0 END, c.path) AS n
+  FROM cams c JOIN roles r ON r.image_id = c.old_id) WHERE n = 1),
+parts AS MATERIALIZED (
+  SELECT c.path AS id, r.group_id, c.root AS source_root, c.file_size, '{MAIN}/' || c.name AS target,
+    CASE WHEN r.group_id IS NULL THEN 'unique' WHEN p.path IS NOT NULL THEN 'original' ELSE '{'source_trash' if copying else 'duplicate'}' END AS role,
+    CASE WHEN p.path IS NULL THEN 1 ELSE 0 END AS phase
+  FROM cams c LEFT JOIN roles r ON r.image_id = c.old_id LEFT JOIN picked p ON p.path = c.path WHERE c.{away}),
+claims AS MATERIALIZED (SELECT * FROM parts WHERE role IN ('unique', 'original')),
+{_numbers_sql('numbers', 'claims', f"SELECT '{MAIN}/' || name AS target, card AS k FROM cams WHERE root = '{MAIN}'").lstrip()},
+ops AS (
+  SELECT '{'copy' if copying else 'move'}' AS action, id AS from_path, {_NUMBERED} AS to_path, group_id, role, k > 0 AS renamed, source_root, file_size FROM numbers
+  UNION ALL SELECT 'move', id, id, group_id, role, false, source_root, file_size FROM parts WHERE role NOT IN ('unique', 'original'))"""
+
+
+def _renaming_ops(spark, sf_dir, mode="destructive") -> DataFrame:
+    return kept(spark, sf_dir, f"renaming merge {mode}", lambda: merge.merge_plan(*_mergeable(spark, sf_dir), MAIN, SOURCES, mode))
+
+
+@register("merge_plan_renaming", o.with_(*o.grouped(), _renaming_merge_sql("destructive")) + "SELECT * FROM ops")
+def merge_plan_renaming(spark, sf_dir):
+    return _renaming_ops(spark, sf_dir)
+
+
+@register("merge_summary_copying", o.with_(*o.grouped(), _renaming_merge_sql("nondestructive")) + """
+SELECT count(*) FILTER (role = 'unique') AS n_unique, count(DISTINCT group_id) AS n_groups,
+  count(*) FILTER (role IN ('unique', 'original')) AS n_to_main, count(*) FILTER (renamed) AS n_suffix_renames,
+  coalesce(sum(file_size) FILTER (role IN ('unique', 'original')), 0)::BIGINT AS space_delta FROM ops""")
+def merge_summary_copying(spark, sf_dir):
+    return merge.merge_summary(_renaming_ops(spark, sf_dir, "nondestructive"), "nondestructive")
+
+
+@register("merge_trash_renaming", o.with_(*o.grouped(), _renaming_merge_sql("nondestructive"), f"""
+dups AS MATERIALIZED (SELECT id, group_id, 0 AS phase, source_root || '/trash/' || regexp_extract(id, '[^/]*$') AS target
+  FROM parts WHERE role = 'source_trash'),
+{_numbers_sql('binned', 'dups', "SELECT root || '/trash/' || name AS target, 0 AS k FROM cams WHERE doc_id % 7 = 0").lstrip()}""")
+    + f"SELECT id AS from_path, {_NUMBERED} AS to_path, group_id FROM binned")
+def merge_trash_renaming(spark, sf_dir):
+    """Every root has a trash folder that already holds some of the names."""
+    ops = _renaming_ops(spark, sf_dir, "nondestructive")
+    listing = _mergeable(spark, sf_dir)[1].select(F.col("image_id").alias("path"))
+    binned = _cameras(spark, sf_dir).filter("doc_id % 7 = 0").select(F.concat("root", F.lit("/trash/"), "cam", "ext")).distinct()
+    return merge.merge_trash(ops, "nondestructive", listing.union(binned)).select("from_path", "to_path", "group_id")
+
+
+@register("moved_cache_keys", o.with_(*o.grouped(), _renaming_merge_sql("destructive")) + """
+SELECT coalesce(to_path, path) AS image_id, doc_id FROM cams LEFT JOIN ops ON from_path = path""")
+def moved_cache_keys(spark, sf_dir):
+    """Cache keys after a merge that moves: renamed where the file went, kept where it stayed."""
+    f = _mergeable(spark, sf_dir)[1].select("image_id", "doc_id")
+    return cache.apply_merge_to_cache(f, _renaming_ops(spark, sf_dir))
+
+
+SORTED = "/sorted/2024-01"
+
+
+def _sorted_sql(conflict: str, op: str) -> str:
+    """Months by the EXIF date alone; every 13th file lies in a month's folder already, which holds other files, too."""
+    taken = f"SELECT '{SORTED}/' || cam || ext AS target, card AS k FROM ({CAMERA} feat) WHERE doc_id % 50 = 0"
+    rename, first = _numbers_sql("moved", "claims", taken).lstrip(), ""
+    if conflict == "overwrite":
+        rename = "moved AS (SELECT *, 0 AS k FROM claims)"
+    if conflict == "skip":
+        rename = f"""there AS (SELECT target FROM ({taken}) WHERE k = 0),
+moved AS (SELECT *, 0 AS k, target IN (SELECT target FROM there) OR row_number() OVER (PARTITION BY target ORDER BY id) > 1 AS skips FROM claims)"""
+        first = "CASE WHEN skips THEN 'skipped: target exists (conflict=skip)' ELSE 'planned' END"
+    return f"""
+dated AS MATERIALIZED (SELECT *, dir || '/' || stem || ext AS path FROM (
+  SELECT doc_id, ext, exif_s, CASE WHEN doc_id % 13 = 0 THEN '{SORTED}' ELSE root || '/c' || card END AS dir,
+    CASE WHEN doc_id % 13 = 0 THEN 'HOME' || doc_id ELSE cam END AS stem,
+    '/sorted/' || CASE WHEN exif_s IS NULL THEN 'no_date' ELSE strftime(make_timestamp(exif_s * 1000000), '%Y-%m') END AS to_dir
+  FROM ({CAMERA} feat))),
+claims AS MATERIALIZED (SELECT path AS id, 0 AS phase, to_dir || '/' || stem || ext AS target, exif_s IS NULL AS no_date, doc_id, dir, stem, to_dir
+  FROM dated WHERE dir <> to_dir),
+{rename},
+done AS MATERIALIZED (SELECT *, {first or "'planned'"} AS status FROM moved),
+beside AS MATERIALIZED (SELECT dir || '/' || stem || x AS id, 0 AS phase, to_dir || '/' || stem || x AS target
+  FROM done, (VALUES (4, '.xmp'), (6, '.AAE')) v(e, x) WHERE doc_id % e = 0 AND status = 'planned'),
+{_numbers_sql('sides', 'beside', "SELECT '' AS target, 0 AS k WHERE false").lstrip()},
+plan AS (
+  SELECT 'organize' AS type, '{op}' AS op, path AS from_path, path AS to_path, 'skipped: already in target folder' AS status, exif_s IS NULL AS no_date
+    FROM dated WHERE dir = to_dir
+  UNION ALL SELECT 'organize', '{op}', id, {_NUMBERED}, status, no_date FROM done
+  UNION ALL SELECT 'organize_sidecar', '{op}', id, {_NUMBERED}, 'planned', false FROM sides)"""
+
+
+def _sorted_plan(spark, sf_dir, conflict: str, op: str) -> DataFrame:
+    f = _cameras(spark, sf_dir)
+    home = F.col("doc_id") % 13 == 0
+    files = _placed_at(f, F.when(home, F.lit(SORTED)).otherwise(F.concat("root", F.lit("/c"), F.col("card").cast("string"))),
+                       F.when(home, F.concat(F.lit("HOME"), F.col("doc_id").cast("string"))).otherwise(F.col("cam")))
+    files = files.withColumn("path", F.col("image_id"))
+    row = lambda df, stem, ext: df.select(F.concat("dir", F.lit("/"), stem, ext).alias("path"), "dir", stem.alias("stem"),
+                                          F.concat(stem, ext).alias("name"), F.lower(ext).alias("ext"))
+    numbered = F.when(F.col("card") > 0, F.concat("cam", F.lit("_"), F.col("card").cast("string"))).otherwise(F.col("cam"))
+    listing = row(files, F.col("stem"), F.col("ext")).union(
+        row(f.filter("doc_id % 50 = 0").withColumn("dir", F.lit(SORTED)), numbered, F.col("ext")))
+    for every, suffix in ((4, ".xmp"), (6, ".AAE")):
+        listing = listing.union(row(files.filter(F.col("doc_id") % every == 0), F.col("stem"), F.lit(suffix)))
+    return kept(spark, sf_dir, f"sorted {conflict}", lambda: organise.organise_plan(
+        files, listing, "/lib", "/sorted", op, "%Y-%m", use_filename=False, use_mtime=False, unknown_folder="no_date", conflict=conflict))
+
+
+POLICIES = {"rename": "copy", "skip": "move", "overwrite": "move"}
+
+
+def _sorting(conflict: str, op: str):
+    @register(f"organise_plan_{conflict}", o.with_(FEAT_TABLE, _sorted_sql(conflict, op)) + "SELECT * FROM plan")
+    def run(spark, sf_dir):
+        return _sorted_plan(spark, sf_dir, conflict, op)
+
+
+for _conflict, _op in POLICIES.items():
+    _sorting(_conflict, _op)
+
+
+@register("organise_policies", " UNION ALL ".join(f"""SELECT '{conflict}' AS conflict, count(*) FILTER (image) AS scanned,
+  count(*) FILTER (image AND planned AND op = 'move') AS moved, count(*) FILTER (image AND planned AND op = 'copy') AS copied,
+  count(*) FILTER (image AND NOT planned) AS skipped, 0::BIGINT AS errors, count(*) FILTER (image AND no_date) AS no_date,
+  count(*) FILTER (NOT image) AS sidecars FROM (
+  {o.with_(FEAT_TABLE, _sorted_sql(conflict, op))}SELECT *, type = 'organize' AS image, status = 'planned' AS planned FROM plan)"""
+    for conflict, op in POLICIES.items()))
+def organise_policies(spark, sf_dir):
+    """The counters of one library sorted under each policy."""
+    rows = [organise.organise_summary(_sorted_plan(spark, sf_dir, conflict, op)).withColumn("conflict", F.lit(conflict))
+            for conflict, op in POLICIES.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @register("trash_manifest", GROUPED + """
 SELECT 'preview' AS type, image_id AS from_path, '/out/trash/' || name AS to_path, 'planned' AS status, group_id
 FROM roles WHERE role = 'preview' AND doc_id % 9 <> 0 UNION ALL
