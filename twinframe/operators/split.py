@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from twinframe.config import Params, Settings
 from twinframe.operators.predicates import PairRule
 from twinframe.operators.ranking import bit_totals, distance_to_all, running_sum
-from twinframe.operators.similarity import PAIR_COLUMNS, collapse, pair_cells, pair_linker
+from twinframe.operators.similarity import PAIR_COLUMNS, collapse, pair_cells, pair_linker, similarity_components
 from twinframe.session import materialise
 
 FIRST_STEP = 64
@@ -18,13 +18,14 @@ STEP_FACTOR = 8
 PAIRS_PER_NODE = 50
 
 
-def split_oversized(components: DataFrame, features: DataFrame, settings: Settings) -> DataFrame:
+def split_oversized(components: DataFrame, features: DataFrame, settings: Settings, recheck_remainder: bool = False) -> DataFrame:
     """``(image_id, group_id)``: components within the cap as they are, larger ones split.
 
     The members of a component have a fixed order: total distance to all members (its medoid first), then
     ``image_id``. In that order the first member left becomes a centre and takes all members left that pass the pair
-    rule against it, until no more than the cap are left; those form one group as they stand. Whoever ends up alone
-    has a null ``group_id``, so every row of ``components`` comes back.
+    rule against it, until no more than the cap are left; those form one group as they stand, or with
+    ``recheck_remainder`` the connected groups they still make among themselves. Whoever ends up alone has a null
+    ``group_id``, so every row of ``components`` comes back.
 
     The centres are the greedy maximal independent set of the pass graph in that order, and each other member joins the
     first centre it passes with. Of a prefix of the order, every member that is first among its undecided passing
@@ -50,7 +51,15 @@ def split_oversized(components: DataFrame, features: DataFrame, settings: Settin
     members = materialise(members.withColumn("own", own), "oversized")
     nodes, membership = _ordered(members, large)
     assigned = _assigned(nodes, settings)
-    return result.unionByName(_named(nodes, membership, assigned, cap))
+    named = _named(nodes, membership, assigned, cap)
+    if recheck_remainder:
+        named = materialise(named, "named")
+        rest = named.filter("rest").select("image_id")
+        # Files of different components never pass, so all remainders are linked in one run.
+        linked = similarity_components(features.join(rest, "image_id", "left_semi"), settings)
+        again = rest.join(linked, "image_id", "left").select("image_id", F.col("component").alias("group_id"))
+        return result.unionByName(named.filter("not rest").drop("rest")).unionByName(again)
+    return result.unionByName(named.drop("rest"))
 
 
 def _ordered(members: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -149,7 +158,8 @@ def _centres(prefix: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _named(nodes: DataFrame, membership: DataFrame, assigned: DataFrame, cap: int) -> DataFrame:
-    """Groups of the centres up to the point where no more than the cap are left, and of the rest."""
+    """``(image_id, group_id, rest)``: groups of the centres up to the point where no more than the cap are left, and the
+    rest."""
     assigned = assigned.join(nodes.select("node_id", "group_id", "n", "copies"), "node_id")
     sizes = assigned.groupBy("group_id", "n", "centre").agg(F.sum("copies").alias("size"))
     # Centres are numbered by component, so what is gone within one is a difference of sums over all.
@@ -161,4 +171,4 @@ def _named(nodes: DataFrame, membership: DataFrame, assigned: DataFrame, cap: in
     every = materialise(every.select("image_id", "group_id", F.coalesce("centre", F.lit(-1)).alias("centre")), "placed")
     names = every.groupBy("group_id", "centre").agg(F.min("image_id").alias("name"), F.count(F.lit(1)).alias("size"))
     return every.join(names, ["group_id", "centre"]).select(
-        "image_id", F.when(F.col("size") > 1, F.col("name")).alias("group_id"))
+        "image_id", F.when(F.col("size") > 1, F.col("name")).alias("group_id"), (F.col("centre") == -1).alias("rest"))

@@ -81,6 +81,30 @@ def page(members: DataFrame, number: int, groups_per_page: int = 20) -> DataFram
     return shown.filter(F.ceil(F.col("position") / groups_per_page) == number).drop("display_id")
 
 
+def paged(members: DataFrame, solos: DataFrame, groups_per_page: int = 20) -> DataFrame:
+    """``(page, group_id, image_id)`` of a whole report: groups in order, then all solo files on a page of their own.
+
+    Pages count from 1. Without groups the first page is empty and the solo files are on the second.
+    """
+    shown = display_ids(members, "").withColumn("page", F.ceil(F.col("display_id").cast("long") / groups_per_page))
+    last = members.agg(F.greatest(F.ceil(F.count_distinct("group_id") / groups_per_page), F.lit(1)).alias("last"))
+    alone = solos.join(last).select(  # one row
+        (F.col("last") + 1).alias("page"), F.lit(None).cast("string").alias("group_id"), "image_id")
+    return shown.select("page", "group_id", "image_id").unionByName(alone)
+
+
+def folder_pages(members: DataFrame, folder: str = "root") -> DataFrame:
+    """``(page, folder, group_id, image_id)``: one page for each source folder, with every group that has a member there.
+
+    Folders are in order of their names. A group over several folders is on the page of each. ``members`` holds the
+    folder in the column ``folder``.
+    """
+    numbers = display_ids(members.select(F.col(folder).alias("group_id")).distinct(), "").select(
+        F.col("group_id").alias("folder"), F.col("display_id").cast("long").alias("page"))
+    touched = members.select("group_id", F.col(folder).alias("folder")).distinct().join(numbers, "folder")
+    return touched.join(members.select("group_id", "image_id"), "group_id").select("page", "folder", "group_id", "image_id")
+
+
 def f1_score(found: Column, total: Column, false_positives: Column) -> Column:
     """F1 over groups, zero when nothing is right."""
     precision = F.when(found + false_positives > 0, found / (found + false_positives)).otherwise(F.lit(0.0))

@@ -241,6 +241,17 @@ def split_groups(spark, sf_dir):
     return split_oversized(similarity_components(f, SPLIT), f, SPLIT)
 
 
+@register("split_groups_rechecked", o.with_(FEAT_TABLE, o.components(SPLIT).lstrip(), o.split(SPLIT).lstrip(), """
+rest AS MATERIALIZED (SELECT image_id FROM put WHERE centre = 0),
+rest_pairs AS MATERIALIZED (SELECT ia AS x, ib AS y FROM pairs WHERE ia IN (SELECT image_id FROM rest) AND ib IN (SELECT image_id FROM rest))""",
+    o.closure("rc", "SELECT x AS id FROM rest_pairs UNION SELECT y FROM rest_pairs", "SELECT x, y FROM rest_pairs").lstrip()) + """
+SELECT image_id, group_id FROM split WHERE image_id NOT IN (SELECT image_id FROM rest)
+UNION ALL SELECT image_id, root FROM rest LEFT JOIN rc ON rc.id = image_id""")
+def split_groups_rechecked(spark, sf_dir):
+    f = kept_features(spark, sf_dir)
+    return split_oversized(similarity_components(f, SPLIT), f, SPLIT, recheck_remainder=True)
+
+
 @register("borderline_groups", o.with_(*o.grouped(BORDERLINE), f"""
 free AS MATERIALIZED (SELECT * FROM featm WHERE image_id NOT IN (SELECT image_id FROM roles)),
 bpairs AS MATERIALIZED (SELECT a.image_id AS x, b.image_id AS y FROM free a JOIN free b ON a.image_id < b.image_id
@@ -268,6 +279,24 @@ def second_page(spark, sf_dir):
     return summary.page(default_groups(spark, sf_dir), 2).select("group_id", "image_id", "position")
 
 
+@register("report_pages", GROUPED + """
+SELECT ceil(n / 20)::BIGINT AS page, group_id, image_id FROM (SELECT *, dense_rank() OVER (ORDER BY group_id) AS n FROM roles)
+UNION ALL SELECT greatest(ceil((SELECT count(DISTINCT group_id) FROM roles) / 20), 1)::BIGINT + 1, NULL, image_id FROM featm
+WHERE image_id NOT IN (SELECT image_id FROM roles)""")
+def report_pages(spark, sf_dir):
+    found = default_groups(spark, sf_dir)
+    return summary.paged(found, groups.solo_originals(kept_features(spark, sf_dir), found))
+
+
+@register("folder_pages", GROUPED + """
+SELECT page, folder, group_id, image_id FROM (SELECT DISTINCT root AS folder, group_id FROM roles)
+JOIN (SELECT root AS folder, row_number() OVER (ORDER BY root) AS page FROM (SELECT DISTINCT root FROM roles)) USING (folder)
+JOIN (SELECT group_id, image_id FROM roles) USING (group_id)""")
+def folder_pages(spark, sf_dir):
+    f = kept_features(spark, sf_dir).select("image_id", "root")
+    return summary.folder_pages(default_groups(spark, sf_dir).join(f, "image_id"))
+
+
 @register("solo_originals", GROUPED + "SELECT image_id FROM featm WHERE image_id NOT IN (SELECT image_id FROM roles)")
 def solo_originals(spark, sf_dir):
     return groups.solo_originals(kept_features(spark, sf_dir), default_groups(spark, sf_dir)).select("image_id")
@@ -1315,6 +1344,38 @@ def guard_ablation(spark, sf_dir):
                        F.round("accuracy_delta", 6).alias("accuracy_delta"))
 
 
+def _variant_sql() -> str:
+    """The scores of all variants; without metadata no file has an EXIF date."""
+    parts = []
+    for i, (name, changes, meta) in enumerate(calibrate.VARIANTS):
+        feat, *rest = o.grouped(SETTINGS.with_(**changes))
+        if not meta:
+            feat = feat.replace("CASE WHEN doc_id % 3 <> 0 THEN 1704067200 + doc_id * 60 END AS exif_s", "NULL::BIGINT AS exif_s")
+        parts.append(f"SELECT {i} AS combo_id, '{name}' AS variant, {meta} AS metadata, score, n_groups FROM ({o.with_(feat, *rest, TRUTH, SCORE)} {SCORE_SELECT})")
+    return f"""scores AS MATERIALIZED ({" UNION ALL ".join(parts)}),
+deltas AS (SELECT *, round((score - (SELECT score FROM scores WHERE combo_id = 0)) * 100, 6) AS accuracy_delta FROM scores)"""
+
+
+def _variants(spark, sf_dir) -> DataFrame:
+    rows = kept(spark, sf_dir, "variants", lambda: calibrate.variant_scores(kept_features(spark, sf_dir), _truth(spark, sf_dir), SETTINGS))
+    return rows.withColumns({"score": F.round("score", 9), "accuracy_delta": F.round("accuracy_delta", 6)})
+
+
+@register("ablation_variants", "WITH " + _variant_sql() + " SELECT * FROM deltas")
+def ablation_variants(spark, sf_dir):
+    return _variants(spark, sf_dir)
+
+
+@register("speed_tiers", "WITH " + _variant_sql() + f""",
+tiers(tier, max_loss) AS (VALUES {", ".join(map(str, calibrate.SPEED_TIERS))})
+SELECT tier, max_loss::DOUBLE AS max_loss, max_by(variant, combo_id) AS variant, round(12.0 / (12.0 - max(combo_id)), 6)::DOUBLE AS speedup
+FROM deltas JOIN tiers ON accuracy_delta >= max_loss GROUP BY tier, max_loss""")
+def speed_tiers(spark, sf_dir):
+    """The fastest variant within each loss, at fixed times: every variant a second faster than the one before."""
+    timed = _variants(spark, sf_dir).withColumns({"seconds": F.lit(12.0) - F.col("combo_id"), "base_seconds": F.lit(12.0)})
+    return calibrate.speed_tiers(timed).withColumn("speedup", F.round("speedup", 6))
+
+
 @register("calibration_rounds")
 def calibration_rounds(spark, sf_dir):
     """All four rounds; one row per configuration tried."""
