@@ -69,6 +69,6 @@ def test_variants(spark):
     f = frame(spark, [row("/a.jpg", 0), row("/b.jpg", 0, size=9)])
     bare = calibrate.without_metadata(f)
     assert bare.dtypes == f.dtypes and {(r["exif_date"], r["metadata_count"]) for r in bare.collect()} == {(None, 0)}
-    timed = calibrate.time_variants(f, Settings(), 1, [calibrate.VARIANTS[0], calibrate.VARIANTS[-1]]).collect()
-    assert [r["variant"] for r in timed] == ["all guards", "all guards off, no metadata, threshold 10"]
+    timed = calibrate.time_variants(f, Settings(), 1, [calibrate.VARIANTS[0], calibrate.VARIANTS[8]]).collect()
+    assert [r["variant"] for r in timed] == ["all guards", "all guards off, no metadata"]
     assert all(r["seconds"] > 0 and r["base_seconds"] == timed[0]["seconds"] for r in timed)
