@@ -71,3 +71,16 @@ def test_one_row_stays_of_each_group(spark, documents):
 
 def test_empty_table(spark, documents):
     assert near_duplicates(documents([(1, "a")]).limit(0)).collect() == []
+
+
+def test_large_components_meet_by_member(spark):
+    """Of 200 members of one component a single one has room for the 50 others: 50 meetings, not 10,000."""
+    from twinframe.llm.near_dedup import _between_components, _members_met
+
+    schema = "src long, linked boolean, g long, size long, at int, item long, component long"
+    rows = [(k, True, 0, 3 if k else 900, 0, 7, 0) for k in range(200)]
+    rows += [(1000 + k, False, 35000, 900, 0, 7, 1000 + k) for k in range(50)]
+    heads = spark.createDataFrame(rows, schema)
+    assert _members_met(heads, 75).filter("cb >= 1000 and a.src < 1000").count() == 50
+    pairs = {tuple(r) for r in _between_components(heads, 75).filter("src < 1000").collect()}
+    assert pairs == {(0, 1000 + k) for k in range(50)}

@@ -248,21 +248,31 @@ def _first_of_items(heads: DataFrame, similarity: int) -> DataFrame:
     return met.select(F.col("a.src").alias("src"), F.col("b.src").alias("dst")).distinct()
 
 
-def _between_components(heads: DataFrame, similarity: int) -> DataFrame:
-    """``src, dst``: pairs that share an item and may be linked, of different components. Components meet first, so
-    members of one component are never paired."""
+def _members_met(heads: DataFrame, similarity: int) -> DataFrame:
+    """``item, a, cb``: heads and the later components they may be linked with through ``item``. Components meet first, so
+    members of one component are never paired, and a member of a large one is met only where its own size and position
+    leave room for the other's most favourable member."""
     # The bounds of two components are those of their most favourable members.
     room = (F.col("size") - F.col("at")).alias("room")
     there = heads.select("item", "component", "g", "linked", room).groupBy("item", "component").agg(
         F.min("g").alias("g"), F.max("room").alias("room"), F.min("linked").alias("linked"))
     x, y = there.alias("x"), there.alias("y")
-    needed = F.greatest(F.lit(1), F.ceil((F.col("x.g") + F.col("y.g")) / (2 * (100 + similarity))))
+    needed = lambda g, h: F.greatest(F.lit(1), F.ceil((g + h) / (2 * (100 + similarity))))
     may = (F.col("x.component") < F.col("y.component")) & ~(F.col("x.linked") & F.col("y.linked")) & (
-        needed <= F.least(F.col("x.room"), F.col("y.room")))
+        needed(F.col("x.g"), F.col("y.g")) <= F.least(F.col("x.room"), F.col("y.room")))
     meets = x.join(y, (F.col("x.item") == F.col("y.item")) & may).select(
-        F.col("x.item").alias("item"), F.col("x.component").alias("ca"), F.col("y.component").alias("cb"))
-    side = lambda name, key: heads.select("item", F.col("component").alias(key), F.struct("src", "linked", "g", "size", "at").alias(name))
-    met = meets.join(side("a", "ca"), ["item", "ca"]).join(side("b", "cb"), ["item", "cb"]).filter(_may_link(similarity))
+        F.col("x.item").alias("item"), F.col("x.component").alias("ca"), F.col("y.component").alias("cb"),
+        F.struct("y.g", "y.room", "y.linked").alias("other")).alias("m")
+    side = heads.select(F.col("item").alias("item_a"), F.col("component").alias("ca_a"), F.struct("src", "linked", "g", "size", "at").alias("a"))
+    own = ~(F.col("a.linked") & F.col("other.linked")) & (
+        needed(F.col("a.g"), F.col("other.g")) <= F.least(F.col("a.size") - F.col("a.at"), F.col("other.room")))
+    return meets.join(side, (F.col("item") == F.col("item_a")) & (F.col("ca") == F.col("ca_a")) & own).select("item", "a", "cb")
+
+
+def _between_components(heads: DataFrame, similarity: int) -> DataFrame:
+    """``src, dst``: pairs that share an item and may be linked, of different components."""
+    b = heads.select("item", F.col("component").alias("cb"), F.struct("src", "linked", "g", "size", "at").alias("b"))
+    met = _members_met(heads, similarity).join(b, ["item", "cb"]).filter(_may_link(similarity))
     return met.select(F.col("a.src").alias("src"), F.col("b.src").alias("dst")).distinct()
 
 
