@@ -31,8 +31,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, rank, score, n_pieces, ids, round_trip``: the best segmentation of each document."""
-    return segmentation.segmentations(docs, n=1)
+    """``doc_id, rank, score, n_pieces, ids, round_trip``: the best segmentations of each document, as many as the operator
+    gives."""
+    return segmentation.segmentations(docs)
 
 
 STAGES = [

@@ -42,3 +42,12 @@ def test_pipeline_with_bad_labels(spark, documents, tmp_path):
     labels = [(k, int(k not in bad), 0) for k in range(140)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(range(150)) - bad
+
+
+@pytest.mark.skipif(not os.path.exists(segmentation.MODEL), reason="no vocabulary file")
+def test_pieces_holds_every_segmentation(spark, documents):
+    docs = documents([(1, "reading and writing of many words"), (2, "")])
+    ranks = {}
+    for r in corpus_pipeline.pieces(spark, docs, "").collect():
+        ranks.setdefault(r.doc_id, set()).add(r.rank)
+    assert ranks == {1: set(range(1, segmentation.BEST + 1)), 2: {1}}
