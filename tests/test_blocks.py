@@ -34,3 +34,12 @@ def test_pairs_of_a_dense_place_are_not_listed(spark, small_blocks, monkeypatch)
     got = similarity.similarity_components_grid(frame(spark, rows), settings).collect()
     assert len(got) == 600 and len({(r.combo_id, r.component) for r in got}) == 3
     assert sum(pairs.count() for pairs in met) < 3000
+
+
+def test_wide_settings_meet_in_blocks(spark, small_blocks, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCKED", (0, 1000))
+    monkeypatch.setattr(similarity, "near_hashes", None)
+    rows = random_rows(100, 7)
+    for s in (Settings(threshold=6, use_histogram=False), Settings(raw_use_embedded_thumb=False)):
+        got = {r.image_id: r.component for r in similarity.similarity_components(frame(spark, rows), s).collect()}
+        assert got == components(rows, s)
