@@ -43,3 +43,12 @@ def test_wide_settings_meet_in_blocks(spark, small_blocks, monkeypatch):
     for s in (Settings(threshold=6, use_histogram=False), Settings(raw_use_embedded_thumb=False)):
         got = {r.image_id: r.component for r in similarity.similarity_components(frame(spark, rows), s).collect()}
         assert got == components(rows, s)
+
+
+def test_default_settings_meet_in_blocks(spark, small_blocks, monkeypatch):
+    """Tables of middle size have no stages, whose plans fill the driver."""
+    monkeypatch.setattr(similarity, "BLOCKED", (0, 1000))
+    monkeypatch.setattr(similarity, "near_hashes", None)
+    rows = random_rows(100, 8)
+    got = {r.image_id: r.component for r in similarity.similarity_components(frame(spark, rows), Settings()).collect()}
+    assert got == components(rows, Settings())
