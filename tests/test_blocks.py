@@ -2,9 +2,10 @@
 
 import pytest
 from builders import components, frame, random_rows, row
+from test_grouping import _split, _split_plain
 
 from twinframe.config import Settings
-from twinframe.operators import blocks, similarity
+from twinframe.operators import blocks, similarity, split
 
 MIXED = [Settings(threshold=t, low_entropy=4.4, **more) for t in (1, 4, 14) for more in (
     {}, {"use_dual_hash": False}, {"raw_use_embedded_thumb": False})]
@@ -52,3 +53,15 @@ def test_default_settings_meet_in_blocks(spark, small_blocks, monkeypatch):
     rows = random_rows(100, 8)
     got = {r.image_id: r.component for r in similarity.similarity_components(frame(spark, rows), Settings()).collect()}
     assert got == components(rows, Settings())
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_members_of_a_split_meet_in_blocks(spark, small_blocks, monkeypatch, most):
+    """In blocks or by keys: the groups of one centre after the other."""
+    monkeypatch.setattr(split, "MOST_BLOCKED", most)
+    monkeypatch.setattr(split, "near_between" if most else "near_of_scopes", None)
+    monkeypatch.setattr(split, "FIRST_STEP", 4)
+    monkeypatch.setattr(split, "PAIRS_PER_NODE", 0)
+    s = Settings(max_group_size=8, threshold=4, low_entropy=4.4)
+    rows = random_rows(90, seed=9, centres=5)
+    assert _split(spark, rows, s) == sorted(map(sorted, _split_plain(rows, s)))
